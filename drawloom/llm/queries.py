@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from drawloom.llm import bpe, exact_dedup, mixing, quality, sharding, simhash
+from drawloom.llm import bpe, exact_dedup, mixing, pii, quality, sharding, simhash
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -18,6 +18,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_personal_data(table(spark, sf_dir, "documents")).drop("clean_text")
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -45,6 +49,6 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op2_exact_dedup, op3_mixing, op4_sharding, op6_quality_rules, op7_bpe, op9_simhash_near_dedup)
+    for f in (op1_pii, op2_exact_dedup, op3_mixing, op4_sharding, op6_quality_rules, op7_bpe, op9_simhash_near_dedup)
 }
 SQL: dict[str, str] = {}
