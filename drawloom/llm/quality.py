@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from drawloom.llm.common import cut, let, text_of, words
+from drawloom.llm.common import cut, let, sized_broadcast, text_of, words
 
 SYMBOLS = r"[#*$%&|<>]"
 #: Most trusted documents that the target distribution is fitted on.
@@ -120,7 +120,7 @@ def log_ratios(rows: DataFrame, trusted: DataFrame, buckets: int) -> list[float]
 def judge(
     docs: DataFrame, labels: DataFrame, *, buckets: int = BUCKETS, threshold: float = THRESHOLD, trusted: int = TRUSTED
 ) -> DataFrame:
-    """One row per input row: doc_id, the base figures, base_failed, score, kept."""
+    """One row per input row: doc_id, the base figures, base_failed, score, kept, text_hash."""
     text = text_of(docs)
     rows = docs.select(docs["doc_id"].alias("doc_id"), text.alias("text"), words(text).alias("words"))
     model = log_ratios(rows.select("doc_id", "words"), trusted_ids(labels, trusted), buckets)
@@ -140,11 +140,22 @@ def judge(
     based = with_base(rows).withColumn("score", score)
     kept = ~F.col("base_failed") & (F.col("score") >= threshold)
     return based.withColumn("kept", kept).select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score", "kept"
-    )
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score", "kept",
+        F.xxhash64("text").alias("text_hash"),
+    )
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, **options: object) -> DataFrame:
-    """The rows of ``docs`` that are kept, with all their columns."""
-    bad = judge(docs, labels, **options)
-    return docs.join(cut(bad.filter(~F.col("kept")).select("doc_id")), "doc_id", "left_anti")
+    """The rows of ``docs`` that are kept, with all their columns.
+
+    The verdicts are cut before they are filtered: a filter that moved below
+    them would split each text again for each of its words.  Rows with one
+    doc_id but several verdicts are told apart by their text.
+    """
+    keyed = F.xxhash64(text_of(docs))
+    verdicts = cut(judge(docs, labels, **options))
+    bad = verdicts.filter(~F.col("kept")).select(F.col("doc_id").alias("id__"), F.col("text_hash").alias("hash__"))
+    bad = cut(bad.distinct())
+    rows = docs.withColumn("key__", keyed)
+    same = (rows["key__"] == bad["hash__"]) & rows["doc_id"].eqNullSafe(bad["id__"])
+    return rows.join(sized_broadcast(bad, bad.count()), same, "left_anti").select(docs.columns)

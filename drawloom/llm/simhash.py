@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from drawloom.llm.common import cut, lookup
+from drawloom.llm.common import cut, lookup, sized_broadcast
 
 SHINGLE = 4
 DISTANCE = 4
@@ -243,7 +243,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` with the smallest doc_id of their component, all columns kept."""
+    """The rows of ``docs`` with the smallest doc_id of their component, all columns kept.
+
+    Null doc_ids beside others in a component go; a component of nulls only stays whole.
+    """
     flags = near_duplicates(docs)
-    drop = cut(flags.filter("doc_id <> component_id").select("doc_id").distinct())
-    return docs.join(drop, "doc_id", "left_anti")
+    drop = cut(flags.filter("not (doc_id <=> component_id)").select(F.col("doc_id").alias("id__")).distinct())
+    same = docs["doc_id"].eqNullSafe(drop["id__"])
+    return docs.join(sized_broadcast(drop, drop.count()), same, "left_anti")
