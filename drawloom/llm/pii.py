@@ -122,18 +122,27 @@ def disclosing_terms(
     contexts = frequent.groupBy("value", F.xxhash64("around").alias("h")).agg(F.min("around").alias("around"))
     pairs = contexts.select("value", F.explode(F.array_distinct(_terms(F.col("around")))).alias("term"))
     pairs = pairs.groupBy("value", "term").agg(F.count(F.lit(1)).alias("joint")).filter(F.col("joint") >= support)
-    pairs = cut(pairs.join(held, "value"))
-    n_pairs, n_docs = pairs.count(), docs.count()
+    n_docs = docs.count()
+    information = -F.log2(F.col("docs_c") / F.lit(float(n_docs)))
+
+    def share(docs_t: str) -> Column:
+        given = F.least(F.lit(1.0), F.col("joint") / F.col(docs_t))
+        return F.when(information > 0, 1 + F.log2(given) / information).otherwise(F.lit(0.0))
+
+    # Documents that hold a term near any value are at most those that hold it at all, so a pair
+    # whose share stays under the threshold with them stays under it with all: only others are counted.
+    nearby = near.select("uid", F.explode(F.array_distinct(_terms(F.col("around")))).alias("term")).distinct()
+    nearby = nearby.groupBy("term").agg(F.count(F.lit(1)).alias("docs_near"))
+    pairs = pairs.join(held, "value").join(nearby, "term").filter(share("docs_near") >= generalise)
+    pairs = cut(pairs.select("value", "term", "joint", "docs_c"))
+    n_pairs = pairs.count()
     wanted = pairs.select("term").distinct()
     if not n_pairs:
         return wanted.select("term", F.lit("").alias("action"), F.lit(0.0).alias("disclosure"))
     seen = docs.select(F.explode(F.array_distinct(_terms(F.col("text")))).alias("term"))
     seen = seen.join(sized_broadcast(wanted, n_pairs), "term", "left_semi")
     counts = seen.groupBy("term").agg(F.count(F.lit(1)).alias("docs_t"))
-    information = -F.log2(F.col("docs_c") / F.lit(float(n_docs)))
-    given = F.least(F.lit(1.0), F.col("joint") / F.col("docs_t"))
-    share = F.when(information > 0, 1 + F.log2(given) / information).otherwise(F.lit(0.0))
-    scored = pairs.join(counts, "term").groupBy("term").agg(F.max(share).alias("disclosure"))
+    scored = pairs.join(counts, "term").groupBy("term").agg(F.max(share("docs_t")).alias("disclosure"))
     action = F.when(F.col("disclosure") >= remove, "remove").otherwise("generalise")
     return cut(scored.filter(F.col("disclosure") >= generalise).select("term", action.alias("action"), "disclosure"))
 
