@@ -10,8 +10,9 @@ merge ranks, and dead positions are remembered, so a word takes linear time.
 Decoding joins slices of one string that holds every token's text; an offset
 table says where each begins.
 
-Workers remember the encodings of white-space-free chunks, which no step of the
-tokenizer crosses; the memory is bounded by ``REMEMBERED`` entries.
+Workers remember the encodings of words; the memory is bounded by ``REMEMBERED``
+entries.  Texts in Latin-1 are split by one pattern, others by the library's own
+normaliser and splitter.
 
 Nulls: a null text is empty and has no tokens; repeated rows are rows of their
 own; special tokens inside a text are ids, as in the tokenizers library.
@@ -31,11 +32,21 @@ import tokenizers
 from pyspark.sql import DataFrame
 
 REMEMBERED = 400_000
-#: Chunks longer than this are encoded but not remembered.
-LONG_CHUNK = 64
-BLANK = re.compile(r"[ \t\n\x0b\x0c\r]+")
-#: The split pattern of the tokenizer on lower-case printable ASCII.
-ASCII_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
+#: Words longer than this are encoded but not remembered.
+LONG_WORD = 64
+#: The tokenizer's split pattern on lower-case Latin-1: contractions, letters, single numerals, other marks.
+LATIN_WORDS = re.compile(
+    "'s|'t|'re|'ve|'m|'ll|'d|[a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff]+|[0-9\xb2\xb3\xb9\xbc-\xbe]"
+    "|[^\\t-\r \x85\xa0a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff0-9\xb2\xb3\xb9\xbc-\xbe]+"
+)
+#: Byte-level BPE writes a byte that is no visible Latin-1 character as the next character from 256 on.
+_HIDDEN = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174)]
+BYTE_CHARS = {b: 256 + i for i, b in enumerate(_HIDDEN)}
+
+
+def byte_level(word: str) -> str:
+    """A word with one character for each of its UTF-8 bytes."""
+    return word.encode().decode("latin-1").translate(BYTE_CHARS)
 
 
 class Encoder:
@@ -186,26 +197,37 @@ class Encoder:
     def whole_is_exact(self, token: int) -> bool:
         return self.merged(self.units(self.token_text(token))) == [token]
 
-    def split(self, text: str) -> list[str]:
-        """Normalised, pre-tokenised words; plain ASCII chunks need no library call."""
-        if text.isascii() and text.isprintable():
-            return ASCII_WORDS.findall(text.lower())
-        return [w for w, _ in self.pretokenise(self.normalise(text))]
+    def words(self, text: str) -> list[str] | None:
+        """Lower-case words of a Latin-1 text, split as the tokenizer splits; None for any other text.
+
+        In that range the normaliser only lowers letters and folds white space,
+        so a plain pattern gives its words.
+        """
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return None
+        return LATIN_WORDS.findall(text.lower())
 
     def encode_plain(self, text: str) -> list[int]:
+        words = self.words(text)
+        if words is None:
+            mapped = [w for w, _ in self.pretokenise(self.normalise(text))]
+        else:
+            mapped = [byte_level(w) for w in words]
         ids: list[int] = []
-        for word in self.split(text):
-            ids += self.word(word) if len(word) <= LONG_CHUNK else self.encode_word(word)
+        for word in mapped:
+            ids += self.word(word) if len(word) <= LONG_WORD else self.encode_word(word)
         return ids
 
     def decode(self, ids: list[int]) -> str:
         off, text = self.offsets, self.all_text
         return " ".join([text[off[i] : off[i + 1]] for i in ids])
 
-    def chunk(self, text: str) -> tuple[str, int, str]:
-        """(ids joined, their number, tokens decoded) of a text without special tokens."""
-        ids = self.encode_plain(text)
-        return " ".join(map(str, ids)), len(ids), self.decode(ids)
+    def written(self, ids: list[int]) -> tuple[str, str]:
+        """Ids and tokens' texts, a blank after each."""
+        off, texts = self.offsets, self.all_text
+        return "".join([f"{i} " for i in ids]), "".join([texts[off[i] : off[i + 1]] + " " for i in ids])
 
     def encode(self, text: str | None) -> list[int]:
         ids: list[int] = []
@@ -220,35 +242,45 @@ def encoder(path: str) -> Encoder:
 
 
 class _Memory(dict):
-    """Chunk to encoding, computed when missing."""
+    """Word to its encoding, computed when missing; two generations of half the bound each."""
 
     def __init__(self, enc: Encoder):
         self.enc = enc
-
-    def __missing__(self, chunk: str) -> tuple[str, int, str]:
-        found = self.enc.chunk(chunk)
-        if len(chunk) <= LONG_CHUNK:
-            if len(self) >= REMEMBERED:
+        self.older: dict[str, tuple[str, str]] = {}
+
+    def __missing__(self, word: str) -> tuple[str, str]:
+        found = self.older.get(word)
+        if found is None:
+            found = self.enc.written(self.enc.encode_word(byte_level(word)))
+        if len(word) <= LONG_WORD:
+            if len(self) >= REMEMBERED // 2:
+                self.older = dict(self)
                 self.clear()
-            self[chunk] = found
+            self[word] = found
         return found
 
 
+@cache
+def _memory(path: str) -> _Memory:
+    """Kept for as long as the worker lives, so later tasks find it filled."""
+    return _Memory(encoder(path))
+
+
 def digests(path: str, texts: Iterator[str | None]) -> Iterator[tuple[int, str, str]]:
     """(n_tokens, sha256 of the ids, sha256 of the decoded text) of each text."""
-    enc = encoder(path)
-    memory = _Memory(enc)
+    enc, look = encoder(path), _memory(path).__getitem__
     for text in texts:
-        parts: list[tuple[str, int, str]] = []
+        parts: list[tuple[str, str]] = []
         for i, part in enumerate(enc.splitter.split(text or "")):
             if i % 2:
-                parts.append((enc.special[part], 1, part))
+                parts.append((enc.special[part] + " ", part + " "))
             else:
-                parts += map(memory.__getitem__, BLANK.split(part))
-        parts = [p for p in parts if p[1]]
-        ids = " ".join([p[0] for p in parts])
-        decoded = " ".join([p[2] for p in parts])
-        yield sum([p[1] for p in parts]), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()
+                words = enc.words(part)
+                parts += [enc.written(enc.encode_plain(part))] if words is None else map(look, words)
+        ids_of, texts_of = zip(*parts, strict=True) if parts else ((), ())
+        ids, decoded = "".join(ids_of), "".join(texts_of)
+        n = ids.count(" ")
+        yield n, hashlib.sha256(ids[:-1].encode()).hexdigest(), hashlib.sha256(decoded[:-1].encode()).hexdigest()
 
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
