@@ -42,7 +42,7 @@ PATTERNS = {
 HINTS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": "[0-9]", "phone": r"\+[0-9]"}
 TERM = r"[\p{L}\p{N}]"
 SPAN = "array<struct<kind:string,start:bigint,end:bigint,value:string,left:string,right:string>>"
-PARTS_255 = r"0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+PARTS_255 = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 
 
 def located(text: Column, pattern: Column | str, kind: str, reach: int = 0) -> Column:
