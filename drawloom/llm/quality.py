@@ -3,9 +3,10 @@
 Words and word pairs of a text are hashed into ``buckets`` bins.  Two smoothed
 multinomials over the bins are estimated, one from trusted texts (a bounded,
 documented sample of the labelled rows) and one from every n-gram of the whole
-corpus.  A document's score is the sum of its n-grams' log ratios divided by
-their number, and it is kept when the score reaches ``threshold`` and the base
-rules pass.  The threshold is fixed, so the verdict is deterministic.
+corpus, each text counted once however often it is copied.  A document's score
+is the sum of its n-grams' log ratios divided by their number, and it is kept
+when the score reaches ``threshold``, less a fixed slack for short texts, and
+the base rules pass.  Both are constants, so the verdict is deterministic.
 
 The log ratios are ``buckets`` numbers, whatever the corpus: they travel as one
 constant array.  Nothing else is gathered.
@@ -25,9 +26,13 @@ from drawloom.llm.common import cut, let, sized_broadcast, text_of, words
 SYMBOLS = r"[#*$%&|<>]"
 #: Most trusted documents that the target distribution is fitted on.
 TRUSTED = 20_000
+#: Most hashes of copied texts (16 bytes each) that are broadcast; beyond it the join shuffles.
+COPIES = 1_000_000
 BUCKETS = 8192
 #: Score in nats an n-gram under which a document looks unlike the trusted ones.
 THRESHOLD = -0.12
+#: The threshold falls by this over the root of the number of n-grams, since short texts scatter.
+SLACK = 0.6
 
 
 def repeated_words(ws: Column, window: int = 5) -> Column:
@@ -102,10 +107,23 @@ def trusted_ids(labels: DataFrame, limit: int = TRUSTED) -> DataFrame:
     return ids.orderBy(F.xxhash64(F.lit(42), "doc_id"), "doc_id").limit(limit)
 
 
+def one_of_copies(rows: DataFrame) -> DataFrame:
+    """The rows of (doc_id, text_hash, ...) without further copies of a text: the smallest doc_id stays."""
+    groups = rows.groupBy("text_hash").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_id"))
+    copied = cut(groups.filter("n > 1").drop("n"))
+    marked = rows.join(sized_broadcast(copied, copied.count(), COPIES), "text_hash", "left")
+    return marked.filter("first_id is null or doc_id = first_id").drop("first_id")
+
+
 def log_ratios(rows: DataFrame, trusted: DataFrame, buckets: int) -> list[float]:
-    """``buckets`` log ratios from (doc_id, words) and the trusted doc_ids."""
-    picked = rows.join(F.broadcast(trusted), "doc_id", "left_semi")
-    raw = bin_counts(rows, buckets).withColumnRenamed("n", "raw")
+    """``buckets`` log ratios from (doc_id, text_hash, words) and the trusted doc_ids.
+
+    Copies of a text count once on either side, or a text copied often enough
+    would make its own words look untrusted.
+    """
+    once = one_of_copies(rows)
+    picked = rows.join(F.broadcast(trusted), "doc_id", "left_semi").dropDuplicates(["text_hash"])
+    raw = bin_counts(once, buckets).withColumnRenamed("n", "raw")
     target = bin_counts(picked, buckets).withColumnRenamed("n", "target")
     both = raw.join(target, "bin", "left")
     sums = both.agg(F.sum("raw").alias("all_raw"), F.sum("target").alias("all_target"))
@@ -123,7 +141,8 @@ def judge(
     """One row per input row: doc_id, the base figures, base_failed, score, kept, text_hash."""
     text = text_of(docs)
     rows = docs.select(docs["doc_id"].alias("doc_id"), text.alias("text"), words(text).alias("words"))
-    model = log_ratios(rows.select("doc_id", "words"), trusted_ids(labels, trusted), buckets)
+    hashed = rows.select("doc_id", F.xxhash64("words").alias("text_hash"), "words")
+    model = log_ratios(hashed, trusted_ids(labels, trusted), buckets)
     table = F.from_json(F.lit("[" + ",".join(map(repr, model)) + "]"), "array<double>")
     last = F.size("words") - 1
 
@@ -138,7 +157,7 @@ def judge(
     grams = F.greatest(2 * F.size("words") - 1, F.lit(1))
     score = F.when(last < 0, F.lit(0.0)).otherwise(F.round(summed / grams, 9))
     based = with_base(rows).withColumn("score", score)
-    kept = ~F.col("base_failed") & (F.col("score") >= threshold)
+    kept = ~F.col("base_failed") & (F.col("score") >= threshold - SLACK / F.sqrt(grams))
     return based.withColumn("kept", kept).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score", "kept",
         F.xxhash64("text").alias("text_hash"),
