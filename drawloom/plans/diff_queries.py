@@ -318,11 +318,11 @@ def changed_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @QUERIES("""
-with p as (select l_orderkey % 500 as pair_id, l_quantity / 50 as confidence, l_returnflag, l_linestatus from lineitem),
+with p as (select l_orderkey % 500 as pair_id, l_quantity / 47 as confidence, l_returnflag, l_linestatus from lineitem),
 d as (select pair_id, round_even(avg(confidence), 3) as confidence, count(*) filter (l_returnflag = 'R') as review, count(*) filter (l_linestatus = 'O') as changed from p group by pair_id)
 select pair_id, confidence, case when review > 40 then 'review_needed' when changed > 0 then 'changed' else 'unchanged' end as status from d""")
 def document_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = I.table(spark, sf_dir, "lineitem").selectExpr("l_orderkey % 500 as pair_id", "l_quantity / 50 as confidence", "l_returnflag", "l_linestatus")
+    pages = I.table(spark, sf_dir, "lineitem").selectExpr("l_orderkey % 500 as pair_id", "l_quantity / 47 as confidence", "l_returnflag", "l_linestatus")
     counts = pages.groupBy("pair_id").agg(F.count_if(F.col("l_returnflag") == "R").alias("review"), F.count_if(F.col("l_linestatus") == "O").alias("changed"))
     status = diff.document_status(F.col("review") > 40, F.lit(0), F.col("changed"))
     return diff.document_confidence(pages).join(counts, "pair_id").select("pair_id", "confidence", status.alias("status"))

@@ -422,7 +422,7 @@ _UP = "regexp_replace(upper(replace({}, 'ß', 'SS')), '[^A-Z0-9]+', '', 'g')"
 with b as (select item_id as row_num, {_UP.format("text")} as key from benchmark),
 d as (select doc_id, {_UP.format("text")} as compact from documents),
 h as (select row_num, doc_id, count(*) over (partition by row_num) as n from b join d on contains(compact, key) where key <> '')
-select row_num, doc_id as block_idx, n as n_hits, round(greatest(0.5, least(0.84, 0.76 - case when n > 1 then least(0.12, 0.025 * (n - 1)) else 0 end)), 6) as confidence from h""")
+select row_num, doc_id as block_idx, n as n_hits, round(greatest(0.5::double, least(0.84::double, 0.76::double - case when n > 1 then least(0.12::double, 0.025::double * (n - 1)) else 0 end)), 6) as confidence from h""")
 def block_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = I.table(spark, sf_dir, "benchmark").select(
         F.lit("list").alias("ws_name"), F.col("item_id").alias("row_num"), F.lit(None).cast("array<int>").alias("allowed_pages"), F.lit("line").alias("tag_class"),
