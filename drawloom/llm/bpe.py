@@ -23,7 +23,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import cache, lru_cache
 
 import ahocorasick
@@ -31,7 +31,11 @@ import pyarrow as pa
 import tokenizers
 from pyspark.sql import DataFrame
 
-REMEMBERED = 400_000
+REMEMBERED = 160_000
+#: Token pairs whose compatibility a worker remembers.
+PAIRS = 200_000
+#: Texts of a batch that are held as Python strings at a time.
+SLICE = 256
 #: Words longer than this are encoded but not remembered.
 LONG_WORD = 64
 #: The tokenizer's split pattern on lower-case Latin-1: contractions, letters, single numerals, other marks.
@@ -97,9 +101,9 @@ class Encoder:
             i: next((self.by_text[t[:k]] for k in range(len(t) - 1, 0, -1) if t[:k] in self.by_text), None)
             for t, i in self.by_text.items()
         }
-        self.compatible = lru_cache(maxsize=1_000_000)(self._compatible)
+        self.compatible = lru_cache(maxsize=PAIRS)(self._compatible)
         self.spine = cache(self._spine)
-        self.word = lru_cache(maxsize=REMEMBERED)(self.encode_word)
+        self.word = lru_cache(maxsize=REMEMBERED // 4)(self.encode_word)
 
     def merged(self, units: list[int]) -> list[int]:
         """The plain merge loop: the lowest rank first, the leftmost of equals."""
@@ -266,7 +270,7 @@ def _memory(path: str) -> _Memory:
     return _Memory(encoder(path))
 
 
-def digests(path: str, texts: Iterator[str | None]) -> Iterator[tuple[int, str, str]]:
+def digests(path: str, texts: Iterable[str | None]) -> Iterator[tuple[int, str, str]]:
     """(n_tokens, sha256 of the ids, sha256 of the decoded text) of each text."""
     enc, look = encoder(path), _memory(path).__getitem__
     for text in texts:
@@ -290,23 +294,18 @@ def encode_digests(docs: DataFrame, path: str) -> DataFrame:
     """One row per input row: doc_id, n_tokens, ids_sha256, decoded_sha256."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def texts() -> Iterator[str | None]:
-            for batch in batches:
-                ids.append(batch.column(0))
-                yield from batch.column(1).to_pylist()
-
-        ids: list[pa.Array] = []
-        rows: list[tuple[int, str, str]] = []
-        for row in digests(path, texts()):
-            rows.append(row)
-            if len(rows) == len(ids[0]):
-                yield _batch(ids.pop(0), rows)
-                rows = []
+        for batch in batches:
+            for part in _slices(batch):
+                yield _batch(part.column(0), list(digests(path, part.column(1).to_pylist())))
 
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
     return rows.mapInArrow(run, SCHEMA)
 
 
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    return (batch.slice(start, SLICE) for start in range(0, batch.num_rows, SLICE))
+
+
 def _batch(ids: pa.Array, rows: list[tuple[int, str, str]]) -> pa.RecordBatch:
     n, a, b = zip(*rows, strict=True)
     columns = [ids, pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())]
@@ -318,7 +317,7 @@ def encode_ids(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
-        for batch in batches:
+        for batch in (part for whole in batches for part in _slices(whole)):
             ids = [enc.encode(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
@@ -331,7 +330,7 @@ def decode_ids(rows: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
-        for batch in batches:
+        for batch in (part for whole in batches for part in _slices(whole)):
             texts = [enc.decode(i or []) for i in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
 
