@@ -19,8 +19,8 @@ _STATUS = f"""case when b_revision <> '' and a_revision <> '' and lower(b_revisi
   when {REVISED.format("a_revision")} > {REVISED.format("b_revision")} then 'revised' when {REVISED.format("a_revision")} < {REVISED.format("b_revision")} then 'revision_regressed'
   when {REVISED.format("a_revision")} = {REVISED.format("b_revision")} then 'same_revision'
   when coalesce(b_revision, '') <> '' or coalesce(a_revision, '') <> '' then 'revision_unknown' else 'no_revision' end"""
-_BEFORE = f"(select * from {derived_sql('orders', I.SHEETS_BEFORE)} where seq % 3 > 0)"
-_AFTER = f"(select * from {derived_sql('orders', I.SHEETS_AFTER)} where seq % 5 > 0)"
+_BEFORE = f"(select * from {derived_sql('orders', I.SHEETS_BEFORE)} where kept)"
+_AFTER = f"(select * from {derived_sql('orders', I.SHEETS_AFTER)} where kept)"
 
 
 @QUERIES(f"""
@@ -38,8 +38,8 @@ union all select 'review_needed', path, null, case when failed then sheet_id end
 union all select 'review_needed', null, path, case when failed then sheet_id end, family, 'review_needed' from {_AFTER} where failed or sheet_id is null""")
 def sheet_pairing(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = I.table(spark, sf_dir, "orders")
-    before = I.derived(orders, I.SHEETS_BEFORE).filter("seq % 3 > 0")
-    after = I.derived(orders, I.SHEETS_AFTER).filter("seq % 5 > 0")
+    before = I.derived(orders, I.SHEETS_BEFORE).filter("kept")
+    after = I.derived(orders, I.SHEETS_AFTER).filter("kept")
     found = pairing.pair_by_sheet(before, after)
     return found.select("status", "before_path", "after_path", "sheet_id", "family", "revision_status")
 
@@ -128,14 +128,14 @@ def preview_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.table(spark, sf_dir, "documents").select("doc_id", F.array_join(T.preview_lines(F.col("text")), "\n").alias("preview"))
 
 
-_ORDERS_A = "select o_orderkey, o_orderstatus, o_orderpriority from orders where o_orderkey % 10 > 0"
-_ORDERS_B = "select o_orderkey, case when o_orderkey % 7 = 0 then 'X' else o_orderstatus end as o_orderstatus, case when o_orderkey % 11 = 0 then null else o_orderpriority end as o_orderpriority from orders where o_orderkey % 9 > 0"
+_ORDERS_A = "select o_orderkey, o_orderstatus, o_orderpriority from orders where o_orderstatus <> 'P'"
+_ORDERS_B = "select o_orderkey, case when o_orderkey % 7 = 0 then 'X' else o_orderstatus end as o_orderstatus, case when o_orderkey % 11 = 0 then null else o_orderpriority end as o_orderpriority from orders where o_orderpriority <> '1-URGENT'"
 
 
 def _snapshots(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     orders = I.table(spark, sf_dir, "orders")
-    before = orders.filter("o_orderkey % 10 > 0").select("o_orderkey", "o_orderstatus", "o_orderpriority")
-    after = orders.filter("o_orderkey % 9 > 0").selectExpr(
+    before = orders.filter("o_orderstatus <> 'P'").select("o_orderkey", "o_orderstatus", "o_orderpriority")
+    after = orders.filter("o_orderpriority <> '1-URGENT'").selectExpr(
         "o_orderkey", "case when o_orderkey % 7 = 0 then 'X' else o_orderstatus end as o_orderstatus",
         "case when o_orderkey % 11 = 0 then null else o_orderpriority end as o_orderpriority",
     )
@@ -189,8 +189,8 @@ def _records(spark: SparkSession, sf_dir: str, side: str) -> DataFrame:
     """File records of one revision, named after suppliers."""
     rows = I.table(spark, sf_dir, "supplier")
     mark = "' rev A'" if side == "before" else "' rev B'"
-    files = rows.selectExpr(f"concat('{side}/', s_name, {mark}, ' area ', cast(s_nationkey as string), '.pdf') as path", "cast(s_suppkey as double) as modified_at")
-    files = files.filter(f"crc32(path) % {7 if side == 'before' else 5} > 0")
+    files = rows.selectExpr(f"concat('{side}/', s_name, {mark}, ' area ', cast(s_nationkey as string), '.pdf') as path", "cast(s_suppkey as double) as modified_at", "s_acctbal")
+    files = files.filter("s_acctbal > 0" if side == "before" else "s_acctbal < 9000")
     found = pairing.file_records(files)
     return found.select(
         "*", (F.col("seq") % 3 + 1).alias("page_count"), F.lit(800.0).alias("width"), F.lit(600.0).alias("height"), F.lit(False).alias("failed"),
@@ -225,10 +225,10 @@ def sequence_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
     return part.select("p_partkey", ratio(part["p_name"], part["p_type"]).alias("ratio"))
 
 
-def _page_table(spark: SparkSession, sf_dir: str, shift: int) -> DataFrame:
+def _page_table(spark: SparkSession, sf_dir: str, gone: str) -> DataFrame:
     own = Window.partitionBy("pair_id").orderBy("page_id")
     pages = I.table(spark, sf_dir, "pages").withColumn("pair_id", F.floor(F.col("page_id") / 8))
-    pages = pages.filter(f"page_id % 5 <> {shift}").withColumn("page_index", F.row_number().over(own) - 1)
+    pages = pages.filter(~F.contains("url", F.lit(gone))).withColumn("page_index", F.row_number().over(own) - 1)
     return pages.select(
         "pair_id", "page_index", F.substring(F.md5("url"), 1, 16).alias("fingerprint"), F.substring("html", 1, 1500).alias("preview"),
         F.lit(800.0).alias("width"), F.lit(600.0).alias("height"),
@@ -237,14 +237,14 @@ def _page_table(spark: SparkSession, sf_dir: str, shift: int) -> DataFrame:
 
 @QUERIES()
 def page_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return diff.align_pages(_page_table(spark, sf_dir, 1), _page_table(spark, sf_dir, 3))
+    return diff.align_pages(_page_table(spark, sf_dir, "?page="), _page_table(spark, sf_dir, "#top"))
 
 
 def _diff_rows(spark: SparkSession, sf_dir: str, side: str) -> DataFrame:
     """Table rows of two revisions: events of a user as rows of one region."""
     events = I.table(spark, sf_dir, "events")
     value = F.col("value") if side == "before" else F.when(F.col("event_id") % 13 == 0, F.col("value") + 1).otherwise(F.col("value"))
-    keep = "event_id % 17 > 0" if side == "before" else "event_id % 19 > 0"
+    keep = "second(ts) < 55" if side == "before" else "second(ts) >= 5"
     cells = F.array(F.concat(F.lit("EV-"), F.col("event_id").cast("string")), F.col("event_type"), F.round(value, 2).cast("string"))
     rows = events.filter(keep).withColumn("cells", cells).withColumn("text", F.array_join("cells", " "))
     own = Window.partitionBy("user_id").orderBy("event_id" if side == "before" else F.col("event_id") % 50, "event_id")
@@ -262,7 +262,7 @@ def row_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _regions(spark: SparkSession, sf_dir: str, side: str) -> DataFrame:
     shift = 0 if side == "before" else 7
-    spans = I.spans(spark, sf_dir).filter(f"span_id % 9 <> {3 if side == 'before' else 5}")
+    spans = I.spans(spark, sf_dir).filter(f"not startswith(text, '{'RM' if side == 'before' else 'RL7'}')")
     return spans.select(
         F.concat_ws("-", "doc_id", "page_num").alias("pair_id"), F.col("span_id").alias("region_id"), F.lit("general").alias("kind"),
         (F.col("x0") + shift).alias("x0"), "y0", (F.col("x1") + shift).alias("x1"), "y1", F.lit(I.WIDTH).alias("width"), F.lit(I.HEIGHT).alias("height"),
@@ -337,8 +337,8 @@ def keyword_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @QUERIES(f"""
-with b as (select * from {I.SPANS_SQL} where span_id % 2 = 0), r as (select * from {I.SPANS_SQL} where span_id % 7 = 1)
+with b as (select * from {I.SPANS_SQL} where contains(text, '-')), r as (select * from {I.SPANS_SQL} where not contains(text, '-'))
 select span_id from b where exists (select 1 from r where r.page_num = b.page_num and b.x0 <= r.x1 + 10 and r.x0 <= b.x1 + 10 and b.y0 <= r.y1 + 10 and r.y0 <= b.y1 + 10)""")
 def boxes_near_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans = I.spans(spark, sf_dir).withColumn("page_id", F.col("page_num"))
-    return diff.near_boxes(spans.filter("span_id % 2 = 0"), spans.filter("span_id % 7 = 1"), 10.0).select("span_id")
+    return diff.near_boxes(spans.filter("contains(text, '-')"), spans.filter("not contains(text, '-')"), 10.0).select("span_id")

@@ -60,11 +60,13 @@ SHEETS_BEFORE = {
     "revision": "case o_orderkey % 5 when 0 then 'A' when 1 then 'B' when 2 then '3' when 3 then null else 'c' end",
     "family": "'detail'",
     "failed": "o_orderkey % 97 = 0",
+    "kept": "o_orderstatus <> 'P'",
 }
 SHEETS_AFTER = SHEETS_BEFORE | {
     "path": "'after/' || cast(o_orderkey as string)",
     "revision": "case o_orderkey % 7 when 0 then 'B' when 1 then 'A' when 2 then '4' when 3 then 'rev9' else null end",
     "family": "'area_plan'",
+    "kept": "o_orderpriority <> '5-LOW'",
 }
 
 

@@ -356,11 +356,11 @@ _SHEETS = {"doc_id": "0", "page_num": "n_nationkey", "text": "case when n_nation
 
 @QUERIES(f"""
 select page_num, case when page_num % 3 = 0 then regexp_extract(text, '(DG[0-9]+)', 1) else upper(regexp_extract(text, 'DG[0-9]+')) end as sheet_id
-from {I.derived_sql("nation", _SHEETS)} where page_num % 3 < 2""")
+from {I.derived_sql("nation", _SHEETS)} where contains(text, 'DG')""")
 def sheet_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = I.derived(I.table(spark, sf_dir, "nation"), _SHEETS)
     pages = text.selectExpr("doc_id", "page_num", "1000d as width", "800d as height")
-    none = I.spans(spark, sf_dir).filter("span_id < 0").selectExpr("0 as doc_id", "cast(page_num as int) as page_num", "span_id", "text", "x0", "y0", "x1", "y1", "size")
+    none = spark.createDataFrame([], "doc_id int, page_num int, span_id long, text string, x0 double, y0 double, x1 double, y1 double, size double")
     return scan.sheet_map(none, pages, text).select("page_num", "sheet_id")
 
 
@@ -437,11 +437,11 @@ def block_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @QUERIES(f"""
-with t as {_SCORED} select span_id from t where not exists (select 1 from t m where m.span_id % 3 = 0 and m.page_num = t.page_num
+with t as {_SCORED} select span_id from t where not exists (select 1 from t m where m.confidence >= 0.9 and m.page_num = t.page_num
   and m.full_tag = t.full_tag and round_even(m.x0, 0) = round_even(t.x0, 0) and round_even(m.y0, 0) = round_even(t.y0, 0))""")
 def unmatched_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     tags = _tag_table(spark, sf_dir)
-    return match.unmatched_tags(tags, tags.filter("seq % 3 = 0")).select(F.col("seq").alias("span_id"))
+    return match.unmatched_tags(tags, tags.filter("confidence >= 0.9")).select(F.col("seq").alias("span_id"))
 
 
 def _tag_list(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -499,13 +499,13 @@ def nms_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @QUERIES(f"""
-with n as {_SCORED}, o as (select * from n where span_id % 5 = 0),
-last as (select *, row_number() over (partition by doc_id, page_num, sheet_id, tag_class, full_tag order by span_id desc) as rn from (select * from n where span_id % 3 > 0))
+with n as {_SCORED}, o as (select * from n where zone <> 'edge'),
+last as (select *, row_number() over (partition by doc_id, page_num, sheet_id, tag_class, full_tag order by span_id desc) as rn from (select * from n where method = 'fulltag:isa' or zone = 'drawing'))
 select span_id, case when rn = 1 and h > 0 then 'matched' else 'native-only' end as source_agreement from (
   select l.*, (select count(*) from o where o.doc_id = l.doc_id and o.page_num = l.page_num and o.sheet_id = l.sheet_id and o.tag_class = l.tag_class and o.full_tag = l.full_tag) as h from last l)
 union all select span_id, 'ocr-only' from o where not exists (select 1 from last l where o.doc_id = l.doc_id and o.page_num = l.page_num and o.sheet_id = l.sheet_id and o.tag_class = l.tag_class and o.full_tag = l.full_tag)""")
 def fuse_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     tags = _scored(spark, sf_dir)
-    native = tags.filter("seq % 3 > 0").withColumn("text_source", F.lit("native")).withColumn("source_agreement", F.lit("native-only"))
-    ocr = tags.filter("seq % 5 = 0").withColumn("text_source", F.lit("ocr")).withColumn("source_agreement", F.lit("ocr-only"))
+    native = tags.filter("method = 'fulltag:isa' or zone = 'drawing'").withColumn("text_source", F.lit("native")).withColumn("source_agreement", F.lit("native-only"))
+    ocr = tags.filter("zone <> 'edge'").withColumn("text_source", F.lit("ocr")).withColumn("source_agreement", F.lit("ocr-only"))
     return scan.fuse_sources(native, ocr).select(F.col("seq").alias("span_id"), "source_agreement")

@@ -42,7 +42,7 @@ def test_folder_scan_and_uploads(spark, tmp_path):
     got = {r.path.rsplit("/", 1)[1]: r.failed for r in files.scan_folder(spark, str(tmp_path / "in"), "before").collect()}
     assert got == {"DT0001.PDF": False, "broken.pdf": True}
     with zipfile.ZipFile(tmp_path / "up.zip", "w") as z:
-        z.writestr("IFB/DT0001.pdf", "x")
+        z.writestr("old/DT0001.pdf", "x")
         z.writestr("readme.txt", "x")
     assert [p.rsplit("/", 1)[1] for p in files.unpack(str(tmp_path / "up.zip"), str(tmp_path / "out"))] == ["DT0001.pdf"]
     with zipfile.ZipFile(tmp_path / "bad.zip", "w") as z:
