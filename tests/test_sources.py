@@ -77,3 +77,21 @@ def test_stream_of_line_tags(spark, tmp_path):
     counts = ingest.append_new(ingest.tag_counts_stream(spark, str(tmp_path / "in"), late="0 seconds"), str(tmp_path / "c"), str(tmp_path / "s2"))
     counts.awaitTermination(120)
     assert counts.exception() is None
+
+
+def test_tables_of_sheets_and_packages(spark):
+    from drawloom.sources import tables
+
+    rows = [("p", "Main", 1, ["note"]), ("p", "Main", 2, [" Tag ", None, "SIZE", "size"]), ("p", "Main", 3, ["a", "b", "1", "2"]), ("p", "Main", 4, ["c"]), ("p", "Other", 3, ["x"])]
+    df = spark.createDataFrame(rows, xlsx.SCHEMA)
+    got = tables.sheet_table(df, "Main", 2).orderBy("row_num").collect()
+    assert [r.asDict() for r in got] == [{"row_num": 3, "tag": "a", "size": "2"}, {"row_num": 4, "tag": "c", "size": None}]
+    same = [{"a": 1, "b": "x"}, {"a": 2, "b": None}]
+    for package in (
+        same, [[same[0]], [same[1]]], {"a": [1, 2], "b": ["x"]}, [["a", "b"], [1, "x"], [2]], [["a", "b"], [[1, "x"], [2, None]]], [["a", "b"], {"a": [1, 2], "b": ["x"]}],
+        {"FlatData": same, "Mapping": {"q": 1}, "Log": []}, {"GroupedData": {"g": [same[0]], "h": [same[1]]}},
+    ):
+        assert [r.asDict() for r in tables.package_table(spark, package).collect()] == [{"a": "1", "b": "x"}, {"a": "2", "b": None}]
+    assert tables.package_table(spark, []).count() == 0
+    boxes = spark.createDataFrame([(1, 0.0, 5.0, 2.0, 6.0), (1, 1.0, 3.0, 9.0, 4.0)], "k int, x0 double, y0 double, x1 double, y1 double")
+    assert tuple(tables.union_box(boxes, ["k"]).first()) == (1, 0.0, 3.0, 9.0, 6.0)
