@@ -31,7 +31,7 @@ import pyarrow as pa
 import tokenizers
 from pyspark.sql import DataFrame
 
-REMEMBERED = 160_000
+REMEMBERED = 240_000
 #: Token pairs whose compatibility a worker remembers.
 PAIRS = 200_000
 #: Texts of a batch that are held as Python strings at a time.
@@ -76,6 +76,8 @@ class Encoder:
             at += len(pieces[-1])
             self.offsets.append(at)
         self.all_text = "".join(pieces)
+        #: Each id as written, to its slice of the text and a blank.
+        self.shown = {str(i): self.all_text[self.offsets[i] : self.offsets[i + 1]] + " " for i in texts}
         self._ranks(vocab, model["merges"])
 
     def _ranks(self, vocab: dict[str, int], merges: list) -> None:
@@ -228,11 +230,6 @@ class Encoder:
         off, text = self.offsets, self.all_text
         return " ".join([text[off[i] : off[i + 1]] for i in ids])
 
-    def written(self, ids: list[int]) -> tuple[str, str]:
-        """Ids and tokens' texts, a blank after each."""
-        off, texts = self.offsets, self.all_text
-        return "".join([f"{i} " for i in ids]), "".join([texts[off[i] : off[i + 1]] + " " for i in ids])
-
     def encode(self, text: str | None) -> list[int]:
         ids: list[int] = []
         for i, part in enumerate(self.splitter.split(text or "")):
@@ -245,17 +242,22 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+def written(ids: list[int]) -> str:
+    """Ids with a blank after each."""
+    return "".join([f"{i} " for i in ids])
+
+
 class _Memory(dict):
-    """Word to its encoding, computed when missing; two generations of half the bound each."""
+    """Word to its ids as written, computed when missing; two generations of half the bound each."""
 
     def __init__(self, enc: Encoder):
         self.enc = enc
-        self.older: dict[str, tuple[str, str]] = {}
+        self.older: dict[str, str] = {}
 
-    def __missing__(self, word: str) -> tuple[str, str]:
+    def __missing__(self, word: str) -> str:
         found = self.older.get(word)
         if found is None:
-            found = self.enc.written(self.enc.encode_word(byte_level(word)))
+            found = written(self.enc.encode_word(byte_level(word)))
         if len(word) <= LONG_WORD:
             if len(self) >= REMEMBERED // 2:
                 self.older = dict(self)
@@ -273,16 +275,17 @@ def _memory(path: str) -> _Memory:
 def digests(path: str, texts: Iterable[str | None]) -> Iterator[tuple[int, str, str]]:
     """(n_tokens, sha256 of the ids, sha256 of the decoded text) of each text."""
     enc, look = encoder(path), _memory(path).__getitem__
+    shown = enc.shown.__getitem__
     for text in texts:
-        parts: list[tuple[str, str]] = []
+        parts: list[str] = []
         for i, part in enumerate(enc.splitter.split(text or "")):
             if i % 2:
-                parts.append((enc.special[part] + " ", part + " "))
+                parts.append(enc.special[part] + " ")
             else:
                 words = enc.words(part)
-                parts += [enc.written(enc.encode_plain(part))] if words is None else map(look, words)
-        ids_of, texts_of = zip(*parts, strict=True) if parts else ((), ())
-        ids, decoded = "".join(ids_of), "".join(texts_of)
+                parts.append(written(enc.encode_plain(part)) if words is None else "".join(map(look, words)))
+        ids = "".join(parts)
+        decoded = "".join(map(shown, ids.split()))
         n = ids.count(" ")
         yield n, hashlib.sha256(ids[:-1].encode()).hexdigest(), hashlib.sha256(decoded[:-1].encode()).hexdigest()
 
