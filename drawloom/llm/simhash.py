@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from drawloom.llm.common import cut, lookup, sized_broadcast
+from drawloom.llm.common import cut, lookup, sized_broadcast, text_of
 
 SHINGLE = 4
 DISTANCE = 4
@@ -63,13 +63,17 @@ def fingerprint(text: str | None) -> int:
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in (whole.slice(i, 256) for whole in batches for i in range(0, whole.num_rows, 256)):
         prints = np.array([fingerprint(t) for t in batch.column(1).to_pylist()], dtype=np.uint64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64))], ["doc_id", "fp"])
+        columns = [batch.column(0), pa.array(prints.view(np.int64)), *batch.columns[2:]]
+        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "fp", "text_hash"][: len(columns)])
 
 
-def with_fingerprints(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(doc_id, fp) with the fingerprint as a signed 64-bit number."""
+def with_fingerprints(docs: DataFrame, text_col: str = "text", hashed: bool = False) -> DataFrame:
+    """(doc_id, fp) with the fingerprint as a signed 64-bit number, and text_hash where ``hashed``."""
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
-    return rows.mapInArrow(_fingerprints, "doc_id long, fp long")
+    if not hashed:
+        return rows.mapInArrow(_fingerprints, "doc_id long, fp long")
+    rows = rows.select("doc_id", "text", F.xxhash64(text_of(rows)).alias("text_hash"))
+    return rows.mapInArrow(_fingerprints, "doc_id long, fp long, text_hash long")
 
 
 def blocks_for(n: int, distance: int = DISTANCE) -> list[tuple[int, int]]:
@@ -224,7 +228,12 @@ def components(edges: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row per input row: doc_id, fingerprint, component_id."""
-    rows = cut(with_fingerprints(docs))
+    return _flags(with_fingerprints(docs))
+
+
+def _flags(prints: DataFrame) -> DataFrame:
+    """The rows of (doc_id, fp, ...) with fingerprint and component_id in place of fp."""
+    rows = cut(prints)
     distinct = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")))
     total, n = rows.count(), distinct.count()
     roots = cut(components(links(distinct.select("fp"), n)))
@@ -239,15 +248,25 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         "doc_id",
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
         F.coalesce("component_id", "doc_id").alias("component_id"),
+        *[c for c in rows.columns if c not in ("doc_id", "fp")],
     )
 
 
+def not_first(docs: DataFrame, flags: DataFrame) -> DataFrame:
+    """``docs`` without the rows that ``flags`` (doc_id, text_hash, component_id) leaves to another doc_id.
+
+    Rows are told apart by doc_id and text, as null and repeated doc_ids may belong to several texts.
+    """
+    gone = flags.filter("not (doc_id <=> component_id)").select(F.col("doc_id").alias("id__"), F.col("text_hash").alias("hash__"))
+    gone = cut(gone.distinct())
+    rows = docs.withColumn("key__", F.xxhash64(text_of(docs)))
+    same = (rows["key__"] == gone["hash__"]) & rows["doc_id"].eqNullSafe(gone["id__"])
+    return rows.join(sized_broadcast(gone, gone.count()), same, "left_anti").select(docs.columns)
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` with the smallest doc_id of their component, all columns kept.
 
     Null doc_ids beside others in a component go; a component of nulls only stays whole.
     """
-    flags = near_duplicates(docs)
-    drop = cut(flags.filter("not (doc_id <=> component_id)").select(F.col("doc_id").alias("id__")).distinct())
-    same = docs["doc_id"].eqNullSafe(drop["id__"])
-    return docs.join(sized_broadcast(drop, drop.count()), same, "left_anti")
+    return not_first(docs, _flags(with_fingerprints(docs, hashed=True)))
