@@ -46,10 +46,36 @@ PARTS_255 = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 
 
 def located(text: Column, pattern: Column | str, kind: str, reach: int = 0) -> Column:
-    """The matches of ``pattern`` with their places in code points and ``reach`` characters around them."""
+    """The matches of ``pattern`` with their places in code points and ``reach`` characters around them.
+
+    Words that the cut or a match splits are left out of the characters around.
+    """
     pattern = F.lit(pattern) if isinstance(pattern, str) else pattern
     found = F.regexp_extract_all(text, pattern, F.lit(0))
 
+    def bare(around: Column, head: Column, tail: Column) -> Column:
+        """Without the word at either edge that goes on beyond it."""
+        around = F.when(head, F.regexp_replace(around, f"^{TERM}+", "")).otherwise(around)
+        return F.when(tail, F.regexp_replace(around, f"{TERM}+$", "")).otherwise(around)
+
+    def ends(value: Column) -> Column:
+        return F.coalesce(value.rlike(f"{TERM}$"), F.lit(False))
+
+    def starts(value: Column) -> Column:
+        return F.coalesce(value.rlike(f"^{TERM}"), F.lit(False))
+
+    def before(gap: Column, last: Column, value: Column) -> Column:
+        if not reach:
+            return F.lit("")
+        long = F.length(gap) > reach  # one character more shows whether the cut splits a word
+        kept = F.substring(gap, -F.least(F.lit(reach + 1), F.length(gap)), F.lit(reach + 1))
+        return bare(kept, long | ends(last), starts(value))
+
+    def after(gap: Column, value: Column, following: Column) -> Column:
+        if not reach:
+            return F.lit("")
+        return bare(F.substring(gap, F.lit(1), F.lit(reach + 1)), ends(value), (F.length(gap) > reach) | starts(following))
+
     def with_gaps(m: Column) -> Column:
         def spans(gaps: Column) -> Column:
             lengths = F.transform(m, lambda x, i: (F.length(gaps[i]) + F.length(x)).cast("bigint"))
@@ -62,8 +88,8 @@ def located(text: Column, pattern: Column | str, kind: str, reach: int = 0) -> C
                         (ends[i] - F.length(x)).alias("start"),
                         ends[i].alias("end"),
                         x.alias("value"),
-                        F.substring(gaps[i], -F.least(F.lit(reach), F.length(gaps[i])), F.lit(reach)).alias("left"),
-                        F.substring(gaps[i + 1], F.lit(1), F.lit(reach)).alias("right"),
+                        before(gaps[i], F.get(m, i - 1), x).alias("left"),
+                        after(gaps[i + 1], x, F.get(m, i + 1)).alias("right"),
                     ),
                 ),
             )

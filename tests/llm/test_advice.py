@@ -1,9 +1,24 @@
 """Cases in which an operator once did less than the whole job."""
 
-from drawloom.llm import simhash
+from pyspark.sql import functions as F
+
+from drawloom.llm import pii, simhash
 
 
 def test_keep_one_tells_null_and_repeated_ids_apart(spark):
     rows = [(None, "a b"), (3, "a b"), (None, "zzz"), (4, "one two"), (5, "one  two"), (5, "quite other")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert {tuple(r) for r in simhash.keep_one(df).collect()} == {(3, "a b"), (None, "zzz"), (4, "one two"), (5, "quite other")}
+
+
+def fillers(spark, n):
+    return spark.range(n).select(F.concat(F.lit("filler text number "), "id").alias("text"))
+
+
+def test_pii_contexts_hold_whole_words_only(spark):
+    rows = [f"we met ann at {i} o'clock, write to secret@one.example now" for i in ("six", "ten", "two")]
+    middle = "was seen in the garden beside the house on the hill and say"
+    rows += [f"Hermann {middle} other{i}@two.example bye" for i in range(40)]
+    assert len(f"ann {middle} ") == 64  # the window begins inside of Hermann
+    df = spark.createDataFrame([(t,) for t in rows], "text string").unionByName(fillers(spark, 3000))
+    assert {r.term: r.disclosure for r in pii.disclosing_terms(df).collect()}.get("ann") == 1.0
