@@ -7,16 +7,16 @@ and a term t that stand near each other,
 
     disclosure(c, t) = PMI(c; t) / IC(c) = 1 + log2 p(c | t) / -log2 p(c)
 
-with p(c) the share of documents that hold c and p(c | t) the number of
-distinct contexts of c that hold t over the documents that hold t.  It is 1
-when the term always comes with the value.  Terms at ``generalise`` or more are
+with p(c) the share of distinct texts that hold c and p(c | t) the distinct
+texts that hold both c and t, wherever they stand, over those that hold t.  It
+is 1 when the term always comes with the value.  Terms at ``generalise`` or more are
 replaced by their shape, at ``remove`` or more they are removed, wherever they
-occur.  A pair needs ``support`` distinct contexts, so that copies of one text,
-which repeat one context, prove nothing.
+occur.  A pair is tried when t stands beside c in ``support`` distinct contexts,
+so that copies of one text, which repeat one context, prove nothing.
 
 Contexts hold at most ``reach`` characters on either side of a value and values
 are grouped with partial sums, so a value in a third of all rows is no hot
-spot.  Term counts run over all documents.
+spot.  All counts run over whole texts, copies of a text once.
 
 Nulls: a null text is empty; a null doc_id is allowed; repeated rows are rows
 of their own (they share contexts).  Without base matches, or in an empty
@@ -134,41 +134,44 @@ def disclosing_terms(
     docs: DataFrame, *, reach: int = 64, support: int = 3, generalise: float = 0.9, remove: float = 0.97
 ) -> DataFrame:
     """(term, action, disclosure) of the terms that give a protected value away, from (text)."""
-    spans = docs.select(
-        F.monotonically_increasing_id().alias("uid"),
-        F.explode(F.concat(*[base_spans(F.col("text"), k, reach) for k in KINDS])).alias("s"),
-    )
+    keyed = docs.select(F.xxhash64("text").alias("h"), "text")
+    spans = keyed.select("h", F.explode(F.concat(*[base_spans(F.col("text"), k, reach) for k in KINDS])).alias("s"))
     plain = F.when(F.col("s.kind") == "email", F.lower("s.value"))
     plain = plain.when(F.col("s.kind") == "ip", F.col("s.value")).otherwise(F.regexp_replace("s.value", "[^0-9]", ""))
     around = F.concat_ws(" ", "s.left", "s.right")
-    near = cut(spans.select("uid", F.concat_ws(":", "s.kind", plain).alias("value"), around.alias("around")))
-    values = near.groupBy("value").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= support)
-    frequent = near.join(values.select("value"), "value", "left_semi")
-    held = frequent.groupBy("value", "uid").agg(F.first("around").alias("_")).groupBy("value").agg(F.count(F.lit(1)).alias("docs_c"))
-    contexts = frequent.groupBy("value", F.xxhash64("around").alias("h")).agg(F.min("around").alias("around"))
+    near = spans.select("h", F.concat_ws(":", "s.kind", plain).alias("value"), around.alias("around"))
+    near = cut(near.distinct())  # copies of a text leave here
+    holders = near.select("value", "h").distinct()
+    held = cut(holders.groupBy("value").agg(F.count(F.lit(1)).alias("docs_c")).filter(F.col("docs_c") >= support))
+    n_held = held.count()
+    frequent = near.join(sized_broadcast(held.select("value"), n_held), "value", "left_semi")
+    contexts = frequent.select("value", "around").distinct()
     pairs = contexts.select("value", F.explode(F.array_distinct(_terms(F.col("around")))).alias("term"))
-    pairs = pairs.groupBy("value", "term").agg(F.count(F.lit(1)).alias("joint")).filter(F.col("joint") >= support)
-    n_docs = docs.count()
-    information = -F.log2(F.col("docs_c") / F.lit(float(n_docs)))
+    pairs = pairs.groupBy("value", "term").agg(F.count(F.lit(1)).alias("contexts")).filter(F.col("contexts") >= support)
+    n_texts = keyed.select("h").distinct().count()
+    information = -F.log2(F.col("docs_c") / F.lit(float(n_texts)))
 
-    def share(docs_t: str) -> Column:
-        given = F.least(F.lit(1.0), F.col("joint") / F.col(docs_t))
+    def share(joint: str, docs_t: str) -> Column:
+        given = F.least(F.lit(1.0), F.col(joint) / F.col(docs_t))
         return F.when(information > 0, 1 + F.log2(given) / information).otherwise(F.lit(0.0))
 
-    # Documents that hold a term near any value are at most those that hold it at all, so a pair
-    # whose share stays under the threshold with them stays under it with all: only others are counted.
-    nearby = near.select("uid", F.explode(F.array_distinct(_terms(F.col("around")))).alias("term")).distinct()
+    # Texts with value and term are at most those with the value, and texts that hold a term near any value
+    # are at most those that hold it at all, so a pair whose share stays under the threshold with these
+    # bounds stays under it with the counts: only others are counted.
+    nearby = near.select("h", F.explode(F.array_distinct(_terms(F.col("around")))).alias("term")).distinct()
     nearby = nearby.groupBy("term").agg(F.count(F.lit(1)).alias("docs_near"))
-    pairs = pairs.join(held, "value").join(nearby, "term").filter(share("docs_near") >= generalise)
-    pairs = cut(pairs.select("value", "term", "joint", "docs_c"))
+    pairs = pairs.join(sized_broadcast(held, n_held), "value").join(nearby, "term").filter(share("docs_c", "docs_near") >= generalise)
+    pairs = cut(pairs.select("value", "term", "docs_c"))
     n_pairs = pairs.count()
     wanted = pairs.select("term").distinct()
     if not n_pairs:
         return wanted.select("term", F.lit("").alias("action"), F.lit(0.0).alias("disclosure"))
-    seen = docs.select(F.explode(F.array_distinct(_terms(F.col("text")))).alias("term"))
-    seen = seen.join(sized_broadcast(wanted, n_pairs), "term", "left_semi")
+    seen = keyed.select("h", F.explode(F.array_distinct(_terms(F.col("text")))).alias("term"))
+    seen = cut(seen.join(sized_broadcast(wanted, n_pairs), "term", "left_semi").distinct())
     counts = seen.groupBy("term").agg(F.count(F.lit(1)).alias("docs_t"))
-    scored = pairs.join(counts, "term").groupBy("term").agg(F.max(share("docs_t")).alias("disclosure"))
+    both = holders.join(sized_broadcast(pairs, n_pairs), "value").join(seen, ["term", "h"])
+    joint = both.groupBy("value", "term", "docs_c").agg(F.count(F.lit(1)).alias("joint"))
+    scored = joint.join(counts, "term").groupBy("term").agg(F.max(share("joint", "docs_t")).alias("disclosure"))
     action = F.when(F.col("disclosure") >= remove, "remove").otherwise("generalise")
     return cut(scored.filter(F.col("disclosure") >= generalise).select("term", action.alias("action"), "disclosure"))
 

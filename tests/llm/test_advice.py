@@ -22,3 +22,12 @@ def test_pii_contexts_hold_whole_words_only(spark):
     assert len(f"ann {middle} ") == 64  # the window begins inside of Hermann
     df = spark.createDataFrame([(t,) for t in rows], "text string").unionByName(fillers(spark, 3000))
     assert {r.term: r.disclosure for r in pii.disclosing_terms(df).collect()}.get("ann") == 1.0
+
+
+def test_pii_counts_copies_once_and_terms_of_the_whole_text(spark):
+    rows = [f"signed {w} by Zorblax via secret@one.example today" for w in ("six", "ten", "two")]
+    far = " and so on" * 12
+    rows += [rows[0]] * 2000 + [f"Zorblax starts{i}{far} then secret@one.example ends" for i in range(4)]
+    df = spark.createDataFrame([(t,) for t in rows], "text string").unionByName(fillers(spark, 3000))
+    got = {r.term: (r.action, r.disclosure) for r in pii.disclosing_terms(df).collect()}
+    assert got.get("zorblax") == ("remove", 1.0) and "filler" not in got
