@@ -26,23 +26,31 @@ from pyspark.sql import functions as F
 
 from drawloom.llm.common import cut, sized_broadcast
 
+#: Kind of the host itself that a domain entry with a leading www lists besides the hosts below it.
+WWW = "www"
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)"
 PATH = r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^?#]*)"
-#: Path segments that a prefix entry may have.
-DEPTH = 2
+
+
+def plain_host(host: Column) -> Column:
+    """A host in lower case, without a leading www or a closing dot."""
+    return F.regexp_replace(F.rtrim(F.lower(host), F.lit(".")), r"^www\.", "")
 
 
 def host_of(url: Column) -> Column:
-    """Lower-case host without a leading www; null where there is none."""
-    host = F.lower(F.regexp_extract(url, HOST, 1))
-    host = F.regexp_replace(F.rtrim(host, F.lit(".")), r"^www\.", "")
+    """The plain host of a URL; null where there is none."""
+    host = plain_host(F.regexp_extract(url, HOST, 1))
     return F.when(host != "", host)
 
 
-def path_head(url: Column) -> Column:
-    """The first ``DEPTH`` segments of the path."""
-    segments = F.filter(F.split(F.regexp_extract(url, PATH, 1), "/"), lambda s: s != "")
-    return F.array_join(F.slice(segments, 1, DEPTH), "/")
+def _segments(path: Column) -> Column:
+    return F.filter(F.split(path, "/"), lambda s: s != "")
+
+
+def path_head(url: Column, depth: int | None = None) -> Column:
+    """The first ``depth`` segments of the path, or all; paths keep their case."""
+    segments = _segments(F.regexp_extract(url, PATH, 1))
+    return F.array_join(segments if depth is None else F.slice(segments, 1, depth), "/")
 
 
 def candidate_keys(host: Column, head: Column) -> Column:
@@ -52,40 +60,58 @@ def candidate_keys(host: Column, head: Column) -> Column:
         F.sequence(F.lit(1), F.size(labels)),
         lambda i: F.struct(F.lit("domain").alias("kind"), F.array_join(F.slice(labels, i, F.size(labels)), ".").alias("pattern")),
     )
-    parts = F.filter(F.split(head, "/"), lambda s: s != "")
+    parts = _segments(head)
     prefixes = F.transform(
-        F.filter(F.sequence(F.lit(0), F.lit(DEPTH)), lambda i: (i > 0) & (i <= F.size(parts))),
+        F.filter(F.sequence(F.lit(0), F.size(parts)), lambda i: i > 0),
         lambda i: F.struct(
             F.lit("prefix").alias("kind"),
             F.concat(host, F.lit("/"), F.array_join(F.slice(parts, F.lit(1), i), "/")).alias("pattern"),
         ),
     )
-    exact = F.array(*[F.struct(F.lit(k).alias("kind"), host.alias("pattern")) for k in ("host", "allow")])
+    exact = F.array(*[F.struct(F.lit(k).alias("kind"), host.alias("pattern")) for k in ("host", "allow", WWW)])
     return F.when(host.isNotNull(), F.concat(exact, domains, prefixes))
 
 
+def plain_entries(entries: DataFrame) -> DataFrame:
+    """Entries with hosts and paths written as ``host_of`` and ``path_head`` write those of captures."""
+    dated = entries.filter("pattern is not null and since is not null")
+    pattern = F.col("pattern")
+    host = F.substring_index(pattern, "/", 1)
+    path = F.array_join(_segments(F.substring(pattern, F.length(host) + 2, F.length(pattern))), "/")
+    bare = F.rtrim(F.lower(pattern), F.lit("."))
+    both = F.array(
+        F.struct(F.col("kind").alias("kind"), bare.alias("pattern")),
+        F.struct(F.lit(WWW).alias("kind"), plain_host(pattern).alias("pattern")),
+    )
+    one = F.when(F.col("kind") == "prefix", F.concat(plain_host(host), F.lit("/"), path)).otherwise(plain_host(pattern))
+    own = F.array(F.struct(F.col("kind").alias("kind"), one.alias("pattern")))
+    split = (F.col("kind") == "domain") & bare.startswith("www.")
+    named = dated.withColumn("k__", F.explode(F.when(split, both).otherwise(own)))
+    return named.select("k__.kind", "k__.pattern", "category", "action", "since")
+
+
 def intervals(entries: DataFrame) -> DataFrame:
     """(kind, pattern, category, since, until) during which a pattern is listed."""
-    dated = entries.filter("pattern is not null and since is not null")
-    last = F.max_by(F.struct("category", "action"), F.struct((F.col("action") == "remove").cast("int"), "category"))
-    dated = dated.groupBy("kind", F.lower("pattern").alias("pattern"), "since").agg(last.alias("e"))
+    plain = plain_entries(entries)
+    pick = F.max_by(F.struct("category", "action"), F.struct((F.col("action") == "remove").cast("int"), "category"))
+    dated = plain.groupBy("kind", "pattern", "since").agg(pick.alias("e")).select("kind", "pattern", "since", "e.*")
     own = Window.partitionBy("kind", "pattern").orderBy("since")
-    spans = dated.select(
-        "kind", "pattern", "e.category", "e.action", "since", F.lead("since").over(own).alias("until")
-    )
+    spans = dated.select("kind", "pattern", "category", "action", "since", F.lead("since").over(own).alias("until"))
     return spans.filter("action = 'add'").drop("action")
 
 
 def filter_urls(captures: DataFrame, entries: DataFrame) -> DataFrame:
     """One row per capture (page_id, url, fetched): page_id, host, fetched, n_active, categories, blocked."""
+    listed = cut(intervals(entries))
+    segments = F.size(_segments(F.col("pattern"))) - 1
+    depth = listed.filter("kind = 'prefix'").agg(F.max(segments)).first()[0] or 0  # the deepest prefix listed
     rows = captures.select(
-        "page_id", "fetched", host_of(F.col("url")).alias("host"), F.coalesce(path_head(F.col("url")), F.lit("")).alias("head")
+        "page_id", "fetched", host_of(F.col("url")).alias("host"), F.coalesce(path_head(F.col("url"), depth), F.lit("")).alias("head")
     )
     asked = rows.filter("host is not null and fetched is not null").select("host", "head", "fetched").distinct()
     keys = asked.select("*", F.explode(candidate_keys(F.col("host"), F.col("head"))).alias("k")).select(
         "host", "head", "fetched", "k.kind", "k.pattern"
     )
-    listed = cut(intervals(entries))
     listed = sized_broadcast(listed, listed.count())
     active = keys.join(listed, ["kind", "pattern"]).filter("since <= fetched and (until is null or fetched < until)")
     blocking = F.col("kind") != "allow"

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from drawloom.llm import pii, simhash
+from drawloom.llm import pii, simhash, url_filter
 
 
 def test_keep_one_tells_null_and_repeated_ids_apart(spark):
@@ -31,3 +31,24 @@ def test_pii_counts_copies_once_and_terms_of_the_whole_text(spark):
     df = spark.createDataFrame([(t,) for t in rows], "text string").unionByName(fillers(spark, 3000))
     got = {r.term: (r.action, r.disclosure) for r in pii.disclosing_terms(df).collect()}
     assert got.get("zorblax") == ("remove", 1.0) and "filler" not in got
+
+
+def judged(spark, entries, urls):
+    kinds = "kind string, pattern string, category string, action string, since string"
+    listed = spark.createDataFrame(entries, kinds).withColumn("since", F.col("since").cast("date"))
+    rows = spark.createDataFrame([(i, u, d) for i, (u, d) in enumerate(urls)], "page_id long, url string, fetched string")
+    found = url_filter.filter_urls(rows.withColumn("fetched", F.col("fetched").cast("date")), listed)
+    return [(r.n_active, r.categories, r.blocked) for r in found.orderBy("page_id").collect()]
+
+
+def test_url_entries_deep_mixed_case_and_www(spark):
+    entries = [
+        ("prefix", "deep.example/a/b/c/d", "spam", "add", "2024-01-01"), ("prefix", "WWW.Case.example/Blog/", "spam", "add", "2024-01-01"),
+        ("host", "www.Host.example.", "spam", "add", "2024-01-01"), ("domain", "www.dom.example", "spam", "add", "2024-01-01"),
+    ]
+    urls = {
+        "http://deep.example/a/b/c/d/e": 1, "http://deep.example/a/b/c/x": 0, "http://case.example/Blog/1": 1, "http://case.example/blog/1": 0,
+        "http://www.host.example/": 1, "http://host.example/x": 1, "http://www.dom.example/": 1, "http://a.www.dom.example/": 1, "http://b.dom.example/": 0,
+    }
+    got = judged(spark, entries, [(u, "2024-05-01") for u in urls])
+    assert [n for n, _, _ in got] == list(urls.values())
