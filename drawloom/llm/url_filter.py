@@ -2,8 +2,9 @@
 
 A dated list holds entries (pattern, kind, category, action, since): from
 ``since`` on the pattern is listed (``add``) or no longer listed (``remove``).
-Entries of one pattern become validity intervals [since, until), and every
-capture is judged against the entries that were active when it was fetched.
+Entries of one pattern and category become validity intervals [since, until),
+and every capture is judged against the entries that were active when it was
+fetched; a removal without a category ends the pattern in all of them.
 
 Kinds: ``host`` matches the host itself, ``domain`` it and all hosts below it,
 ``prefix`` a host and path prefix that ends at a path border, ``allow`` a host
@@ -15,7 +16,7 @@ and not once a capture.
 
 Nulls: a null or unparsable URL has no host and is never blocked; a null fetch
 time sees no entry; entries without pattern or date are ignored.  Of entries of
-one pattern, kind and date the removal counts.  Repeated captures get a row
+one pattern, kind, category and date the removal counts.  Repeated captures get a row
 each; an empty list blocks nothing.
 """
 
@@ -93,9 +94,13 @@ def plain_entries(entries: DataFrame) -> DataFrame:
 def intervals(entries: DataFrame) -> DataFrame:
     """(kind, pattern, category, since, until) during which a pattern is listed."""
     plain = plain_entries(entries)
-    pick = F.max_by(F.struct("category", "action"), F.struct((F.col("action") == "remove").cast("int"), "category"))
-    dated = plain.groupBy("kind", "pattern", "since").agg(pick.alias("e")).select("kind", "pattern", "since", "e.*")
-    own = Window.partitionBy("kind", "pattern").orderBy("since")
+    general = (F.col("action") == "remove") & F.col("category").isNull()  # ends the pattern in every category
+    listed = plain.filter("action = 'add'").select("kind", "pattern", "category").distinct()
+    ended = plain.filter(general).drop("category").join(listed, ["kind", "pattern"])
+    plain = plain.filter(~general).unionByName(ended)
+    last = F.max_by("action", (F.col("action") == "remove").cast("int"))
+    dated = plain.groupBy("kind", "pattern", "category", "since").agg(last.alias("action"))
+    own = Window.partitionBy("kind", "pattern", "category").orderBy("since")
     spans = dated.select("kind", "pattern", "category", "action", "since", F.lead("since").over(own).alias("until"))
     return spans.filter("action = 'add'").drop("action")
 

@@ -52,3 +52,13 @@ def test_url_entries_deep_mixed_case_and_www(spark):
     }
     got = judged(spark, entries, [(u, "2024-05-01") for u in urls])
     assert [n for n, _, _ in got] == list(urls.values())
+
+
+def test_url_categories_have_intervals_of_their_own(spark):
+    entries = [
+        ("host", "x.example", "spam", "add", "2024-01-01"), ("host", "x.example", "malware", "add", "2024-01-10"),
+        ("host", "x.example", "malware", "remove", "2024-01-20"), ("host", "x.example", "adult", "add", "2024-01-10"),
+        ("host", "x.example", None, "remove", "2024-02-01"),
+    ]
+    got = judged(spark, entries, [("http://x.example/", d) for d in ("2024-01-05", "2024-01-15", "2024-01-25", "2024-02-01")])
+    assert [c for _, c, _ in got] == ["spam", "adult,malware,spam", "adult,spam", ""] and not got[3][2]
