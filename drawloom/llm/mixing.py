@@ -173,9 +173,10 @@ def mix(
 ) -> DataFrame:
     """One row per input row: doc_id, source, size, source_size, target, taken, copies.
 
-    ``copies`` has one entry for each time the document enters the mix: pass,
-    words (all but one document a source: its whole size), block, shard and
-    ``place``, the hash that orders rows inside a shard.
+    ``copies`` has one entry for each time the document enters the mix and each
+    block that it fills there: pass, ``from`` (words before the piece), words,
+    block, shard and ``place``, the hash that orders rows inside a shard.  So
+    each shard holds exactly the words of the blocks in its quotas.
     """
     if shards & (shards - 1):
         raise ValueError("shards must be a power of two")
@@ -212,31 +213,25 @@ def mix(
     placed = rows.join(starts, ["key", "bucket"]).withColumn(
         "at", F.col("start") + F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
     )
-    copies = F.transform(
-        F.sequence(F.lit(0), F.lit(MOST_PASSES - 1)),
-        lambda i: let(
-            i.cast("bigint") * F.col("source_size") + F.col("at"),
-            lambda begin: F.struct(
-                i.alias("pass"),
-                F.greatest(F.lit(0), F.least(F.col("size"), F.col("wanted") - begin)).cast("bigint").alias("words"),
-                F.floor(begin / block_words).cast("bigint").alias("block"),
-                _permuted(
-                    F.floor(begin / block_words).cast("bigint"),
-                    F.greatest(F.element_at("ends", -1), F.lit(1)),
-                    F.xxhash64(F.lit(seed), F.col("key")),
-                ).alias("at"),
-                F.xxhash64(F.lit(seed), i, F.col("hash")).alias("place"),
-            ),
-        ),
-    )
-    taken = F.filter(copies, lambda c: c["words"] > 0)
-    shard = F.transform(
-        taken,
-        lambda c: F.struct(
-            c["pass"], c["words"], c["block"],
-            F.size(F.filter("ends", lambda e: e <= c["at"])).alias("shard"), c["place"],
-        ),
-    )
+    def pieces(i: Column) -> Column:
+        """The words of pass ``i`` that are taken, cut where a block ends."""
+        begin = i.cast("bigint") * F.col("source_size") + F.col("at")
+        end = F.least(begin + F.col("size"), F.col("wanted"))
+
+        def piece(block: Column) -> Column:
+            first, last = F.greatest(begin, block * block_words), F.least(end, (block + 1) * block_words)
+            at = _permuted(block, F.greatest(F.element_at("ends", -1), F.lit(1)), F.xxhash64(F.lit(seed), F.col("key")))
+            return F.struct(
+                i.alias("pass"), (first - begin).alias("from"), (last - first).alias("words"), block.alias("block"),
+                let(at, lambda x: F.size(F.filter("ends", lambda e: e <= x))).alias("shard"),
+                F.xxhash64(F.lit(seed), i, F.col("hash"), block).alias("place"),
+            )
+
+        blocks = F.sequence(F.floor(begin / block_words).cast("bigint"), F.floor((end - 1) / block_words).cast("bigint"))
+        return F.when(end > begin, F.transform(blocks, piece))
+
+    copies = F.transform(F.sequence(F.lit(0), F.lit(MOST_PASSES - 1)), pieces)
+    shard = F.flatten(F.filter(copies, lambda c: c.isNotNull()))
     return placed.select("doc_id", "source", "size", "source_size", "target", shard.alias("copies"), "hash").select(
         "doc_id",
         "source",
@@ -262,24 +257,43 @@ def first_words(text: Column, count: Column) -> Column:
     return F.array_join(F.slice(pieces, F.lit(1), blank + 2 * count.cast("int") - 1), "")
 
 
-def mixed_documents(docs: DataFrame, **options: object) -> DataFrame:
-    """The mix as rows: the columns of ``docs``, once for each copy.
+def some_words(text: Column, begin: Column, count: Column) -> Column:
+    """``count`` words of ``text`` after its first ``begin``, with the white space before them, to the end if no word is left."""
+    pieces = F.split(text, rf"(?<={SPACE})(?!{SPACE})|(?<!^)(?<!{SPACE})(?={SPACE})")
+    blank = F.when(text.rlike("^" + SPACE), 1).otherwise(0)
+    first = F.when(begin == 0, 1).otherwise(blank + 2 * begin.cast("int"))
+    last = blank + 2 * (begin + count).cast("int") - 1
+    last = F.when(begin + count >= n_words(text), F.size(pieces)).otherwise(last)
+    return F.array_join(F.slice(pieces, first, last - first + 1), "")
+
+
+def mixed_documents(docs: DataFrame, *, shard_columns: bool = False, **options: object) -> DataFrame:
+    """The mix as rows: the columns of ``docs``, once for each piece of a copy, in order of shard and place.
 
-    A copy that is taken in part (one document a source) ends after its words.
+    Pieces of one pass of a document make up its text, or its beginning where
+    it is taken in part (one document a source).  ``shard_columns`` adds shard
+    and place.  Ranges of (shard, place) are dealt out, so there may be more
+    tasks than shards and the rows of a shard follow each other.
     """
     seed = options.get("seed", 42)
     plan = mix(docs, **options).filter(F.size("copies") > 0)
     plan = plan.groupBy(F.col("doc_id").alias("id__"), F.col("hash").alias("key__")).agg(
         F.flatten(F.collect_list("copies")).alias("copies__"), F.count(F.lit(1)).alias("same__")
     )
+    plan = cut(plan)
     text = text_of(docs)
     rows = docs.withColumn("hash__", F.xxhash64(F.lit(seed), docs["doc_id"], docs["source"].cast("string"), text))
     joined = rows.join(plan, (rows["hash__"] == plan["key__"]) & rows["doc_id"].eqNullSafe(plan["id__"]))
     repeated = joined.filter("same__ > 1").dropDuplicates(["doc_id", "hash__"])
     copies = joined.filter("same__ = 1").unionByName(repeated)
     copies = copies.withColumn("copy__", F.explode("copies__"))
-    whole = F.col("copy__.words") == n_words(text_of(copies))
+    piece = F.col("copy__")
+    whole = piece["words"] == n_words(text_of(copies))
     cut_text = F.when(whole | F.col("text").isNull(), F.col("text")).otherwise(
-        first_words(F.col("text"), F.col("copy__.words"))
+        some_words(F.col("text"), piece["from"], piece["words"])
     )
-    return copies.withColumn("text", cut_text).select(docs.columns)
+    placed = (piece["shard"].alias("shard__"), piece["place"].alias("place__"))
+    rows = copies.withColumn("text", cut_text).select(*docs.columns, *placed, piece["from"].alias("from__"))
+    dealt = rows.repartitionByRange("shard__", "place__").sortWithinPartitions("shard__", "place__", "doc_id", "from__")
+    named = [F.col("shard__").alias("shard"), F.col("place__").alias("place")] if shard_columns else []
+    return dealt.select(*docs.columns, *named)

@@ -29,7 +29,8 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mix = mixing.mix(table(spark, sf_dir, "documents"))
-    return mix.select("doc_id", "size", "source_size", "target", "taken")
+    shards = F.transform("copies", lambda c: F.concat_ws(":", c["shard"], c["words"], c["place"]))
+    return mix.select("doc_id", "size", "source_size", "target", "taken", F.array_join(shards, ",").alias("shards"))
 
 
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,8 +1,10 @@
 """Cases in which an operator once did less than the whole job."""
 
+from collections import Counter
+
 from pyspark.sql import functions as F
 
-from drawloom.llm import pii, simhash, url_filter
+from drawloom.llm import mixing, pii, simhash, url_filter
 
 
 def test_keep_one_tells_null_and_repeated_ids_apart(spark):
@@ -62,3 +64,29 @@ def test_url_categories_have_intervals_of_their_own(spark):
     ]
     got = judged(spark, entries, [("http://x.example/", d) for d in ("2024-01-05", "2024-01-15", "2024-01-25", "2024-02-01")])
     assert [c for _, c, _ in got] == ["spam", "adult,malware,spam", "adult,spam", ""] and not got[3][2]
+
+
+def test_mixed_shards_hold_their_quotas_in_order(spark):
+    sizes = [7, 300, 40, 1, 0, 64, 129, 15, 90, 33]
+    rows = [(i, " " * (i % 2) + " ".join(f"d{i}w{j}" for j in range(n)) + "\n" * (i % 3), "s" + str(i % 3)) for i, n in enumerate(sizes * 4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    plan = mixing.mix(df, block_words=32, shards=8).collect()
+    words, shard_of = Counter(), {}
+    for r in plan:
+        for c in r.copies:
+            words[r.source, c.block] += c.words
+            assert shard_of.setdefault((r.source, c.block), c.shard) == c.shard
+    wanted = {r.source: round(r.target) for r in plan}
+    assert all(n == min(32, wanted[s] - 32 * b) for (s, b), n in words.items())
+    blocks = [(i, -(-wanted[s] // 32)) for i, s in enumerate(sorted(wanted), 1)]
+    quotas = mixing.split_quotas(spark.createDataFrame(blocks, "rank int, blocks bigint"), 8, 42).collect()
+    got = Counter((shard, s) for (s, _), shard in shard_of.items())
+    assert got == Counter({(q.shard, f"s{q['at']}"): q.quota for q in quotas if q.quota})
+    mixed = mixing.mixed_documents(df, block_words=32, shards=8, shard_columns=True).collect()
+    order = [(r.shard, r.place) for r in mixed]
+    assert order == sorted(order)
+    text = {(r.shard, r.place): r.text for r in mixed}
+    for r in plan:
+        for p in range(3):
+            if sum(c.words for c in r.copies if c["pass"] == p) == r.size > 0:
+                assert "".join(text[c.shard, c.place] for c in r.copies if c["pass"] == p) == rows[r.doc_id][1]
