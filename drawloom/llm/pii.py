@@ -1,26 +1,33 @@
 """Finding and sanitising personal data.
 
 Base kinds (email, ip, card, phone) are found by pattern, leftmost and without
-overlap in each kind.  The information-theoretic part then asks which other
-terms give a protected value away: from the corpus it estimates, for a value c
-and a term t that stand near each other,
+overlap in each kind; ``secret`` adds long opaque strings (letters and digits
+mixed, many different characters).  The information-theoretic part then asks
+which other terms give a protected entity away.  Entities are the values that
+were found and the kinds themselves (that a text holds a secret is protected
+too).  From the corpus it estimates, for an entity c and a term t that stand near each
+other,
 
     disclosure(c, t) = PMI(c; t) / IC(c) = 1 + log2 p(c | t) / -log2 p(c)
 
 with p(c) the share of distinct texts that hold c and p(c | t) the distinct
 texts that hold both c and t, wherever they stand, over those that hold t.  It
-is 1 when the term always comes with the value.  Terms at ``generalise`` or more are
+is 1 when the term always comes with the entity.  Terms at ``generalise`` or more are
 replaced by their shape, at ``remove`` or more they are removed, wherever they
 occur.  A pair is tried when t stands beside c in ``support`` distinct contexts,
 so that copies of one text, which repeat one context, prove nothing.
 
-Contexts hold at most ``reach`` characters on either side of a value and values
-are grouped with partial sums, so a value in a third of all rows is no hot
-spot.  All counts run over whole texts, copies of a text once.
+Contexts hold at most ``reach`` characters on either side of a value.  Counts
+per entity and per term leave each task as partial sums, and entities or terms
+that very many pairs share are joined by broadcast, so a value in a third of all
+rows is no hot spot.  All counts run over whole texts, copies of a text once.
 
 Nulls: a null text is empty; a null doc_id is allowed; repeated rows are rows
-of their own (they share contexts).  Without base matches, or in an empty
-table, the method adds nothing.
+of their own (they share contexts).  Without matches, or in an empty
+table, the method adds nothing.  Texts of any length are searched whole, in
+linear time.  Equal disclosures of a term take the same action; a term that
+several entities share has the highest.  Columns other than doc_id and text are
+not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,7 +35,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from drawloom.llm.common import cut, let, running_ends, sized_broadcast, text_of
+from drawloom.llm.common import cut, let, lookup, running_ends, sized_broadcast, text_of
 
 KINDS = ("email", "ip", "card", "phone")
 #: Each starts only where a maximal run starts or the match before ended, so long runs cost linear time.
@@ -37,9 +44,13 @@ PATTERNS = {
     "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+    "secret": r"(?<![A-Za-z0-9])[A-Za-z0-9]{20,}+",
 }
 #: What a text must hold for the pattern to be tried.
-HINTS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": "[0-9]", "phone": r"\+[0-9]"}
+HINTS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": "[0-9]", "phone": r"\+[0-9]", "secret": r"[A-Za-z0-9]{20}"}
+FOUND = (*KINDS, "secret")
+#: Least different characters of a secret; in sixteen a random string of twenty hexadecimal digits has some eleven.
+VARIETY = 8
 TERM = r"[\p{L}\p{N}]"
 SPAN = "array<struct<kind:string,start:bigint,end:bigint,value:string,left:string,right:string>>"
 PARTS_255 = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
@@ -113,6 +124,9 @@ def luhn(digits: Column) -> Column:
 def _valid(kind: str, value: Column) -> Column:
     if kind == "ip":
         return value.rlike(rf"^{PARTS_255}(?:\.{PARTS_255}){{3}}$")
+    if kind == "secret":
+        mixed = value.rlike("[0-9].*[A-Za-z]|[A-Za-z].*[0-9]")
+        return mixed & (F.size(F.array_distinct(F.split(value, ""))) >= VARIETY)
     digits = F.regexp_replace(value, "[^0-9]", "")
     if kind == "card":
         return F.length(digits).between(13, 19) & luhn(digits)
@@ -133,21 +147,21 @@ def _terms(text: Column) -> Column:
 def disclosing_terms(
     docs: DataFrame, *, reach: int = 64, support: int = 3, generalise: float = 0.9, remove: float = 0.97
 ) -> DataFrame:
-    """(term, action, disclosure) of the terms that give a protected value away, from (text)."""
+    """(term, action, disclosure) of the terms that give a protected entity away, from (text)."""
     keyed = docs.select(F.xxhash64("text").alias("h"), "text")
-    spans = keyed.select("h", F.explode(F.concat(*[base_spans(F.col("text"), k, reach) for k in KINDS])).alias("s"))
-    plain = F.when(F.col("s.kind") == "email", F.lower("s.value"))
-    plain = plain.when(F.col("s.kind") == "ip", F.col("s.value")).otherwise(F.regexp_replace("s.value", "[^0-9]", ""))
+    spans = keyed.select("h", F.explode(F.concat(*[base_spans(F.col("text"), k, reach) for k in FOUND])).alias("s"))
+    plain = F.when(F.col("s.kind") == "email", F.lower("s.value")).when(F.col("s.kind").isin("ip", "secret"), F.col("s.value"))
+    value = F.concat_ws(":", "s.kind", plain.otherwise(F.regexp_replace("s.value", "[^0-9]", "")))
     around = F.concat_ws(" ", "s.left", "s.right")
-    near = spans.select("h", F.concat_ws(":", "s.kind", plain).alias("value"), around.alias("around"))
+    near = spans.select("h", value.alias("value"), F.col("s.kind").alias("kind"), around.alias("around"))
     near = cut(near.distinct())  # copies of a text leave here
-    holders = near.select("value", "h").distinct()
-    held = cut(holders.groupBy("value").agg(F.count(F.lit(1)).alias("docs_c")).filter(F.col("docs_c") >= support))
-    n_held = held.count()
-    frequent = near.join(sized_broadcast(held.select("value"), n_held), "value", "left_semi")
-    contexts = frequent.select("value", "around").distinct()
-    pairs = contexts.select("value", F.explode(F.array_distinct(_terms(F.col("around")))).alias("term"))
-    pairs = pairs.groupBy("value", "term").agg(F.count(F.lit(1)).alias("contexts")).filter(F.col("contexts") >= support)
+    entities = near.select("h", "around", F.explode(F.array("value", "kind")).alias("entity"))
+    holders = entities.select("entity", "h").distinct()
+    held = holders.groupBy("entity").agg(F.count(F.lit(1)).alias("docs_c")).filter(F.col("docs_c") >= support)
+    held = cut(held)
+    contexts = entities.select("entity", "around").distinct()
+    pairs = contexts.select("entity", F.explode(F.array_distinct(_terms(F.col("around")))).alias("term"))
+    pairs = pairs.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("contexts")).filter(F.col("contexts") >= support)
     n_texts = keyed.select("h").distinct().count()
     information = -F.log2(F.col("docs_c") / F.lit(float(n_texts)))
 
@@ -155,13 +169,14 @@ def disclosing_terms(
         given = F.least(F.lit(1.0), F.col(joint) / F.col(docs_t))
         return F.when(information > 0, 1 + F.log2(given) / information).otherwise(F.lit(0.0))
 
-    # Texts with value and term are at most those with the value, and texts that hold a term near any value
+    # Texts with entity and term are at most those with the entity, and texts that hold a term near any value
     # are at most those that hold it at all, so a pair whose share stays under the threshold with these
     # bounds stays under it with the counts: only others are counted.
     nearby = near.select("h", F.explode(F.array_distinct(_terms(F.col("around")))).alias("term")).distinct()
-    nearby = nearby.groupBy("term").agg(F.count(F.lit(1)).alias("docs_near"))
-    pairs = pairs.join(sized_broadcast(held, n_held), "value").join(nearby, "term").filter(share("docs_c", "docs_near") >= generalise)
-    pairs = cut(pairs.select("value", "term", "docs_c"))
+    nearby = cut(nearby.groupBy("term").agg(F.count(F.lit(1)).alias("docs_near")).filter(F.col("docs_near") >= support))
+    pairs = lookup(pairs, held, "entity", None, held.count())
+    pairs = lookup(cut(pairs), nearby, "term", None, nearby.count()).filter(share("docs_c", "docs_near") >= generalise)
+    pairs = cut(pairs.select("entity", "term", "docs_c"))
     n_pairs = pairs.count()
     wanted = pairs.select("term").distinct()
     if not n_pairs:
@@ -169,38 +184,47 @@ def disclosing_terms(
     seen = keyed.select("h", F.explode(F.array_distinct(_terms(F.col("text")))).alias("term"))
     seen = cut(seen.join(sized_broadcast(wanted, n_pairs), "term", "left_semi").distinct())
     counts = seen.groupBy("term").agg(F.count(F.lit(1)).alias("docs_t"))
-    both = holders.join(sized_broadcast(pairs, n_pairs), "value").join(seen, ["term", "h"])
-    joint = both.groupBy("value", "term", "docs_c").agg(F.count(F.lit(1)).alias("joint"))
+    both = seen.join(holders, "h").groupBy("entity", "term").agg(F.count(F.lit(1)).alias("joint"))
+    joint = both.join(sized_broadcast(pairs, n_pairs), ["entity", "term"])
     scored = joint.join(counts, "term").groupBy("term").agg(F.max(share("joint", "docs_t")).alias("disclosure"))
     action = F.when(F.col("disclosure") >= remove, "remove").otherwise("generalise")
     return cut(scored.filter(F.col("disclosure") >= generalise).select("term", action.alias("action"), "disclosure"))
 
 
 def find_personal_data(docs: DataFrame, **options: float) -> DataFrame:
-    """One row per input row: doc_id, n_email, n_ip, n_card, n_phone, n_term, base_sha256, spans, clean_text.
+    """One row per input row: doc_id, n_email, n_ip, n_card, n_phone, n_secret, n_term, n_spans, base_sha256, spans, clean_text.
 
-    ``spans`` lists kind:start:end in the order of KINDS, terms last;
-    ``clean_text`` has the base spans replaced by their kind and the disclosing
-    terms generalised to their shape or removed.
+    ``spans`` lists kind:start:end in the order of KINDS, then secrets, then
+    terms; ``clean_text`` has the spans of values replaced by their kind and the
+    disclosing terms generalised to their shape or removed.
     """
     rows = docs.select(docs["doc_id"].alias("doc_id"), text_of(docs).alias("text"))
     risky = disclosing_terms(rows.select("text"), **options)
-    found = rows.select("doc_id", "text", *[base_spans(F.col("text"), k).alias(f"s_{k}") for k in KINDS])
+    found = rows.select("doc_id", "text", *[base_spans(F.col("text"), k).alias(f"s_{k}") for k in FOUND])
+    apart = F.concat(*[F.col(f"s_{k}") for k in KINDS])  # a card inside of a longer string is no secret
+    found = found.withColumn("s_secret", F.filter("s_secret", lambda t: ~F.exists(apart, lambda b: _meet(b, t))))
     n_risky = risky.count()
     if n_risky:
         found = _with_terms(found, risky, n_risky)
     else:
         found = found.withColumn("s_term", F.array().cast(SPAN)).withColumn("removed", F.array().cast("array<string>"))
-    listed = [F.transform(f"s_{k}", lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])) for k in (*KINDS, "term")]
+    kinds = (*FOUND, "term")
+    listed = [F.transform(f"s_{k}", lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])) for k in kinds]
+    every = F.concat(*[F.col(f"s_{k}") for k in kinds])
     return found.select(
         "doc_id",
-        *[F.size(f"s_{k}").cast("long").alias(f"n_{k}") for k in (*KINDS, "term")],
-        F.sha2(F.array_join(F.concat(*listed[:-1]), ","), 256).alias("base_sha256"),
+        *[F.size(f"s_{k}").cast("long").alias(f"n_{k}") for k in kinds],
+        F.size(every).cast("long").alias("n_spans"),
+        F.sha2(F.array_join(F.concat(*listed[: len(KINDS)]), ","), 256).alias("base_sha256"),
         F.array_join(F.concat(*listed), ",").alias("spans"),
-        clean(F.col("text"), F.concat(*[F.col(f"s_{k}") for k in (*KINDS, "term")]), F.col("removed")).alias("clean_text"),
+        clean(F.col("text"), every, F.col("removed")).alias("clean_text"),
     )
 
 
+def _meet(a: Column, b: Column) -> Column:
+    return (a["start"] < b["end"]) & (b["start"] < a["end"])
+
+
 def _with_terms(found: DataFrame, risky: DataFrame, n_risky: int) -> DataFrame:
     """Add the spans of the risky terms that overlap no base span, and which of them are removed."""
     keyed = found.withColumn("h", F.xxhash64("text"))
@@ -215,7 +239,7 @@ def _with_terms(found: DataFrame, risky: DataFrame, n_risky: int) -> DataFrame:
     joined = keyed.join(sized_broadcast(held, held.count()), same, "left")
     pattern = F.concat(F.lit(f"(?iu)(?<!{TERM})(?:"), F.array_join("terms", "|"), F.lit(f")(?!{TERM})"))
     spans = F.when(F.col("terms").isNull(), F.array().cast(SPAN)).otherwise(located(F.col("text"), pattern, "term"))
-    base = F.concat(*[F.col(f"s_{k}") for k in KINDS])
+    base = F.concat(*[F.col(f"s_{k}") for k in FOUND])
     return (
         joined.withColumn("base", base)
         .withColumn("all_terms", spans)
@@ -223,7 +247,7 @@ def _with_terms(found: DataFrame, risky: DataFrame, n_risky: int) -> DataFrame:
             "s_term",
             F.filter(
                 "all_terms",
-                lambda t: ~F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])),
+                lambda t: ~F.exists("base", lambda b: _meet(b, t)),
             ),
         )
         .withColumn("removed", F.coalesce("removed", F.array().cast("array<string>")))
