@@ -13,6 +13,11 @@ one conditional hypergeometric draw a source.  Row and column sums are exact.
 Shards then take disjoint ranges of each source's permuted block numbers, and
 rows are shuffled inside a shard by a hash.
 
+A draw costs the same at any number of blocks, and block numbers are permuted by
+a keyed bijection, so no task ever holds the blocks of a source.
+
+Long texts are cut at block ends; rows that tie in hash and size follow in the
+order in which they were read.
 Nulls: a null text has no words; the null source is a source and comes last; a
 null doc_id is allowed.  Repeated rows are rows of their own.  Empty texts get
 ``taken`` 0; an empty table gives an empty result.
@@ -20,17 +25,23 @@ null doc_id is allowed.  Repeated rows are rows of their own.  Empty texts get
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from drawloom.llm.common import SPACE, cut, let, n_words, text_of
+from drawloom.llm.common import SPACE, cut, fresh, let, n_words, text_of
 
 BUCKET_BITS = 12
 #: Weights of the sources in code point order, repeated.
 WEIGHTS = (1, 2, 3)
 MOST_PASSES = 3
-#: Widest support that a draw walks exactly; wider ones have a normal limit error under 1e-3.
-EXACT_SPAN = 16_384
+#: Tries of a draw; fewer than one in 10 ** 60 draws needs more.
+TRIES = 128
+#: Rounds of the permutation, and steps by which a number that falls outside walks back.
+ROUNDS = 6
+WALK = 64
 COUNTS = "array<bigint>"
 
 
@@ -60,74 +71,64 @@ def _uniform(*parts: Column) -> Column:
     return (F.shiftrightunsigned(F.xxhash64(*parts), 11).cast("double") + 0.5) * F.lit(2.0**-53)
 
 
-def hypergeometric(population: Column, marked: Column, drawn: Column, u: Column, v: Column) -> Column:
-    """A draw from the hypergeometric distribution by inversion of ``u``; ``v`` only serves the normal limit.
+def log_factorial(x: Column) -> Column:
+    """ln(x!) of whole numbers: a product up to 20, from there Stirling's series (off by less than 1e-15)."""
+    z = x + 1.0
+    series = (1 / 12 - (1 / 360 - (1 / 1260 - 1 / (1680 * z * z)) / (z * z)) / (z * z)) / z
+    stirling = (z - 0.5) * F.ln(z) - z + 0.5 * math.log(2 * math.pi) + series
+    return F.when(x <= 20, F.ln(F.factorial(F.least(x, F.lit(20.0)).cast("int")).cast("double"))).otherwise(stirling)
+
 
-    The pmf is built from the ratio of neighbours in logs, first summed and
-    then walked until the sum passes ``u``.
+def hypergeometric(population: Column, marked: Column, drawn: Column, uniform: Callable[[Column], Column]) -> Column:
+    """A draw from the hypergeometric distribution, by the ratio of uniforms with rejection, at any size.
+
+    ``uniform`` gives the uniform number of an index; try i uses 2i and 2i + 1.
+    Marked and unmarked, drawn and left are exchanged so that the smaller counts
+    are drawn.  A try is taken with a probability of .7 or more; after TRIES of
+    them (never seen) the mode is taken.
     """
     n, k, d = population.cast("double"), marked.cast("double"), drawn.cast("double")
-    mean = d * k / F.greatest(n, F.lit(1.0))
-    share = k / F.greatest(n, F.lit(1.0))
-    sd = F.sqrt(F.greatest(d * share * (1 - share) * (n - d) / F.greatest(n - 1, F.lit(1.0)), F.lit(0.0)))
-    least, most = F.greatest(F.lit(0.0), d - (n - k)), F.least(d, k)
-    first = F.greatest(least, F.floor(mean - 9 * sd - 2))
-    last = F.least(most, F.ceil(mean + 9 * sd + 2))
-    setup = F.struct(
-        n.alias("n"), k.alias("k"), d.alias("d"), mean.alias("mean"), sd.alias("sd"),
-        first.cast("bigint").alias("first"), last.cast("bigint").alias("last"),
-        least.cast("bigint").alias("least"), most.cast("bigint").alias("most"), u.alias("u"), v.alias("v"),
-    )
+    setup = F.struct(n.alias("n"), k.alias("k"), d.alias("d"), F.least(k, n - k).alias("few"), F.least(d, n - d).alias("take"))
+
+    def shaped(p: Column) -> Column:
+        share = p["few"] / p["n"]
+        sd = F.sqrt((p["n"] - p["take"]) * p["take"] * share * (1 - share) / F.greatest(p["n"] - 1, F.lit(1.0)) + 0.5)
+        mode = F.floor((p["take"] + 1) * (p["few"] + 1) / (p["n"] + 2)).cast("double")
+        centre = p["take"] * share + 0.5
+        width = 2 * math.sqrt(2 / math.e) * sd + (3 - 2 * math.sqrt(3 / math.e))  # fixed values of the method
+        return F.struct(
+            p["n"].alias("n"), p["k"].alias("k"), p["d"].alias("d"), p["few"].alias("few"), p["take"].alias("take"),
+            centre.alias("centre"), width.alias("width"), mode.alias("mode"),
+            F.least(F.least(p["take"], p["few"]) + 1, F.floor(centre + 16 * sd).cast("double")).alias("end"),
+        )
+
+    def log_ways(p: Column, x: Column) -> Column:
+        rest = p["n"] - p["few"] - p["take"] + x
+        return -(log_factorial(x) + log_factorial(p["few"] - x) + log_factorial(p["take"] - x) + log_factorial(rest))
+
+    def walked(p: Column, top: Column) -> Column:
+        def judged(i: Column) -> Column:
+            def one(u: Column) -> Column:
+                at = p["centre"] + p["width"] * (u["v"] - 0.5) / u["u"]
+                inside = (at >= 0) & (at < p["end"])
+                good = 2 * F.ln(u["u"]) <= log_ways(p, F.floor(at).cast("double")) - top
+                return F.when(inside & good, F.floor(at).cast("double"))
+
+            return let(F.struct(uniform(2 * i).alias("u"), uniform(2 * i + 1).alias("v")), one)
+
+        found = F.aggregate(
+            F.sequence(F.lit(0), F.lit(TRIES - 1)),
+            F.lit(None).cast("double"),
+            lambda acc, i: F.when(acc.isNotNull(), acc).otherwise(judged(i)),
+        )
+        found = F.coalesce(found, p["mode"])
+        kept = F.when(p["k"] * 2 > p["n"], p["take"] - found).otherwise(found)
+        return F.when(p["d"] * 2 > p["n"], p["k"] - kept).otherwise(kept).cast("bigint")
 
     def drawn_from(p: Column) -> Column:
-        def log_ratio(x: Column) -> Column:
-            return F.ln((p["k"] - x) * (p["d"] - x)) - F.ln((x + 1) * (p["n"] - p["k"] - p["d"] + x + 1))
-
-        #: The mode is where logs are measured from, so nothing overflows.
-        def walk(seed: Column, each) -> Column:
-            return F.aggregate(F.sequence(p["first"], p["last"]), seed, each)
-
-        def top(acc: Column, x: Column) -> Column:
-            up = F.when(x < p["last"], acc["log"] + log_ratio(x.cast("double"))).otherwise(acc["log"])
-            return F.struct(up.alias("log"), F.greatest(acc["top"], acc["log"]).alias("top"))
-
-        def total(t: Column):
-            def each(acc: Column, x: Column) -> Column:
-                up = F.when(x < p["last"], acc["log"] + log_ratio(x.cast("double"))).otherwise(acc["log"])
-                return F.struct(up.alias("log"), (acc["sum"] + F.exp(acc["log"] - t)).alias("sum"))
-
-            return each
-
-        def find(t: Column, goal: Column):
-            def each(acc: Column, x: Column) -> Column:
-                up = F.when(x < p["last"], acc["log"] + log_ratio(x.cast("double"))).otherwise(acc["log"])
-                sum_ = acc["sum"] + F.exp(acc["log"] - t)
-                at = F.when(acc["at"].isNull() & (sum_ >= goal), x).otherwise(acc["at"])
-                return F.struct(up.alias("log"), sum_.alias("sum"), at.alias("at"))
-
-            return each
-
-        zero = F.lit(0.0)
-        highest = walk(F.struct(zero.alias("log"), zero.alias("top")), top)["top"]
-        nothing = F.lit(None).cast("bigint")
-        exact = let(
-            highest,
-            lambda t: let(
-                p["u"] * walk(F.struct(zero.alias("log"), zero.alias("sum")), total(t))["sum"],
-                lambda goal: F.coalesce(
-                    walk(F.struct(zero.alias("log"), zero.alias("sum"), nothing.alias("at")), find(t, goal))["at"],
-                    p["last"],
-                ),
-            ),
-        )
-        normal = F.sqrt(-2 * F.ln(p["u"])) * F.cos(2 * F.pi() * p["v"])
-        limit = F.round(p["mean"] + p["sd"] * normal).cast("bigint")
-        limit = F.greatest(p["least"], F.least(p["most"], limit))
-        return (
-            F.when(p["least"] >= p["most"], p["least"])
-            .when(p["last"] - p["first"] <= EXACT_SPAN, exact)
-            .otherwise(limit)
-        )
+        least, most = F.greatest(F.lit(0.0), p["d"] - (p["n"] - p["k"])), F.least(p["d"], p["k"])
+        wide = let(shaped(p), lambda q: let(log_ways(q, q["mode"]), lambda top: walked(q, top)))
+        return F.when(least >= most, least.cast("bigint")).otherwise(wide)
 
     return let(setup, drawn_from)
 
@@ -144,8 +145,9 @@ def split_quotas(quotas: DataFrame, shards: int, seed: int) -> DataFrame:
         )
 
         def each(acc: Column, x: Column) -> Column:
-            u, v = (_uniform(F.lit(seed), F.lit(i), node, F.size(acc["out"])) for i in (0, 1))
-            got = hypergeometric(acc["left"], x, acc["draws"], u, v)
+            got = hypergeometric(
+                acc["left"], x, acc["draws"], lambda i: _uniform(F.lit(seed), i, node, F.size(acc["out"]))
+            )
             return let(
                 got,
                 lambda g: F.struct(
@@ -220,7 +222,7 @@ def mix(
 
         def piece(block: Column) -> Column:
             first, last = F.greatest(begin, block * block_words), F.least(end, (block + 1) * block_words)
-            at = _permuted(block, F.greatest(F.element_at("ends", -1), F.lit(1)), F.xxhash64(F.lit(seed), F.col("key")))
+            at = permuted(block, F.greatest(F.element_at("ends", -1), F.lit(1)), F.xxhash64(F.lit(seed), F.col("key")))
             return F.struct(
                 i.alias("pass"), (first - begin).alias("from"), (last - first).alias("words"), block.alias("block"),
                 let(at, lambda x: F.size(F.filter("ends", lambda e: e <= x))).alias("shard"),
@@ -244,10 +246,44 @@ def mix(
     )
 
 
-def _permuted(block: Column, blocks: Column, shift: Column) -> Column:
-    """An affine bijection of 0..blocks-1: the multiplier is a prime above any number of blocks."""
-    prime = F.lit(2**31 - 1)
-    return F.pmod(F.pmod(prime, blocks) * F.pmod(block, blocks) + F.pmod(shift, blocks), blocks)
+def permuted(number: Column, count: Column, key: Column) -> Column:
+    """A keyed bijection of 0..count-1.
+
+    A Feistel network over pairs of digits (high, low) of a rectangle that just
+    holds the numbers; the fewer than ``sqrt(count)`` pairs outside go through
+    it again until they fall inside.
+    """
+    side = F.ceil(F.sqrt(count.cast("double"))).cast("bigint")
+    other = F.ceil(count.cast("double") / side).cast("bigint")
+    size = F.struct(count.cast("bigint").alias("n"), side.alias("a"), other.alias("b"), key.alias("key"))
+
+    def network(x: Column, p: Column) -> Column:
+        high, low = F.floor(x / p["b"]).cast("bigint"), F.pmod(x, p["b"])
+        pair = F.struct(high.alias("h"), low.alias("l"))
+        for i in range(ROUNDS):
+            pair = let(pair, _round(p, i))
+        return let(pair, lambda q: q["h"] * p["b"] + q["l"])
+
+    def walked(p: Column) -> Column:
+        step = lambda acc, _: F.when(acc < p["n"], acc).otherwise(network(acc, p))
+        return F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), network(number.cast("bigint"), p), step)
+
+    return let(size, walked)
+
+
+def _round(p: Column, i: int) -> Callable[[Column], Column]:
+    """One round: either half is shifted by a hash of the other."""
+
+    def shifted(value: Column, by: Column, size: Column) -> Column:
+        return F.pmod(value + F.pmod(F.xxhash64(p["key"], F.lit(i), by), size), size)
+
+    def turned(pair: Column) -> Column:
+        high, low = pair["h"], pair["l"]
+        if i % 2:
+            return F.struct(high.alias("h"), shifted(low, high, p["b"]).alias("l"))
+        return F.struct(shifted(high, low, p["a"]).alias("h"), low.alias("l"))
+
+    return turned
 
 
 def first_words(text: Column, count: Column) -> Column:
@@ -276,24 +312,24 @@ def mixed_documents(docs: DataFrame, *, shard_columns: bool = False, **options:
     tasks than shards and the rows of a shard follow each other.
     """
     seed = options.get("seed", 42)
+    marked, same, copies, piece, hashed, shard, place, begin = fresh(
+        docs, "id", "same", "copies", "piece", "hash", "shard", "place", "from"
+    )
     plan = mix(docs, **options).filter(F.size("copies") > 0)
-    plan = plan.groupBy(F.col("doc_id").alias("id__"), F.col("hash").alias("key__")).agg(
-        F.flatten(F.collect_list("copies")).alias("copies__"), F.count(F.lit(1)).alias("same__")
+    plan = plan.groupBy(F.col("doc_id").alias(marked), F.col("hash").alias("mix_key")).agg(
+        F.flatten(F.collect_list("copies")).alias(copies), F.count(F.lit(1)).alias(same)
     )
     plan = cut(plan)
     text = text_of(docs)
-    rows = docs.withColumn("hash__", F.xxhash64(F.lit(seed), docs["doc_id"], docs["source"].cast("string"), text))
-    joined = rows.join(plan, (rows["hash__"] == plan["key__"]) & rows["doc_id"].eqNullSafe(plan["id__"]))
-    repeated = joined.filter("same__ > 1").dropDuplicates(["doc_id", "hash__"])
-    copies = joined.filter("same__ = 1").unionByName(repeated)
-    copies = copies.withColumn("copy__", F.explode("copies__"))
-    piece = F.col("copy__")
-    whole = piece["words"] == n_words(text_of(copies))
-    cut_text = F.when(whole | F.col("text").isNull(), F.col("text")).otherwise(
-        some_words(F.col("text"), piece["from"], piece["words"])
-    )
-    placed = (piece["shard"].alias("shard__"), piece["place"].alias("place__"))
-    rows = copies.withColumn("text", cut_text).select(*docs.columns, *placed, piece["from"].alias("from__"))
-    dealt = rows.repartitionByRange("shard__", "place__").sortWithinPartitions("shard__", "place__", "doc_id", "from__")
-    named = [F.col("shard__").alias("shard"), F.col("place__").alias("place")] if shard_columns else []
+    rows = docs.withColumn(hashed, F.xxhash64(F.lit(seed), docs["doc_id"], docs["source"].cast("string"), text))
+    joined = rows.join(plan, (rows[hashed] == plan["mix_key"]) & rows["doc_id"].eqNullSafe(plan[marked])).drop(plan["mix_key"])
+    repeated = joined.filter(f"{same} > 1").dropDuplicates(["doc_id", hashed])
+    entered = joined.filter(f"{same} = 1").unionByName(repeated).withColumn(piece, F.explode(copies))
+    p = F.col(piece)
+    whole = p["words"] == n_words(text_of(entered))
+    cut_text = F.when(whole | F.col("text").isNull(), F.col("text")).otherwise(some_words(F.col("text"), p["from"], p["words"]))
+    order = (p["shard"].alias(shard), p["place"].alias(place), p["from"].alias(begin))
+    rows = entered.withColumn("text", cut_text).select(*docs.columns, *order)
+    dealt = rows.repartitionByRange(shard, place).sortWithinPartitions(shard, place, "doc_id", begin)
+    named = [F.col(shard).alias("shard"), F.col(place).alias("place")] if shard_columns else []
     return dealt.select(*docs.columns, *named)
