@@ -19,10 +19,31 @@ def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the checkpoint folder that all executors share and cut its lineage."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-"))
+        shared = sc.getConf().get("spark.checkpoint.dir")
+        if not shared and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="checkpoint-"))
     return df.checkpoint()
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names like ``names`` that no column of ``df`` has, whatever its case."""
+    taken = {c.lower() for c in df.columns}
+    end = "__"
+    while any(n + end in taken for n in names):
+        end += "_"
+    return [n + end for n in names]
+
+
+def without(rows: DataFrame, marks: DataFrame, hashed: Column) -> DataFrame:
+    """``rows`` whose doc_id and ``hashed`` value are not among ``marks`` (doc_id, key); null ids are equal."""
+    key, marked_id, marked = fresh(rows, "key", "id", "marked")
+    named = cut(marks.select(marks["doc_id"].alias(marked_id), marks["key"].alias(marked)).distinct())
+    keyed = rows.withColumn(key, hashed)
+    same = (keyed[key] == named[marked]) & keyed["doc_id"].eqNullSafe(named[marked_id])
+    return keyed.join(sized_broadcast(named, named.count()), same, "left_anti").drop(key)
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with ``value`` computed once."""
     return F.transform(F.array(value), body)[0]
@@ -72,14 +93,20 @@ def sized_broadcast(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> Da
     return F.broadcast(df) if rows <= limit else df
 
 
-def lookup(left: DataFrame, right: DataFrame, key: str, weight: str, rows: int, total: int) -> DataFrame:
+def lookup(left: DataFrame, right: DataFrame, key: str, weight: str | None, rows: int, total: int | None = None) -> DataFrame:
     """Left join on the unique ``key`` of ``right``; ``weight`` is how many left rows a key has.
 
     Keys with over a thousandth of ``total`` rows (under 1000 such keys can
-    exist) are joined by broadcast, so no task gets a hot key's rows.
+    exist) are joined by broadcast, so no task gets a hot key's rows.  Without
+    ``weight`` the left rows of each key are counted where that is needed.
     """
     if rows <= BROADCAST_ROWS:
-        return left.join(F.broadcast(right.drop(weight)), key, "left")
+        return left.join(F.broadcast(right.drop(weight) if weight else right), key, "left")
+    if weight is None:
+        weight = fresh(right, "weight")[0]
+        counted = left.groupBy(key).agg(F.count(F.lit(1)).alias(weight))
+        right = cut(right.join(counted, key))
+        total = right.agg(F.sum(weight)).first()[0] or 0
     heavy = max(1024, total // 1000)
     hot = F.broadcast(right.filter(F.col(weight) >= heavy).drop(weight))
     cold = right.filter(F.col(weight) < heavy).drop(weight)

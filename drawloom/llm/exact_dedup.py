@@ -23,7 +23,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from drawloom.llm.common import SPACE, cut, lookup, sized_broadcast, text_of
+from drawloom.llm.common import SPACE, cut, fresh, lookup, sized_broadcast, text_of
 
 
 def normalised(text: Column) -> Column:
@@ -115,15 +115,16 @@ def _apart(found: DataFrame, rows: DataFrame, groups: DataFrame) -> DataFrame:
 def keep_first(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
     flags = exact_dedup(docs)
+    sha, nth, one, marked_id, key = fresh(docs, "sha", "nth", "one_kept", "id", "key")
     marks = cut(
         flags.groupBy("doc_id", "text_sha256")
-        .agg(F.min("kept").alias("all_kept"), F.max("kept").alias("one_kept"))
+        .agg(F.min("kept").alias("all_kept"), F.max("kept").alias(one))
         .filter(~F.col("all_kept"))
-        .select(F.col("doc_id").alias("id__"), F.col("text_sha256").alias("key__"), "one_kept")
+        .select(F.col("doc_id").alias(marked_id), F.col("text_sha256").alias(key), one)
     )
-    rows = docs.withColumn("sha__", F.sha2(normalised(text_of(docs)), 256))
-    same = rows["doc_id"].eqNullSafe(marks["id__"]) & (rows["sha__"] == marks["key__"])
+    rows = docs.withColumn(sha, F.sha2(normalised(text_of(docs)), 256))
+    same = rows["doc_id"].eqNullSafe(marks[marked_id]) & (rows[sha] == marks[key])
     marked = rows.join(sized_broadcast(marks, marks.count()), same, "left")
-    once = Window.partitionBy("doc_id", "sha__").orderBy(F.lit(0))
-    repeated = marked.filter("one_kept").withColumn("nth__", F.row_number().over(once)).filter("nth__ = 1")
-    return marked.filter("one_kept is null").select(docs.columns).unionByName(repeated.select(docs.columns))
+    once = Window.partitionBy("doc_id", sha).orderBy(F.lit(0))
+    repeated = marked.filter(one).withColumn(nth, F.row_number().over(once)).filter(f"{nth} = 1")
+    return marked.filter(f"{one} is null").select(docs.columns).unionByName(repeated.select(docs.columns))

@@ -21,12 +21,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from drawloom.llm.common import cut, let, sized_broadcast, text_of, words
+from drawloom.llm.common import BROADCAST_ROWS, cut, let, lookup, text_of, without, words
 
 SYMBOLS = r"[#*$%&|<>]"
 #: Most trusted documents that the target distribution is fitted on.
 TRUSTED = 20_000
-#: Most hashes of copied texts (16 bytes each) that are broadcast; beyond it the join shuffles.
+#: Most hashes of copied texts (16 bytes each) that are broadcast; beyond it they are looked up by shuffle, hot ones apart.
 COPIES = 1_000_000
 BUCKETS = 8192
 #: Score in nats an n-gram under which a document looks unlike the trusted ones.
@@ -110,8 +110,12 @@ def trusted_ids(labels: DataFrame, limit: int = TRUSTED) -> DataFrame:
 def one_of_copies(rows: DataFrame) -> DataFrame:
     """The rows of (doc_id, text_hash, ...) without further copies of a text: the smallest doc_id stays."""
     groups = rows.groupBy("text_hash").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_id"))
-    copied = cut(groups.filter("n > 1").drop("n"))
-    marked = rows.join(sized_broadcast(copied, copied.count(), COPIES), "text_hash", "left")
+    copied = cut(groups.filter("n > 1"))
+    n, total = copied.agg(F.count(F.lit(1)), F.sum("n")).first()
+    if BROADCAST_ROWS < n <= COPIES:
+        marked = rows.join(F.broadcast(copied.drop("n")), "text_hash", "left")
+    else:
+        marked = lookup(rows, copied, "text_hash", "n", n, total)
     return marked.filter("first_id is null or doc_id = first_id").drop("first_id")
 
 
@@ -171,10 +175,6 @@ def keep_good(docs: DataFrame, labels: DataFrame, **options: object) -> DataFram
     them would split each text again for each of its words.  Rows with one
     doc_id but several verdicts are told apart by their text.
     """
-    keyed = F.xxhash64(text_of(docs))
     verdicts = cut(judge(docs, labels, **options))
-    bad = verdicts.filter(~F.col("kept")).select(F.col("doc_id").alias("id__"), F.col("text_hash").alias("hash__"))
-    bad = cut(bad.distinct())
-    rows = docs.withColumn("key__", keyed)
-    same = (rows["key__"] == bad["hash__"]) & rows["doc_id"].eqNullSafe(bad["id__"])
-    return rows.join(sized_broadcast(bad, bad.count()), same, "left_anti").select(docs.columns)
+    bad = verdicts.filter(~F.col("kept")).select("doc_id", F.col("text_hash").alias("key"))
+    return without(docs, bad, F.xxhash64(text_of(docs)))

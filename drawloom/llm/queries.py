@@ -20,7 +20,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.find_personal_data(table(spark, sf_dir, "documents")).drop("clean_text")
+    found = pii.find_personal_data(table(spark, sf_dir, "documents"))
+    return found.withColumn("clean_sha256", F.sha2("clean_text", 256)).drop("clean_text")
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,7 +30,7 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mix = mixing.mix(table(spark, sf_dir, "documents"))
-    shards = F.transform("copies", lambda c: F.concat_ws(":", c["shard"], c["words"], c["place"]))
+    shards = F.transform("copies", lambda c: F.concat_ws(":", c["pass"], c["block"], c["shard"], c["words"], c["place"]))
     return mix.select("doc_id", "size", "source_size", "target", "taken", F.array_join(shards, ",").alias("shards"))
 
 

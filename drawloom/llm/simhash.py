@@ -30,13 +30,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from drawloom.llm.common import cut, lookup, sized_broadcast, text_of
+from drawloom.llm.common import cut, lookup, text_of, without
 
 SHINGLE = 4
 DISTANCE = 4
 SEED = 42
 #: Members of a key up to which all of them are compared in blocks.
 LEAF = 2048
+#: Least edges of a node that are joined by broadcast of the node.
+HEAVY = 4096
 #: Expected members of a key; more blocks are used when there would be more.
 PER_KEY = 8
 
@@ -209,21 +211,44 @@ def components(edges: DataFrame) -> DataFrame:
     edge leads to a root.
     """
     edges = cut(edges.filter("a <> b"))
-    seen = None
+    seen, total = None, edges.count()
+
+    def centred(rows: DataFrame, lowest: DataFrame) -> DataFrame:
+        """Each (a, b) of ``rows`` as (b, m), m the lowest of a; nodes with very many edges by broadcast."""
+        heavy = F.col("degree") >= max(HEAVY, total // 1000)
+        if lowest.filter(heavy).limit(1).count():
+            lowest = cut(lowest)
+            hot = F.broadcast(lowest.filter(heavy).drop("degree"))
+            rest = rows.join(hot.select("a"), "a", "left_anti").join(lowest.filter(~heavy).drop("degree"), "a")
+            met = rows.join(hot, "a").unionByName(rest)
+        else:
+            met = rows.join(lowest.drop("degree"), "a")
+        return met.select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b")
+
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b")
-        large = large.distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b")
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count(F.lit(1)).alias("degree"))
+        large = centred(both.filter("b > a"), least).distinct()
+        low = large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("degree"))
+        small = centred(large, low)
         edges = cut(small.unionByName(low.select("a", F.col("m").alias("b"))).distinct())
         sums = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if tuple(sums) == seen:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(
                 edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
             )
-        seen = tuple(sums)
+        seen, total = tuple(sums), sums[0]
+
+
+def component_ids(distinct: DataFrame, key: str, roots: DataFrame) -> DataFrame:
+    """(key, component_id, n) of (key, first, n) where a row may differ from its own doc_id: by components and copies."""
+    linked = cut(distinct.join(roots.withColumnRenamed("node", key), key))
+    lowest = cut(linked.groupBy("root").agg(F.min("first").alias("component_id"), F.count(F.lit(1)).alias("nodes")))
+    n, nodes = lowest.agg(F.count(F.lit(1)), F.sum("nodes")).first()
+    named = lookup(linked, lowest, "root", "nodes", n, nodes or 0).select(key, "component_id", "first", "n")
+    alone = distinct.join(roots.select(F.col("node").alias(key)), key, "left_anti")
+    every = named.unionByName(alone.select(key, F.col("first").alias("component_id"), "first", "n"))
+    return cut(every.filter("n > 1 or component_id <> first or first is null").select(key, "component_id", "n"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -237,12 +262,7 @@ def _flags(prints: DataFrame) -> DataFrame:
     distinct = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")))
     total, n = rows.count(), distinct.count()
     roots = cut(components(links(distinct.select("fp"), n)))
-    named = distinct.join(roots, distinct["fp"] == roots["node"], "left").select(
-        "fp", "first", "n", F.coalesce("root", "fp").alias("root")
-    )
-    lowest = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    several = named.join(lowest, "root").filter("n > 1 or component_id <> first").select("fp", "component_id", "n")
-    several = cut(several)
+    several = component_ids(distinct, "fp", roots)
     found = lookup(rows, several, "fp", "n", several.count(), total)
     return found.select(
         "doc_id",
@@ -257,11 +277,8 @@ def not_first(docs: DataFrame, flags: DataFrame) -> DataFrame:
 
     Rows are told apart by doc_id and text, as null and repeated doc_ids may belong to several texts.
     """
-    gone = flags.filter("not (doc_id <=> component_id)").select(F.col("doc_id").alias("id__"), F.col("text_hash").alias("hash__"))
-    gone = cut(gone.distinct())
-    rows = docs.withColumn("key__", F.xxhash64(text_of(docs)))
-    same = (rows["key__"] == gone["hash__"]) & rows["doc_id"].eqNullSafe(gone["id__"])
-    return rows.join(sized_broadcast(gone, gone.count()), same, "left_anti").select(docs.columns)
+    gone = flags.filter("not (doc_id <=> component_id)").select("doc_id", F.col("text_hash").alias("key"))
+    return without(docs, gone, F.xxhash64(text_of(docs)))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -120,16 +121,66 @@ def test_splitting_tree_is_exact(spark):
     assert max(big) - min(big) < 600 and len(set(big)) > 1
 
 
-def test_hypergeometric_distribution(spark):
-    df = spark.range(4000).select(
-        mixing.hypergeometric(F.lit(30), F.lit(12), F.lit(10), mixing._uniform(F.col("id")), F.lit(0.5)).alias("x")
-    )
-    got = Counter(r.x for r in df.collect())
-    for x in range(0, 11):
-        p = math.comb(12, x) * math.comb(18, 10 - x) / math.comb(30, 10)
+def draws(spark, n, k, d, rows=4000):
+    u = lambda i: mixing._uniform(F.col("id"), i)
+    return Counter(r.x for r in spark.range(rows).select(mixing.hypergeometric(F.lit(n), F.lit(k), F.lit(d), u).alias("x")).collect())
+
+
+@pytest.mark.parametrize("n, k, d", [(30, 12, 10), (30, 25, 10), (30, 12, 25), (9, 8, 8), (5, 0, 3), (5, 5, 2), (400, 30, 390)])
+def test_hypergeometric_distribution(spark, n, k, d):
+    got = draws(spark, n, k, d)
+    for x in range(0, d + 1):
+        p = math.comb(k, x) * math.comb(n - k, d - x) / math.comb(n, d)
         assert abs(got[x] / 4000 - p) < 0.03
 
 
+def test_hypergeometric_of_very_many(spark):
+    n, k, d = 4_000_000_000, 1_300_000_000, 2_000_000_000
+    got = list(draws(spark, n, k, d).elements())
+    mean, sd = d * k / n, math.sqrt(d * (k / n) * (1 - k / n) * (n - d) / (n - 1))
+    z = [(x - mean) / sd for x in got]
+    assert abs(sum(z) / 4000) < 0.08 and abs(sum(v * v for v in z) / 4000 - 1) < 0.1
+    assert abs(sum(abs(v) < 1 for v in z) / 4000 - 0.6827) < 0.03 and len(set(got)) > 3500
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 5, 16, 17, 1024, 1000, 4099])
+def test_permutation_is_one_and_mixes(spark, n):
+    df = spark.range(n).select("id", mixing.permuted(F.col("id"), F.lit(n), F.lit(7)).alias("p"))
+    got = [r.p for r in df.orderBy("id").collect()]
+    assert sorted(got) == list(range(n))
+    if n >= 1000:
+        assert sum(abs(a - b) == 1 for a, b in zip(got, got[1:], strict=False)) < n / 50
+
+
+def test_seed_and_shards_change_the_shards_and_never_the_sums(spark):
+    rows = [(i, " ".join(["w"] * (i % 50)), "en", "s" + str(i % 3)) for i in range(300)]
+    df = docs(spark, rows)
+    plans = {}
+    for seed, shards in ((42, 4), (43, 4), (42, 8)):
+        got = mixing.mix(df, block_words=32, shards=shards, seed=seed).collect()
+        plans[seed, shards] = {r.doc_id: [(c.block, c.shard) for c in r.copies] for r in got}
+        for s in ("s0", "s1", "s2"):
+            assert sum(r.taken for r in got if r.source == s) == round(next(r.target for r in got if r.source == s))
+        at = {(r.source, c.block): c.shard for r in got for c in r.copies}
+        per_shard = Counter(at.values())
+        assert len(per_shard) == shards and max(per_shard.values()) - min(per_shard.values()) <= shards.bit_length()
+    assert plans[42, 4] != plans[43, 4] and plans[42, 4] != plans[42, 8]
+
+
+CLASHING = [c + e for c in ("copies", "copy", "piece", "hash", "key", "id", "same", "shard", "place", "from", "nth", "one_kept", "sha", "mix_key") for e in ("", "__")]
+
+
+def test_columns_with_clashing_names_stay(spark):
+    text = "a b c d e f g h i j k"
+    rows = [(1, text, "en", "s", 1, *CLASHING), (2, text, "en", "s", 1, *CLASHING), (None, None, None, None, None, *CLASHING)]
+    df = spark.createDataFrame(rows, f"{DOCS}, " + ", ".join(f"`{c}` string" for c in CLASHING))
+    labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
+    for made in (mixing.mixed_documents(df), exact_dedup.keep_first(df), quality.keep_good(df, labels)):
+        got = made.collect()
+        assert made.columns == df.columns and got
+        assert all([r[c] for c in CLASHING] == CLASHING for r in got)
+
+
 def test_mixed_documents_hold_the_words_taken(spark):
     rows = [(i, f"a{i} b{i}  c{i}\nd{i} ", "en", "s" + str(i % 3)) for i in range(30)] + [(5, "dup x y", "en", "s1")] * 2
     df = docs(spark, rows)
@@ -291,3 +342,85 @@ def test_pii_terms_that_give_a_value_away(spark):
     assert all(got[i].n_term == 0 for i in range(600, 609)), "one context, however often copied, proves nothing"
     assert "[EMAIL]" in got[3].clean_text and "corp" not in got[3].clean_text
     assert got[3].n_email == 1 and got[3].n_term == 1
+
+
+SECRET = re.compile(r"(?<![A-Za-z0-9])[A-Za-z0-9]{20,}")
+
+
+def brute_terms(texts, reach=64, support=3, generalise=0.9, remove=0.97):
+    """Disclosing terms by plain loops over distinct texts."""
+    texts = sorted(set(texts))
+    term_of = lambda t: {w for w in re.split(r"[\W_]+", t.lower()) if w}
+    contexts, holders = {}, {}
+    for n, t in enumerate(texts):
+        found = {k: [tuple(map(int, s.split(":")[1:])) for s in v] for k, v in brute_spans(t).items()}
+        found["secret"] = [m.span() for m in SECRET.finditer(t) if re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0]) and len(set(m[0])) >= 8]
+        for kind, spans in found.items():
+            every = [m.span() for m in (SECRET if kind == "secret" else re.compile(PATTERNS[kind])).finditer(t)]
+            for a, b in spans:
+                i = every.index((a, b))
+                low = max(a - reach, every[i - 1][1] if i else 0)
+                high = min(b + reach, every[i + 1][0] if i + 1 < len(every) else len(t))
+                words = [m for m in re.finditer(r"[^\W_]+", t) if m.end() > low and m.start() < high]
+                inside = frozenset(m[0].lower() for m in words if m.start() >= low and m.end() <= high and (m.end() <= a or m.start() >= b))
+                value = t[a:b].lower() if kind == "email" else t[a:b] if kind in ("ip", "secret") else re.sub("[^0-9]", "", t[a:b])
+                for entity in (kind, f"{kind}:{value}"):
+                    holders.setdefault(entity, set()).add(n)
+                    contexts.setdefault(entity, set()).add((t[low:a], t[b:high], inside))
+    with_term = {}
+    for n, t in enumerate(texts):
+        for w in term_of(t):
+            with_term.setdefault(w, set()).add(n)
+    best = {}
+    for entity, found in contexts.items():
+        if len(holders[entity]) < support or len(holders[entity]) == len(texts):
+            continue
+        information = -math.log2(len(holders[entity]) / len(texts))
+        for w in set().union(*(c[2] for c in found)):
+            if sum(w in c[2] for c in found) >= support and w in with_term:
+                joint = len(holders[entity] & with_term[w])
+                if joint:
+                    best[w] = max(best.get(w, -9), 1 + math.log2(joint / len(with_term[w])) / information)
+    return {w: ("remove" if d >= remove else "generalise", round(d, 9)) for w, d in best.items() if d >= generalise}
+
+
+def pii_corpus():
+    rng = random.Random(5)
+    plain = [f"w{i}" for i in range(300)]
+    names = ["Zorblax", "Quimby", "Ferrant", "Odo"]
+    texts = []
+    for i in range(900):
+        ws = rng.choices(plain, k=rng.randint(5, 60))
+        if i % 9 == 0:
+            n = i // 9 % 4
+            ws.insert(rng.randrange(len(ws)), f"{names[n]} writes from {names[n].lower()}.{n}@corp.example and")
+            if n == 3 and i % 5 == 0:
+                ws += ["Odo"] * 2 + ["end"]
+        if i % 14 == 0:
+            ws.insert(rng.randrange(len(ws)), f'apikey = "{rng.getrandbits(160):040x}" now')
+        if i % 31 == 0:
+            ws += [rng.choice(names)]
+        texts.append(" ".join(ws))
+    return texts + texts[:1] * 500
+
+
+def test_disclosing_terms_match_brute_force_with_production_thresholds(spark):
+    texts = pii_corpus()
+    want = brute_terms(texts)
+    rows = [(i, t, "en", "s") for i, t in enumerate(texts)]
+    got = {r.term: (r.action, round(r.disclosure, 9)) for r in pii.disclosing_terms(docs(spark, rows)).collect()}
+    assert got == want and want["apikey"] == ("remove", 1.0) and len(want) >= 3
+    found = {r.doc_id: r for r in pii.find_personal_data(docs(spark, rows)).collect()}
+    assert all(r.n_term >= 1 and r.n_secret == 1 for i, r in found.items() if i < 900 and i % 14 == 0)
+    assert all("apikey" not in r.clean_text and "[SECRET]" in r.clean_text for i, r in found.items() if i < 900 and i % 14 == 0)
+    clean = [r for i, r in found.items() if i < 900 and i % 9 and i % 14 and i % 31]
+    assert clean and all(r.n_spans == 0 and r.clean_text == texts[r.doc_id] for r in clean)
+
+
+@pytest.mark.parametrize("bound", [common.BROADCAST_ROWS, 0])
+def test_disclosing_terms_beyond_the_broadcast_bound(spark, monkeypatch, bound):
+    texts = pii_corpus()[::3]
+    monkeypatch.setattr(common, "BROADCAST_ROWS", bound)
+    rows = [(i, t, "en", "s") for i, t in enumerate(texts)]
+    got = {r.term: r.action for r in pii.disclosing_terms(docs(spark, rows)).collect()}
+    assert got == {w: a for w, (a, _) in brute_terms(texts).items()} and got
