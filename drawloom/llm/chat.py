@@ -5,6 +5,8 @@ kinds; its fingerprint is a hash of that.  Registered mappings say, as data,
 where the turns of a layout are: a list path with role and text fields, or
 fixed fields with the role each stands for.  The fingerprint of a record picks
 its mapping, memorised by fingerprint, and the record becomes canonical turns.
+A mapping fits a schema when all its required paths are there and no other path
+holds text, but for the known plain fields in PLAIN, so no text is lost.
 
 The template writes each turn as
 
@@ -12,13 +14,17 @@ The template writes each turn as
 
 with every ``\\``, ``<`` and control mark inside role and text escaped by a
 backslash, so nothing in a text reads as a mark and the escaping is undone
-exactly.  Every turn is one row of output (conv_id, seq, formatted, loss_start,
-loss_end), so a conversation of any length is never held in one row; the
-conversation's output is its rows in order.
-
-Nulls: a null text or role is empty; a null turn sorts first; rows repeated
-with the same turn are ordered by role and text.  A layout without a mapping
-raises an error that names its paths.  Empty tables give empty results.
+exactly.  Every turn is one row of output (SCHEMA), made without a shuffle, so a
+conversation of any length is never held in one row; the conversation's output
+is its rows in order of turn, tie and seq.  ``read_back`` sorts them by
+conversation and keeps running hashes: a hash over the turns of one conversation
+is sequential, so that conversation streams through one task in bounded memory.
+
+Nulls: a null text or role is empty; a null turn sorts first; records repeated
+with the same turn are ordered by a hash of the record.  A record that is null,
+no JSON object or of a schema without a mapping becomes one row with ``problem``
+set and nothing formatted, which ``read_back`` counts.  Empty tables give empty
+results; other columns are not read.
 """
 
 from __future__ import annotations
@@ -29,53 +35,88 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Layouts: where the turns are.  ``fields`` are (path, role) pairs, empty ones skipped;
-#: ``list`` has the path of the turns and the fields of role and text.
+from drawloom.llm.common import let
+
+#: Layouts: where the turns are.  ``fields`` are (path, role) pairs, ``list`` has the path of the turns and the
+#: fields of role and text, ``row`` is one turn; ``optional`` fields may be missing, ``pairs`` is a list of earlier
+#: (user, assistant) pairs.  Null fields and empty optional ones are no turns.  ROLES translates the field ``from``.
 LAYOUTS = {
     "turn_row": {"row": ("role", "text")},
     "messages": {"list": ("messages", "role", "content")},
     "exchanges": {"list": ("conversations", "from", "value")},
-    "prompt": {"fields": (("system", "system"), ("prompt", "user"), ("response", "assistant"))},
-    "instruction": {"fields": (("system", "system"), ("instruction", "user"), ("input", "user"), ("output", "assistant"))},
-    "question": {"fields": (("context", "system"), ("question", "user"), ("answer", "assistant"))},
+    "prompt": {"fields": (("system", "system"), ("prompt", "user"), ("response", "assistant")), "optional": ("system",)},
+    "instruction": {
+        "fields": (("system", "system"), ("instruction", "user"), ("input", "user"), ("output", "assistant")),
+        "optional": ("system", "input"),
+        "pairs": "history",
+    },
+    "question": {"fields": (("context", "system"), ("question", "user"), ("answer", "assistant")), "optional": ("context",)},
 }
+#: Plain fields that hold no text of a turn.
+PLAIN = re.compile(r"\.(id|source|lang|language|created|model|meta|metadata)([.\[].*)?")
 ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
 MARK = re.compile(r"[\\<]")
 ESCAPED = re.compile(r"\\([\\<])")
 
 
-def paths(value: object, at: str = "") -> set[str]:
-    """Nested field paths; items of lists share one path."""
+def kind_of(value: object) -> str:
+    """The JSON kind; numbers and booleans read as text, null as an empty one."""
     if isinstance(value, dict):
-        return {p for k, v in value.items() for p in paths(v, f"{at}.{k}")} or {at}
+        return "object"
+    if isinstance(value, list):
+        return "list"
+    return "null" if value is None else "text" if isinstance(value, str) else "scalar"
+
+
+def paths(value: object, at: str = "") -> set[tuple[str, str]]:
+    """Nested field paths with the kinds of their values; items of lists share one path."""
+    if isinstance(value, dict) and value:
+        return {p for k, v in value.items() for p in paths(v, f"{at}.{k}")}
     if isinstance(value, list):
-        return {p for v in value for p in paths(v, f"{at}[]")} or {f"{at}[]"}
-    return {at}
+        return {p for v in value for p in paths(v, f"{at}[]")} | {(at, "list")}
+    return {(at, kind_of(value))}
 
 
 def fingerprint(record: dict) -> str:
-    return hashlib.sha256("\n".join(sorted(paths(record))).encode()).hexdigest()[:16]
+    """Hash of the schema: the sorted paths and kinds."""
+    return hashlib.sha256(json.dumps(sorted(paths(record))).encode()).hexdigest()[:16]
+
+
+def _needs(layout: dict) -> tuple[set[str], set[str]]:
+    """The paths that a record of the layout must have and those that it may have."""
+    if "row" in layout:
+        return {f".{f}" for f in layout["row"]}, set()
+    if "list" in layout:
+        at, role, text = layout["list"]
+        return {f".{at}"}, {f".{at}[].{role}", f".{at}[].{text}"}
+    named = [p for p, _ in layout["fields"]]
+    need = {f".{p}" for p in named if p not in layout["optional"]}
+    more = {f".{layout['pairs']}", f".{layout['pairs']}[]", f".{layout['pairs']}[][]"} if "pairs" in layout else set()
+    return need, {f".{p}" for p in layout["optional"]} | more
 
 
 def layout_of(record: dict) -> str:
-    """The layout whose required paths the record has; the most specific first."""
+    """The layout that has all texts of the record."""
     have = paths(record)
+    at = {p for p, _ in have}
+    wrong = []
     for name, layout in LAYOUTS.items():
-        if "row" in layout:
-            need = {f".{f}" for f in layout["row"]}
-        elif "list" in layout:
-            at, role, text = layout["list"]
-            if f".{at}[]" in have:  # an empty list of turns
-                return name
-            need = {f".{at}[].{role}", f".{at}[].{text}"}
-        else:
-            need = {f".{p}" for p, _ in layout["fields"][1:] if p != "input"}
-        if need <= have:
+        need, may = _needs(layout)
+        if not need <= at:
+            continue
+        lists = {f".{layout[k] if k == 'pairs' else layout[k][0]}" for k in ("list", "pairs") if k in layout}
+        nested = lists | ({f"{p}[]" for p in lists} if "pairs" in layout else set())
+
+        def read(p: str, kind: str, known: set[str] = need | may, nested: set[str] = nested) -> bool:
+            return p in known and kind in (("list", "null") if p in nested else ("text", "scalar", "null"))
+
+        wrong = sorted(p for p, kind in have if not PLAIN.fullmatch(p) and not read(p, kind))
+        if not wrong:
             return name
-    raise ValueError(f"no mapping for the layout {sorted(have)}")
+    raise ValueError(f"no mapping for the layout {sorted(have)}" + (f": nothing reads {wrong}" if wrong else ""))
 
 
 class Mapper:
@@ -84,7 +125,9 @@ class Mapper:
     def __init__(self) -> None:
         self.known: dict[str, str] = {}
 
-    def turns(self, record: dict) -> list[tuple[str, str]]:
+    def turns(self, record: object) -> list[tuple[str, str]]:
+        if not isinstance(record, dict):
+            raise ValueError(f"no mapping for a record that is {kind_of(record)}")
         key = fingerprint(record)
         name = self.known.get(key)
         if name is None:
@@ -94,10 +137,14 @@ class Mapper:
             found = [tuple(record.get(f) for f in layout["row"])]
         elif "list" in layout:
             at, role, text = layout["list"]
-            found = [(m.get(role), m.get(text)) for m in record[at]]
+            found = [(ROLES.get(m.get(role), m.get(role)) if role == "from" else m.get(role), m.get(text)) for m in record[at]]
         else:
-            found = [(role, record[p]) for p, role in layout["fields"] if record.get(p) not in (None, "")]
-        return [(ROLES.get(r, r) or "", "" if t is None else str(t)) for r, t in found]
+            skipped = {p: (None, "") if p in layout["optional"] else (None,) for p, _ in layout["fields"]}
+            found = [(role, record[p]) for p, role in layout["fields"] if record.get(p) not in skipped[p]]
+            pairs = record.get(layout.get("pairs")) or []
+            first = sum(r == "system" for r, _ in found)
+            found[first:first] = [t for pair in pairs for t in zip(("user", "assistant"), pair, strict=True)]
+        return [("" if r is None else str(r), "" if t is None else str(t)) for r, t in found]
 
 
 def escape(text: str) -> str:
@@ -127,32 +174,31 @@ def read_turn(formatted: str) -> tuple[str, str]:
     return unescape(m[1]), unescape(m[2])
 
 
-SCHEMA = "conv_id long, seq long, formatted string, loss_start long, loss_end long"
+SCHEMA = "conv_id long, turn long, tie long, seq long, formatted string, loss_start long, loss_end long, problem string"
+NO_TURN = (None, None, None)
 
 
 def format_records(records: DataFrame) -> DataFrame:
     """Turns of (conv_id, turn, record) with JSON records of any known layout, as rows of SCHEMA.
 
-    Rows of one conv_id follow each other by turn; a record may hold one turn
-    or a whole conversation.
+    A record may hold one turn or a whole conversation.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mapper = Mapper()
-        last: object = run
-        seq = 0
-        for batch in batches:
+        for batch in (whole.slice(i, 1024) for whole in batches for i in range(0, whole.num_rows, 1024)):
             out: list[tuple] = []
-            for conv, record in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if conv != last:
-                    last, seq = conv, 0
-                for role, text in mapper.turns(json.loads(record)):
-                    out.append((conv, seq, *format_turn(role, text)))
-                    seq += 1
+            for conv, turn, tie, record in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                try:
+                    turns = mapper.turns(json.loads(record) if record is not None else None)
+                except (ValueError, AttributeError, TypeError, RecursionError) as error:
+                    out.append((conv, turn, tie, 0, *NO_TURN, str(error)[:500]))
+                else:
+                    out += [(conv, turn, tie, i, *format_turn(r, t), None) for i, (r, t) in enumerate(turns)]
             yield from _batches(out, SCHEMA)
 
-    dealt = records.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "record")
-    return dealt.select("conv_id", "record").mapInArrow(run, SCHEMA)
+    tie = F.xxhash64("record").alias("tie")
+    return records.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), tie, "record").mapInArrow(run, SCHEMA)
 
 
 def _batches(rows: list[tuple], schema: str) -> Iterator[pa.RecordBatch]:
@@ -163,7 +209,7 @@ def _batches(rows: list[tuple], schema: str) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(columns, [n for n, _ in fields])
 
 
-READ = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
+READ = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_problems long"
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
@@ -174,8 +220,8 @@ def read_back(formatted: DataFrame) -> DataFrame:
         state: list = []
 
         def done() -> tuple:
-            n, turns, chars, loss, size = state
-            return conv, n, turns.hexdigest(), chars, loss.hexdigest(), size
+            n, turns, chars, loss, size, problems = state
+            return conv, n, turns.hexdigest(), chars, loss.hexdigest(), size, problems
 
         for batch in batches:
             out = []
@@ -183,7 +229,10 @@ def read_back(formatted: DataFrame) -> DataFrame:
                 if c != conv:
                     if conv is not run:
                         out.append(done())
-                    conv, state = c, [0, hashlib.sha256(), 0, hashlib.sha256(), 0]
+                    conv, state = c, [0, hashlib.sha256(), 0, hashlib.sha256(), 0, 0]
+                if text is None:
+                    state[5] += 1
+                    continue
                 role, body = read_turn(text)
                 masked = unescape(text[start:end])
                 state[0] += 1
@@ -195,14 +244,40 @@ def read_back(formatted: DataFrame) -> DataFrame:
         if conv is not run:
             yield from _batches([done()], READ)
 
-    dealt = formatted.repartition("conv_id").sortWithinPartitions("conv_id", "seq")
+    dealt = formatted.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "tie", "seq")
     return dealt.select("conv_id", "formatted", "loss_start", "loss_end").mapInArrow(run, READ)
 
 
 def turn_rows(conversations: DataFrame) -> DataFrame:
-    """Rows by turn (conv_id, turn, role, text) as records in their own layout."""
-    kept = F.struct(
-        F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"),
-        F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
-    )
-    return conversations.select("conv_id", "turn", F.to_json(kept).alias("record"))
+    """Rows by turn (conv_id, turn, role, text) as JSON records, each in a layout that a hash of it picks.
+
+    All layouts come up, as in a corpus put together from many; a layout is
+    only offered to turns that it can say.
+    """
+    role = F.coalesce(F.col("role").cast("string"), F.lit(""))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+
+    def record(fields: dict[str, Column]) -> Column:
+        return F.to_json(F.struct(*[v.alias(k) for k, v in fields.items()]), {"ignoreNullFields": "false"})
+
+    def turn(layout: dict, said: Column = role) -> Column:
+        if "row" in layout:
+            return record(dict(zip(layout["row"], (said, text), strict=True)))
+        at, *fields = layout["list"]
+        return record({at: F.array(F.struct(*[v.alias(k) for k, v in zip(fields, (said, text), strict=True)]))})
+
+    def spoken(layout: dict, by: str) -> Column:
+        own = next(p for p, r in layout["fields"] if r == by)
+        return record({p: text if p == own else F.lit(None).cast("string") for p, _ in layout["fields"]})
+
+    foreign = F.when(role == "user", "human").when(role == "assistant", "gpt").otherwise(role)
+    plain = [turn(LAYOUTS["turn_row"]), turn(LAYOUTS["messages"])]
+    known = [*plain, turn(LAYOUTS["exchanges"], foreign)]
+    fixed = [LAYOUTS[k] for k in ("prompt", "instruction", "question")]
+    offered = F.array(*plain)
+    for by in ("user", "assistant", "system"):
+        fits = (role == by) & (text != "") if by == "system" else role == by
+        offered = F.when(fits, F.array(*known, *[spoken(f, by) for f in fixed])).otherwise(offered)
+    pick = F.xxhash64("conv_id", "turn", role, text)
+    made = let(offered, lambda o: F.element_at(o, (F.pmod(pick, F.size(o)) + 1).cast("int")))
+    return conversations.select("conv_id", "turn", made.alias("record"))
