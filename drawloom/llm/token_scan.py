@@ -11,8 +11,10 @@ how many of its tokens came before, which stitches documents across borders.
 ``write_flat`` makes such files.  Its tasks write to a name of their own and
 rename at the end, so a task that runs twice leaves the same file.
 
-Nulls: a null text is an empty document of 0 tokens; repeated rows are
-documents of their own.  Tokens after the last separator are a document that
+Nulls: a null text is an empty document of 0 tokens; a null doc_id keeps its
+count; repeated rows are documents of their own.  Texts of any length are
+written whole and their tokens may fill many blocks.  Files of one name cannot
+tie, and other columns are not read.  An empty table gives no rows.  Tokens after the last separator are a document that
 was cut off, reported with ``closed`` false.  Empty files have no rows.
 """
 
@@ -35,6 +37,8 @@ from pyspark.sql import functions as F
 from drawloom.llm.common import cut
 
 BLOCK_BYTES = 4 << 20
+#: Blocks of one file that are summed in one group.
+RUN = 4096
 
 
 def folder(spark: SparkSession, name: str) -> str:
@@ -62,6 +66,9 @@ def write_flat(docs: DataFrame, to: str, tokenizer: str, *, eod: int, width: int
     The result is run once and kept, since running it writes the files.
     """
     kind = f"<u{width}"
+    most = max(eod, encoding(tokenizer).max_token_value)
+    if most >= 1 << 8 * width:
+        raise ValueError(f"token ids up to {most} do not fit in {width} bytes")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = pafs.FileSystem.from_uri(to)
@@ -118,18 +125,8 @@ def scan_flat(blocks: DataFrame, at: str, *, eod: int, width: int = 2) -> DataFr
                 )
 
     dealt = blocks.repartition("file", "block")
-    found = dealt.mapInArrow(run, "file string, block long, tokens long, ends array<int>")
-    by_block = Window.partitionBy("file").orderBy("block")
-    earlier = by_block.rowsBetween(Window.unboundedPreceding, -1)
-    n = F.size("ends").cast("long")
-    before = F.coalesce(F.sum("tokens").over(earlier), F.lit(0).cast("long"))
-    placed = found.withColumn("doc", F.coalesce(F.sum(n).over(earlier), F.lit(0).cast("long"))).withColumn("before", before)
-    last_end = F.when(n > 0, F.col("before") + F.element_at("ends", -1) + 1)
-    opened = F.coalesce(F.max("last_end").over(earlier), F.lit(0).cast("long"))
-    placed = placed.withColumn("last_end", last_end).withColumn("open", F.col("before") - opened)
-    is_last = F.lead("block").over(by_block).isNull()
-    tail = F.col("before") + F.col("tokens") - F.coalesce("last_end", opened)
-    placed = placed.withColumn("tail", F.when(is_last, tail).otherwise(F.lit(0)))
+    found = cut(dealt.mapInArrow(run, "file string, block long, tokens long, ends array<int>"))
+    placed = found.select("file", "block", "ends").join(_prefixes(found), ["file", "block"])
     lengths = F.transform(
         "ends",
         lambda e, i: F.struct(
@@ -138,15 +135,56 @@ def scan_flat(blocks: DataFrame, at: str, *, eod: int, width: int = 2) -> DataFr
             F.lit(True).alias("closed"),
         ),
     )
-    cut_off = F.struct((F.col("doc") + n).alias("doc"), F.col("tail").cast("long").alias("n_tokens"), F.lit(False).alias("closed"))
+    cut_off = F.struct((F.col("doc") + F.size("ends")).alias("doc"), F.col("tail").alias("n_tokens"), F.lit(False).alias("closed"))
     every = F.when(F.col("tail") > 0, F.concat(lengths, F.array(cut_off))).otherwise(lengths)
     return placed.select("file", F.explode(every).alias("d")).select("file", "d.*")
 
 
+def _prefixes(found: DataFrame) -> DataFrame:
+    """(file, block, doc, open, tail): documents closed before a block, tokens open at its begin and left at the file's end.
+
+    A scan in two levels over the blocks' summaries: inside runs of RUN blocks,
+    then over the runs of a file, so a file of any size is no hot group.
+    """
+    ends = F.size("ends").cast("long")
+    last = F.when(ends > 0, F.element_at("ends", -1).cast("long") + 1)
+    blocks = found.select("file", "block", F.floor(F.col("block") / RUN).alias("run"), "tokens", ends.alias("n"), last.alias("last"))
+    zero = F.lit(0).cast("long")
+    inside = Window.partitionBy("file", "run").orderBy("block")
+    earlier = inside.rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select(
+        "*", F.coalesce(F.sum("tokens").over(earlier), zero).alias("before"), F.coalesce(F.sum("n").over(earlier), zero).alias("docs")
+    )
+    blocks = blocks.withColumn("last", F.col("before") + F.col("last"))
+    blocks = cut(blocks.withColumn("opened", F.max("last").over(earlier)))  # places are relative to the run
+    runs = blocks.groupBy("file", "run").agg(F.sum("tokens").alias("run_tokens"), F.sum("n").alias("run_docs"), F.max("last").alias("run_last"))
+    over = Window.partitionBy("file").orderBy("run")
+    past = over.rowsBetween(Window.unboundedPreceding, -1)
+    runs = runs.select(
+        "file", "run", "run_tokens", F.coalesce(F.sum("run_tokens").over(past), zero).alias("base"),
+        F.coalesce(F.sum("run_docs").over(past), zero).alias("base_docs"), "run_last", F.lead("run").over(over).isNull().alias("final"),
+    )
+    runs = runs.withColumn("base_last", F.coalesce(F.max(F.col("base") + F.col("run_last")).over(past), zero))
+    both = blocks.join(runs, ["file", "run"])
+    opened = F.coalesce(F.col("base") + F.col("opened"), F.col("base_last"))
+    before = F.col("base") + F.col("before")
+    at_end = F.col("final") & (F.col("before") + F.col("tokens") == F.col("run_tokens"))
+    tail = before + F.col("tokens") - F.coalesce(F.col("base") + F.col("last"), opened)
+    return both.select(
+        "file", "block", (F.col("base_docs") + F.col("docs")).alias("doc"), (before - opened).alias("open"),
+        F.when(at_end, tail).otherwise(zero).alias("tail"),
+    )
+
+
 def count_tokens(docs: DataFrame, tokenizer: str, *, eod: int, width: int = 2, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row per input row: doc_id, file, doc, n_tokens, counted in the flat files written from ``docs``."""
     spark = docs.sparkSession
     at = folder(spark, "tokens")
+    fs, base = pafs.FileSystem.from_uri(at)
+    fs.create_dir(base, recursive=True)
     order = write_flat(docs, at, tokenizer, eod=eod, width=width)
     counts = scan_flat(blocks_of(spark, at, block_bytes=block_bytes), at, eod=eod, width=width)
-    return order.join(counts.filter("closed"), ["file", "doc"]).select("doc_id", "file", "doc", "n_tokens")
+    counts = cut(counts.filter("closed"))
+    fs.delete_dir(base)  # the counts are kept, so nothing reads the files again
+    # Both sides have a row a document: never a broadcast, whatever the planner's estimate.
+    return order.join(counts.hint("shuffle_merge"), ["file", "doc"]).select("doc_id", "file", "doc", "n_tokens")
