@@ -12,12 +12,14 @@ that no entry blocks.  A capture asks for its few candidate keys (its host, the
 domains above it, its path prefixes), so the join is an equality join on the
 key with the interval as a further condition.  Captures are grouped by host,
 path head and day first, so a host with a third of all captures asks once a day
-and not once a capture.
+and not once a capture; questions and patterns that very many rows share are
+joined by broadcast.
 
 Nulls: a null or unparsable URL has no host and is never blocked; a null fetch
 time sees no entry; entries without pattern or date are ignored.  Of entries of
 one pattern, kind, category and date the removal counts.  Repeated captures get a row
-each; an empty list blocks nothing.
+each; an empty list blocks nothing, and no captures give no rows.  URLs of any
+length are read whole; other columns are not read.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from drawloom.llm.common import cut, sized_broadcast
+from drawloom.llm.common import cut, lookup
 
 #: Kind of the host itself that a domain entry with a leading www lists besides the hosts below it.
 WWW = "www"
@@ -113,20 +115,27 @@ def filter_urls(captures: DataFrame, entries: DataFrame) -> DataFrame:
     rows = captures.select(
         "page_id", "fetched", host_of(F.col("url")).alias("host"), F.coalesce(path_head(F.col("url"), depth), F.lit("")).alias("head")
     )
-    asked = rows.filter("host is not null and fetched is not null").select("host", "head", "fetched").distinct()
-    keys = asked.select("*", F.explode(candidate_keys(F.col("host"), F.col("head"))).alias("k")).select(
-        "host", "head", "fetched", "k.kind", "k.pattern"
+    seen = F.col("host").isNotNull() & F.col("fetched").isNotNull()
+    rows = rows.withColumn("ask", F.when(seen, F.struct("host", "head", "fetched")))
+    asked = rows.filter(seen).groupBy("ask").agg(F.count(F.lit(1)).alias("captures")).select("ask.*", "ask", "captures")
+    keys = asked.select("ask", "fetched", F.explode(candidate_keys(F.col("host"), F.col("head"))).alias("key"))
+    spans = F.collect_list(F.struct("category", "since", "until")).alias("spans")  # a pattern's own history
+    by_key = cut(listed.groupBy(F.struct("kind", "pattern").alias("key")).agg(spans))
+    met = lookup(keys, by_key, "key", None, by_key.count())
+    now = F.filter(
+        "spans", lambda s: (s["since"] <= F.col("fetched")) & (s["until"].isNull() | (F.col("fetched") < s["until"]))
     )
-    listed = sized_broadcast(listed, listed.count())
-    active = keys.join(listed, ["kind", "pattern"]).filter("since <= fetched and (until is null or fetched < until)")
+    active = met.filter("spans is not null").select("ask", F.col("key.kind").alias("kind"), F.explode(now).alias("s"))
     blocking = F.col("kind") != "allow"
-    verdict = active.groupBy("host", "head", "fetched").agg(
+    verdict = active.groupBy("ask").agg(
         F.count_if(blocking).alias("n_active"),
-        F.array_join(F.array_sort(F.collect_set(F.when(blocking, F.col("category")))), ",").alias("categories"),
+        F.array_join(F.array_sort(F.collect_set(F.when(blocking, F.col("s.category")))), ",").alias("categories"),
         (F.count_if(blocking) > 0).alias("hit"),
         (F.count_if(~blocking) > 0).alias("allowed"),
     )
-    found = rows.join(cut(verdict), ["host", "head", "fetched"], "left")
+    verdict = cut(verdict.join(asked.select("ask", "captures"), "ask"))
+    n, total = verdict.agg(F.count(F.lit(1)), F.sum("captures")).first()
+    found = lookup(rows, verdict, "ask", "captures", n, total or 0)
     return found.select(
         "page_id",
         "host",
