@@ -15,7 +15,7 @@ import tokenizers
 import xxhash
 from pyspark.sql import functions as F
 
-from drawloom.llm import bpe, chat, simhash, token_scan, url_filter
+from drawloom.llm import bpe, chat, common, simhash, token_scan, url_filter
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -174,15 +174,41 @@ def test_chat_layouts(spark):
         {"messages": [{"role": "user", "content": "q"}, {"role": "assistant", "content": "a"}]},
         {"conversations": [{"from": "human", "value": "q"}, {"from": "gpt", "value": "a"}], "id": 7},
         {"prompt": "q", "response": "a"}, {"instruction": "q", "input": "", "output": "a"}, {"question": "q", "answer": "a", "meta": {"x": [1]}},
+        {"instruction": None, "output": None, "history": [["q", "a"]]}, {"role": "user", "text": "q"},
     ]
     df = spark.createDataFrame([(i, 0, json.dumps(r)) for i, r in enumerate(records)], "conv_id long, turn long, record string")
     rows = chat.format_records(df).orderBy("conv_id", "seq").collect()
-    for i in range(len(records)):
+    for i in range(len(records) - 1):
         turns = [chat.read_turn(r.formatted) for r in rows if r.conv_id == i]
         assert turns == [("user", "q"), ("assistant", "a")]
     with pytest.raises(ValueError, match="no mapping"):
         chat.Mapper().turns({"odd": 1})
-    assert chat.fingerprint({"a": {"b": 1}}) == chat.fingerprint({"a": {"b": "other"}}) != chat.fingerprint({"a": {"c": 1}})
+    assert chat.fingerprint({"a": {"b": "x"}}) == chat.fingerprint({"a": {"b": "other"}}) != chat.fingerprint({"a": {"c": "x"}})
+    assert chat.fingerprint({"a": 1}) != chat.fingerprint({"a": "1"})
+
+
+def test_chat_reports_records_that_it_cannot_map(spark):
+    bad = [
+        None, "no json", "[1]", "{}", '{"messages": ["a"]}', '{"odd": "x"}', '{"messages": [{"role": "user", "content": [{"text": "part"}]}]}',
+        '{"prompt": "q", "response": "a", "messages": []}', '{"instruction": "q", "output": "a", "history": [["only"]]}', '{"role": "user", "text": "q", "thought": "lost"}',
+        "[" * 100_000, '{"messages": null}',
+    ]
+    rows = [(1, i, r) for i, r in enumerate(bad)] + [(1, 99, '{"role": "user", "text": "q"}'), (2, None, None)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, record string").withColumn("problem", F.lit("clash"))
+    formatted = chat.format_records(df).collect()
+    assert all(r.problem and r.formatted is None for r in formatted if r.turn != 99) and len(formatted) == len(rows)
+    back = {r.conv_id: (r.n_turns, r.n_problems) for r in chat.read_back(chat.format_records(df)).collect()}
+    assert back == {1: (1, len(bad)), 2: (0, 1)}
+
+
+def test_chat_turns_come_in_all_layouts(spark):
+    roles = ["user", "assistant", "system", "tool", "human", None]
+    rows = [(i, i % 3, roles[i % 6], f"text {i}" if i % 5 else "") for i in range(400)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    records = [json.loads(r.record) for r in chat.turn_rows(df).collect()]
+    assert {chat.layout_of(r) for r in records} == set(chat.LAYOUTS)
+    turns = [chat.read_turn(r.formatted) for r in chat.format_records(chat.turn_rows(df)).orderBy("conv_id").collect()]
+    assert turns == [(r or "", t) for _, _, r, t in rows]
 
 
 def test_token_scan_stitches_documents(spark):
@@ -196,6 +222,22 @@ def test_token_scan_stitches_documents(spark):
     assert token_scan.count_tokens(docs(spark, texts).limit(0), path, eod=50256).count() == 0
 
 
+def test_token_scan_with_nulls_repeats_and_narrow_ids(spark):
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    rows = [(None, "a b"), (1, "a b"), (1, "a b"), (2, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("file", F.lit("x")).withColumn("doc", F.lit("y"))
+    got = Counter((r.doc_id, r.n_tokens) for r in token_scan.count_tokens(df, path, eod=50256).collect())
+    assert got == Counter({(None, 2): 1, (1, 2): 2, (2, 0): 1})
+    with pytest.raises(ValueError, match="do not fit"):
+        token_scan.count_tokens(df, path, eod=70_000)
+
+
+@pytest.mark.parametrize("run", [1, 3, 4096])
+def test_token_scan_in_runs_of_blocks(spark, tmp_path, monkeypatch, run):
+    monkeypatch.setattr(token_scan, "RUN", run)
+    test_token_scan_of_foreign_files(spark, tmp_path)
+
+
 def test_token_scan_of_foreign_files(spark, tmp_path):
     rnd = random.Random(5)
     ids = [rnd.choice([9, 9, 1, 2, 3]) for _ in range(1001)]
@@ -231,3 +273,17 @@ def test_url_filter(spark):
     assert got == Counter((c[0], c[3]) for c in captures)
     assert url_filter.keep_allowed(df, entries).count() == sum(not c[3] for c in captures)
     assert url_filter.filter_urls(df, entries.limit(0)).filter("blocked").count() == 0
+    assert url_filter.filter_urls(df.limit(0), entries).count() == 0
+
+
+def test_url_filter_of_hot_hosts_beyond_the_broadcast_bound(spark, monkeypatch):
+    entries = spark.createDataFrame(
+        [("host", "hot.example", "spam", "add", "2024-01-10"), *[("host", f"h{i}.example", "spam", "add", "2024-01-01") for i in range(50)]],
+        "kind string, pattern string, category string, action string, since string",
+    ).withColumn("since", F.col("since").cast("date"))
+    rows = [(i, "http://hot.example/a/b" if i % 3 else f"http://h{i % 99}.example/", f"2024-01-{i % 20 + 1:02d}") for i in range(4000)]
+    df = spark.createDataFrame(rows, "page_id long, url string, f string").select("page_id", "url", F.col("f").cast("date").alias("fetched"))
+    want = {r.page_id: tuple(r) for r in url_filter.filter_urls(df, entries).collect()}
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    assert {r.page_id: tuple(r) for r in url_filter.filter_urls(df, entries).collect()} == want
+    assert all(want[i][5] == ((i % 20 + 1 >= 10) if i % 3 else i % 99 < 50) for i in range(4000))

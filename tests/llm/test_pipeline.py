@@ -7,7 +7,9 @@ import tokenizers
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from drawloom.llm import exact_dedup, mixing, quality, simhash
+from drawloom.llm import exact_dedup, mixing, quality
+
+from test_shingles import brute
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -38,7 +40,8 @@ def test_stages_in_turn(spark, tmp_path):
     kept = {r.doc_id for r in exact_dedup.exact_dedup(good).collect() if r.kept}
     assert once.columns == columns and {r.doc_id for r in once.collect()} == kept and not kept & {40, 41}
     one = stages["near dedup"](spark, once, str(tmp_path))
-    heads = {r.component_id for r in simhash.near_duplicates(once).collect()}
+    left = sorted((r.doc_id, r.text) for r in once.collect())
+    heads = {left[i][0] for i in brute([t for _, t in left])[0]}
     assert one.columns == columns and {r.doc_id for r in one.collect()} == heads
     mixed = stages["mixing"](spark, one, str(tmp_path))
     plan = mixing.mix(one).agg(F.sum("taken"), F.sum(F.size("copies"))).first()
