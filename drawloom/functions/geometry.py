@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from drawloom.config import DEFAULT, Profile
+from drawloom.config import RULES, Rules
 
 SIDES = ("x0", "y0", "x1", "y1")
 
@@ -51,13 +51,13 @@ def overlap_ratio(a: dict[str, Column], b: dict[str, Column]) -> Column:
     return shared / F.greatest(F.least(area(a), area(b)), F.lit(1e-9))
 
 
-def zone(b: dict[str, Column], page_width: Column, page_height: Column, p: Profile = DEFAULT) -> Column:
+def zone(b: dict[str, Column], page_width: Column, page_height: Column, p: Rules = RULES) -> Column:
     """Where the centre of a box lies; the right strip comes first, so a right edge is never reached."""
     cx, cy = (b["x0"] + b["x1"]) / 2, (b["y0"] + b["y1"]) / 2
-    edge = (cy < page_height * p.top_edge) | (cx < page_width * p.left_edge) | (cx > page_width * p.right_edge)
+    edge = (cy < page_height * p["zones"]["edge"]["y"]) | (cx < page_width * p["zones"]["edge"]["x"][0]) | (cx > page_width * p["zones"]["edge"]["x"][1])
     return (
-        F.when(cx > page_width * p.right_title, "title-block/right")
-        .when(cy > page_height * p.bottom_title, "title-block/bottom")
+        F.when(cx > page_width * p["zones"]["title"]["x"], "title-block/right")
+        .when(cy > page_height * p["zones"]["title"]["y"], "title-block/bottom")
         .when(edge, "edge")
         .otherwise("drawing")
     )

@@ -6,37 +6,37 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from drawloom import config
-from drawloom.config import DEFAULT, Profile
+from drawloom.config import RULES, Rules
 from drawloom.functions import text as T
 
 TAG = "struct<full_tag:string,root:string,component:string,tag_class:string>"
 
 
-def looks_asset(norm: Column, p: Profile = DEFAULT) -> Column:
+def looks_asset(norm: Column, p: Rules = RULES) -> Column:
     """Letters and at least four digits; not denied, and no instrument code unless it is equipment too."""
     prefix = T.alpha_prefix(norm)
     shaped = norm.rlike(config.ASSET_TAG) & norm.rlike("^[A-Z]+[0-9]{4,}")
-    only_code = prefix.isin(*p.isa_codes) & ~prefix.isin(*p.equipment)
-    return shaped & ~prefix.isin(*p.deny) & ~only_code
+    only_code = prefix.isin(*p["grammar"]["isa"]) & ~prefix.isin(*p["grammar"]["equipment"])
+    return shaped & ~prefix.isin(*p["grammar"]["deny"]) & ~only_code
 
 
 def looks_hyphen_root(norm: Column) -> Column:
     return norm.rlike(config.HYPHEN_ROOT) | norm.rlike(config.COMPACT_ROOT)
 
 
-def looks_root(norm: Column, p: Profile = DEFAULT) -> Column:
+def looks_root(norm: Column, p: Rules = RULES) -> Column:
     return looks_asset(norm, p) | looks_hyphen_root(norm)
 
 
-def looks_isa_child(norm: Column, p: Profile = DEFAULT) -> Column:
-    return F.regexp_extract(norm, config.ISA_CHILD, 1).isin(*p.isa_codes)
+def looks_isa_child(norm: Column, p: Rules = RULES) -> Column:
+    return F.regexp_extract(norm, config.ISA_CHILD, 1).isin(*p["grammar"]["isa"])
 
 
-def looks_equipment_child(norm: Column, p: Profile = DEFAULT) -> Column:
-    return F.regexp_extract(norm, config.EQUIPMENT_CHILD, 1).isin(*p.equipment)
+def looks_equipment_child(norm: Column, p: Rules = RULES) -> Column:
+    return F.regexp_extract(norm, config.EQUIPMENT_CHILD, 1).isin(*p["grammar"]["equipment"])
 
 
-def looks_child(norm: Column, p: Profile = DEFAULT) -> Column:
+def looks_child(norm: Column, p: Rules = RULES) -> Column:
     return looks_isa_child(norm, p) | looks_equipment_child(norm, p)
 
 
@@ -72,7 +72,7 @@ def _joined(parts: Column, drop: int) -> Column:
     return F.array_join(F.slice(parts, F.lit(1), F.greatest(F.size(parts) - drop, F.lit(0))), "-")
 
 
-def parse_tag(cell: Column, p: Profile = DEFAULT) -> Column:
+def parse_tag(cell: Column, p: Rules = RULES) -> Column:
     """The tag that a spreadsheet cell names, or null.
 
     Tried in turn: line tag, hyphen root, instrument tail of two then one
@@ -96,7 +96,7 @@ def parse_tag(cell: Column, p: Profile = DEFAULT) -> Column:
         several = count >= 2
         is_line = (count == 2) & parts[0].rlike(r"^\p{L}+$") & F.get(parts, F.lit(1)).rlike("[0-9]")
         return (
-            F.when((n == "") | T.alpha_prefix(parts[0]).isin(*p.deny), F.lit(None).cast(TAG))
+            F.when((n == "") | T.alpha_prefix(parts[0]).isin(*p["grammar"]["deny"]), F.lit(None).cast(TAG))
             .when(looks_hyphen_root(n), whole)
             .when(several & looks_isa_child(two, p), tail(two, 2, child, compact_child(two)))
             .when(several & looks_isa_child(one, p), tail(one, 1, child, compact_child(one)))
@@ -112,7 +112,7 @@ def parse_tag(cell: Column, p: Profile = DEFAULT) -> Column:
     return F.when(raw.isNull() | (raw == ""), F.lit(None).cast(TAG)).otherwise(F.coalesce(line, found))
 
 
-def full_hyphen_tag(token: Column, p: Profile = DEFAULT) -> Column:
+def full_hyphen_tag(token: Column, p: Rules = RULES) -> Column:
     """(full_tag, root, component, tag_class, method) of a pre-joined tag, or null."""
     parts = F.split(token, "-")
     one, two = F.element_at(parts, -1), F.array_join(F.slice(parts, F.greatest(F.size(parts) - 1, F.lit(1)), F.lit(2)), "-")
@@ -127,7 +127,7 @@ def full_hyphen_tag(token: Column, p: Profile = DEFAULT) -> Column:
             F.lit(method).alias("method"),
         )
 
-    denied = (F.size(parts) < 3) | T.alpha_prefix(parts[0]).isin(*p.deny)
+    denied = (F.size(parts) < 3) | T.alpha_prefix(parts[0]).isin(*p["grammar"]["deny"])
     none = F.lit(None).cast("struct<full_tag:string,root:string,component:string,tag_class:string,method:string>")
     isa_2, isa_1 = looks_isa_child(two, p), looks_isa_child(one, p)
     return (
@@ -138,8 +138,8 @@ def full_hyphen_tag(token: Column, p: Profile = DEFAULT) -> Column:
     )
 
 
-def rating(confidence: Column, p: Profile = DEFAULT) -> Column:
-    return F.when(confidence >= p.high, "High").when(confidence >= p.medium, "Medium").otherwise("Low")
+def rating(confidence: Column, p: Rules = RULES) -> Column:
+    return F.when(confidence >= p["score"]["ratings"]["High"], "High").when(confidence >= p["score"]["ratings"]["Medium"], "Medium").otherwise("Low")
 
 
 def method_rank(method: Column) -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from drawloom import config
-from drawloom.config import DEFAULT, Profile
+from drawloom.config import RULES, Rules
 from drawloom.functions import tags as N
 from drawloom.functions import text as T
 from drawloom.operators.assign import cut
@@ -83,7 +83,7 @@ def _page_allowed() -> Column:
     return F.col("allowed_pages").isNull() | (F.size("allowed_pages") == 0) | F.array_contains("allowed_pages", F.col("page_num"))
 
 
-def tiered_matches(parsed: DataFrame, tags: DataFrame, p: Profile = DEFAULT) -> DataFrame:
+def tiered_matches(parsed: DataFrame, tags: DataFrame, p: Rules = RULES) -> DataFrame:
     """All matches of rows (ROW, full_tag, root, component, allowed_pages) with their tier.
 
     Tier 1 matches the whole tag and tier 2 root and component, tried only if
@@ -111,7 +111,7 @@ def tiered_matches(parsed: DataFrame, tags: DataFrame, p: Profile = DEFAULT) ->
     return every.select(*ROW, "full_tag", "root", "component", "allowed_pages", "tier", "m.*")
 
 
-def block_fallback(parsed: DataFrame, blocks: DataFrame, p: Profile = DEFAULT) -> DataFrame:
+def block_fallback(parsed: DataFrame, blocks: DataFrame, p: Rules = RULES) -> DataFrame:
     """Matches of open rows with text blocks (page_num, block_idx, compact, zone, x0..y1).
 
     The keys of a row must be contained in a block; failing that a root block
@@ -160,7 +160,7 @@ def match_confidence(confidence: Column, allowed: Column, n_matches: Column) ->
     return F.when(n_matches > 1, fewer).otherwise(agreed)
 
 
-def reconcile(tag_list: DataFrame, tags: DataFrame, sheets: DataFrame, blocks: DataFrame | None = None, *, mode: str = "instrument", p: Profile = DEFAULT) -> DataFrame:
+def reconcile(tag_list: DataFrame, tags: DataFrame, sheets: DataFrame, blocks: DataFrame | None = None, *, mode: str = "instrument", p: Rules = RULES) -> DataFrame:
     """One row per list row: status, best match, its adjusted confidence and rating, number of matches.
 
     Statuses: Unrecognized tag, Outside mode, No mapped sheet, Matched,

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from drawloom import config
-from drawloom.config import DEFAULT, Profile
+from drawloom.config import RULES, Rules
 from drawloom.functions import geometry as G
 from drawloom.functions import tags as N
 from drawloom.functions import text as T
@@ -27,17 +27,37 @@ TAG_COLUMNS = [
 ]
 
 
+#: Side of the square cells in which roots and children look for each other.
+CELL = 64.0
+
+
 def with_norm(spans: DataFrame) -> DataFrame:
     return spans.withColumn("norm", T.normalize_token(F.col("text"))).filter(F.trim("text") != "")
 
 
-def line_tags(spans: DataFrame, p: Profile = DEFAULT) -> DataFrame:
+def classified(spans: DataFrame, p: Rules = RULES) -> DataFrame:
+    """Spans with norm and what it looks like: root (its canonical form or null), child, isa_child and compact."""
+    if "compact" in spans.columns:
+        return spans
+    norm = F.col("norm")
+    return (spans if "norm" in spans.columns else with_norm(spans)).select(
+        "*", F.when(N.looks_root(norm, p), N.canonical_root(norm)).alias("root"), N.looks_child(norm, p).alias("child"),
+        N.looks_isa_child(norm, p).alias("isa_child"), N.compact_child(norm).alias("compact"),
+    )
+
+
+def _cells(low: Column, high: Column, side: Column | float) -> Column:
+    """The numbers of the cells that low..high touches."""
+    return F.sequence(F.floor(low / side), F.greatest(F.floor(low / side), F.floor(high / side)))
+
+
+def line_tags(spans: DataFrame, p: Rules = RULES) -> DataFrame:
     """The first size-service-number tag of each span."""
     upper = F.upper("text")
     noisy = reduce(lambda a, b: a | b, [upper.contains(w) for w in config.LINE_NOISE])
     found = spans.withColumn("t", N.line_tag(upper)).filter(F.col("t").isNotNull() & ~noisy)
     numbered = F.concat("t.root", "t.component").rlike("[0-9]") | F.col("t.component").isin(*config.LINE_WORD_COMPONENTS)
-    return _tags(found.filter(~F.col("t.root").isin(*p.deny) & numbered), F.lit("line:size-prefix"))
+    return _tags(found.filter(~F.col("t.root").isin(*p["grammar"]["deny"]) & numbered), F.lit("line:size-prefix"))
 
 
 def _tags(found: DataFrame, method: Column) -> DataFrame:
@@ -47,7 +67,7 @@ def _tags(found: DataFrame, method: Column) -> DataFrame:
     )
 
 
-def hyphen_tags(spans: DataFrame, existing: DataFrame | None = None, p: Profile = DEFAULT) -> DataFrame:
+def hyphen_tags(spans: DataFrame, existing: DataFrame | None = None, p: Rules = RULES) -> DataFrame:
     """Every pre-joined tag of each span that no existing tag has at the same place."""
     tokens = F.explode(F.regexp_extract_all("norm", F.lit(f"({config.FULL_HYPHEN})"), F.lit(1)))
     found = spans.withColumn("token", tokens).withColumn("t", N.full_hyphen_tag(F.col("token"), p))
@@ -60,24 +80,27 @@ def hyphen_tags(spans: DataFrame, existing: DataFrame | None = None, p: Profile
     return keyed.join(known, [*PAGE, "full_tag", "rx", "ry"], "left_anti").select(TAG_COLUMNS)
 
 
-def stacked_pairs(spans: DataFrame, p: Profile = DEFAULT) -> DataFrame:
+def stacked_pairs(spans: DataFrame, p: Rules = RULES) -> DataFrame:
     """(parent, child) span ids: each root takes the best child below or right of it, each child once.
 
     Scores of possible pairs come from a join of roots and children of one page
     in neighbouring strips; the exclusive choice goes root by root in reading order.
     """
-    roots = spans.filter(N.looks_root(F.col("norm"), p))
-    children = spans.filter(N.looks_child(F.col("norm"), p))
-    a = roots.select(*PAGE, *[F.col(c).alias(f"a_{c}") for c in ("span_id", "size", *G.SIDES)])
-    b = children.select(*PAGE, *[F.col(c).alias(f"b_{c}") for c in ("span_id", "size", *G.SIDES)])
+    spans = classified(spans, p)
+    a = spans.filter("root is not null").select(*PAGE, *[F.col(c).alias(f"a_{c}") for c in ("span_id", "size", *G.SIDES)])
+    b = spans.filter("child").select(*PAGE, *[F.col(c).alias(f"b_{c}") for c in ("span_id", "size", *G.SIDES)])
     pa, ch = G.box("a_"), G.box("b_")
     wide = G.is_wide(pa)
     line = F.when(wide, G.height(pa)).otherwise(G.width(pa))
+    end = F.when(wide, pa["y1"]).otherwise(pa["x1"])
+    a = a.withColumn("wide", wide).withColumn("strip", F.explode(_cells(end - 0.3 * line, end + p["stack"]["gap"] * line, CELL)))
+    across = F.when(G.is_wide(ch), ch["y0"]).otherwise(ch["x0"])
+    b = b.withColumn("wide", G.is_wide(ch)).withColumn("strip", F.floor(across / CELL))
     gap = F.when(wide, ch["y0"] - pa["y1"]).otherwise(ch["x0"] - pa["x1"])
     overlap = F.when(wide, G.x_overlap(pa, ch)).otherwise(G.y_overlap(pa, ch))
     size = F.abs(F.col("a_size") - F.col("b_size")) / F.greatest(F.col("a_size"), F.lit(1.0))
-    near = (gap >= -0.3 * line) & (gap <= p.stack_gap * line) & (overlap >= p.stack_overlap)
-    pairs = a.join(b, PAGE).filter((F.col("a_span_id") != F.col("b_span_id")) & (G.is_wide(ch) == wide) & near)
+    near = (gap >= -0.3 * line) & (gap <= p["stack"]["gap"] * line) & (overlap >= p["stack"]["overlap"])
+    pairs = a.join(b, [*PAGE, "wide", "strip"]).filter((F.col("a_span_id") != F.col("b_span_id")) & near)
     scored = pairs.select(
         *PAGE, "a_span_id", "b_span_id", F.col("a_y0"), F.col("a_x0"),
         (gap * (1.0 - 0.5 * overlap) + 5.0 * size).alias("score"),
@@ -100,18 +123,18 @@ def stacked_pairs(spans: DataFrame, p: Profile = DEFAULT) -> DataFrame:
     return scored.groupBy(*PAGE).applyInPandas(choose, schema)
 
 
-def stacked_tags(spans: DataFrame, pairs: DataFrame, p: Profile = DEFAULT) -> DataFrame:
-    fields = ("text", "norm", *G.SIDES)
-    a = spans.select(*PAGE, F.col("span_id").alias("parent"), *[F.col(c).alias(f"a_{c}") for c in fields])
-    b = spans.select(*PAGE, F.col("span_id").alias("child"), *[F.col(c).alias(f"b_{c}") for c in fields])
+def stacked_tags(spans: DataFrame, pairs: DataFrame, p: Rules = RULES) -> DataFrame:
+    spans = classified(spans, p)
+    a = spans.filter("root is not null").select(*PAGE, F.col("span_id").alias("parent"), *[F.col(c).alias(f"a_{c}") for c in ("text", "root", *G.SIDES)])
+    b = spans.filter("child").select(*PAGE, F.col("span_id").alias("child"), *[F.col(c).alias(f"b_{c}") for c in ("text", "norm", "isa_child", "compact", *G.SIDES)])
     both = pairs.join(a, [*PAGE, "parent"]).join(b, [*PAGE, "child"])
-    isa = N.looks_isa_child(F.col("b_norm"), p)
-    component = F.when(isa, N.compact_child(F.col("b_norm"))).otherwise(F.col("b_norm"))
+    isa = F.col("b_isa_child")
+    component = F.when(isa, F.col("b_compact")).otherwise(F.col("b_norm"))
     return _paired(both, component, F.when(isa, "instrument").otherwise("equipment"), F.when(isa, "stacked:isa").otherwise("stacked:equip"))
 
 
 def _paired(both: DataFrame, component: Column, kind: Column, method: Column) -> DataFrame:
-    root = N.canonical_root(F.col("a_norm"))
+    root = F.col("a_root")
     return both.select(
         *PAGE, F.concat_ws("-", root, component).alias("full_tag"), root.alias("root"), component.alias("component"),
         kind.alias("tag_class"), method.alias("method"), F.array("parent", "child").alias("source_spans"),
@@ -121,15 +144,19 @@ def _paired(both: DataFrame, component: Column, kind: Column, method: Column) ->
     )
 
 
-def inferred_tags(spans: DataFrame, p: Profile = DEFAULT) -> DataFrame:
+def inferred_tags(spans: DataFrame, p: Rules = RULES) -> DataFrame:
     """A bare code takes its nearest root on the page and a number in reading order for root and code."""
-    fields = ("text", "norm", *G.SIDES)
-    a = spans.filter(N.looks_root(F.col("norm"), p)).select(
-        *PAGE, F.col("span_id").alias("parent"), *[F.col(c).alias(f"a_{c}") for c in fields]
+    spans, reach = classified(spans, p), p["bare"]["reach"]
+    a = spans.filter("root is not null").select(
+        *PAGE, F.col("span_id").alias("parent"), *[F.col(c).alias(f"a_{c}") for c in ("text", "root", *G.SIDES)]
     )
-    b = spans.filter(F.col("norm").isin(*p.bare_codes)).select(
-        *PAGE, F.col("span_id").alias("child"), *[F.col(c).alias(f"b_{c}") for c in fields]
+    b = spans.filter(F.col("norm").isin(*p["bare"]["codes"])).select(
+        *PAGE, F.col("span_id").alias("child"), *[F.col(c).alias(f"b_{c}") for c in ("text", "norm", *G.SIDES)]
     )
+    for i, (low, high) in enumerate((("x0", "x1"), ("y0", "y1"))):  # a root lies in the child's cell or beside it
+        a = a.withColumn(f"cell_{i}", F.floor((F.col(f"a_{low}") + F.col(f"a_{high}")) / 2 / reach))
+        middle = (F.col(f"b_{low}") + F.col(f"b_{high}")) / 2
+        b = b.withColumn(f"cell_{i}", F.explode(_cells(middle - reach, middle + reach, reach)))
     pa, ch = G.box("a_"), G.box("b_")
     dx = F.abs((ch["x0"] + ch["x1"]) / 2 - (pa["x0"] + pa["x1"]) / 2)
     dy = F.abs((ch["y0"] + ch["y1"]) / 2 - (pa["y0"] + pa["y1"]) / 2)
@@ -139,69 +166,69 @@ def inferred_tags(spans: DataFrame, p: Profile = DEFAULT) -> DataFrame:
         + F.when(dx < F.greatest(G.width(pa), G.width(ch)) * 2, -40).otherwise(0)
         + F.when(G.width(pa) > 15 * F.greatest(G.width(ch), G.height(ch), F.lit(1.0)), 150).otherwise(0)
     )
-    near = a.join(b, PAGE).filter((F.col("parent") != F.col("child")) & (dx <= p.bare_reach) & (dy <= p.bare_reach))
+    near = a.join(b, [*PAGE, "cell_0", "cell_1"]).filter((F.col("parent") != F.col("child")) & (dx <= reach) & (dy <= reach))
     own = Window.partitionBy(*PAGE, "child").orderBy("distance", "parent")
     best = near.withColumn("distance", distance).withColumn("n", F.row_number().over(own)).filter("n = 1")
-    order = Window.partitionBy(*PAGE, N.canonical_root(F.col("a_norm")), "b_norm").orderBy("b_y0", "b_x0", "child")
+    order = Window.partitionBy(*PAGE, "a_root", "b_norm").orderBy("b_y0", "b_x0", "child")
     best = best.withColumn("nth", F.row_number().over(order))
     component = F.concat("b_norm", F.lpad(F.col("nth").cast("string"), 3, "0"))
     return _paired(best, component, F.lit("instrument"), F.lit("inferred:bare-isa"))
 
 
-def standalone_tags(spans: DataFrame, pairs: DataFrame, p: Profile = DEFAULT) -> DataFrame:
+def standalone_tags(spans: DataFrame, pairs: DataFrame, p: Rules = RULES) -> DataFrame:
     """Instrument children that no root took, and every root once a page."""
+    spans = classified(spans, p)
     taken = pairs.select(*PAGE, F.col("child").alias("span_id"))
-    child = N.compact_child(F.col("norm"))
-    free = spans.filter(N.looks_isa_child(F.col("norm"), p)).join(taken, [*PAGE, "span_id"], "left_anti")
+    child, root = F.col("compact"), F.col("root")
+    free = spans.filter("isa_child").join(taken, [*PAGE, "span_id"], "left_anti")
     once = Window.partitionBy(*PAGE, child, F.bround("x0"), F.bround("y0")).orderBy("span_id")
     free = free.withColumn("n", F.row_number().over(once)).filter("n = 1")
     free = free.withColumn("t", F.struct(child.alias("full_tag"), F.lit("").alias("root"), child.alias("component"), F.lit("instrument").alias("tag_class")))
-    root = N.canonical_root(F.col("norm"))
     first = Window.partitionBy(*PAGE, root).orderBy("span_id")
-    roots = spans.filter(N.looks_root(F.col("norm"), p)).withColumn("n", F.row_number().over(first)).filter("n = 1")
+    roots = spans.filter("root is not null").withColumn("n", F.row_number().over(first)).filter("n = 1")
     roots = roots.withColumn("t", F.struct(root.alias("full_tag"), root.alias("root"), F.lit("").alias("component"), F.lit("equipment").alias("tag_class")))
     return _tags(free, F.lit("standalone:isa")).unionByName(_tags(roots, F.lit("standalone:asset")))
 
 
-def extract_tags(spans: DataFrame, p: Profile = DEFAULT) -> DataFrame:
+def extract_tags(spans: DataFrame, p: Rules = RULES) -> DataFrame:
     """All tags of all pages, unscored."""
-    spans = with_norm(spans)
+    spans = cut(classified(spans, p))  # every extractor reads it
     pairs = cut(stacked_pairs(spans, p))
     placed = stacked_tags(spans, pairs, p).unionByName(inferred_tags(spans, p)).unionByName(standalone_tags(spans, pairs, p))
     placed = cut(placed)
-    return placed.unionByName(hyphen_tags(spans, placed, p)).unionByName(line_tags(spans, p))
+    return cut(placed.unionByName(hyphen_tags(spans, placed, p)).unionByName(line_tags(spans, p)))
 
 
-def page_roles(spans: DataFrame, p: Profile = DEFAULT) -> DataFrame:
+def page_roles(spans: DataFrame, p: Rules = RULES) -> DataFrame:
     """legend/reference where at least two markers stand in the page's text; markers may cross spans."""
     ordered = F.array_sort(F.collect_list(F.struct("span_id", F.lower("text").alias("text"))))
     joined = spans.groupBy(*PAGE).agg(F.array_join(F.transform(ordered, lambda s: s["text"]), " ").alias("all_text"))
-    hits = reduce(lambda a, b: a + b, [F.col("all_text").contains(m).cast("int") for m in p.legend_markers])
+    hits = reduce(lambda a, b: a + b, [F.col("all_text").contains(m).cast("int") for m in p["page"]["legend"]])
     return joined.select(*PAGE, F.when(hits >= 2, "legend/reference").otherwise("process/drawing").alias("page_role"))
 
 
-def score_tags(tags: DataFrame, p: Profile = DEFAULT) -> DataFrame:
+def score_tags(tags: DataFrame, p: Rules = RULES) -> DataFrame:
     """Add zone, confidence, rating and evidence to tags with page sizes, page_role and sheet_id.
 
     Terms are added in a fixed order, so equal evidence gives equal sums.
     """
-    w = p.weights
-    bases = F.create_map(*[F.lit(x) for kv in p.base.items() for x in kv])
+    w = p["score"]["weights"]
+    bases = F.create_map(*[F.lit(x) for method, weight in w.items() if ":" in method for x in (method, weight)])
     tags = tags.withColumn("zone", G.zone(G.box(), F.col("width"), F.col("height"), p))
     instrument = F.col("tag_class") == "instrument"
-    noisy = reduce(lambda a, b: a | b, [F.lower("source_text").contains(m) for m in p.noise_context])
+    noisy = reduce(lambda a, b: a | b, [F.lower("source_text").contains(m) for m in p["page"]["noise"]])
     agreement = F.col("source_agreement") if "source_agreement" in tags.columns else F.lit("native-only")
     title = F.col("zone").startswith("title-block")
     steps = [
-        [(F.col("zone") == "drawing", w["drawing"], "drawing zone"), (title, w["title"], "title-block penalty"), (F.col("zone") == "edge", w["edge"], "edge zone")],
-        [(F.col("page_role") == "legend/reference", w["legend"], "legend page penalty"), (F.lit(True), w["process"], "process page")],
-        [(F.col("sheet_id").startswith("PAGE_"), w["unmapped"], "unmapped sheet"), (F.lit(True), w["mapped"], "mapped sheet")],
-        [(noisy, w["noisy"], "noisy context")],
-        [(instrument & (T.alpha_prefix(F.col("root")) == "VG"), w["valve_group"], "valve group review")],
-        [(instrument & N.instrument_code(F.col("component")).isin(*p.review_codes), w["review_code"], "custom code review")],
-        [(agreement == "matched", w["matched"], "native/ocr agreement"), (agreement == "ocr-only", w["ocr_only"], "ocr only"), (agreement == "conflict", w["conflict"], "source conflict")],
+        [(F.col("zone") == "drawing", w["drawing_zone_bonus"], "drawing zone"), (title, w["title_block_penalty"], "title-block penalty"), (F.col("zone") == "edge", w["edge_zone_penalty"], "edge zone")],
+        [(F.col("page_role") == "legend/reference", w["legend_page_penalty"], "legend page penalty"), (F.lit(True), w["process_page_bonus"], "process page")],
+        [(F.col("sheet_id").startswith("PAGE_"), w["unmapped_sheet_penalty"], "unmapped sheet"), (F.lit(True), w["mapped_sheet_bonus"], "mapped sheet")],
+        [(noisy, w["noisy_context_penalty"], "noisy context")],
+        [(instrument & (T.alpha_prefix(F.col("root")) == "VG"), w["valve_group_penalty"], "valve group review")],
+        [(instrument & N.instrument_code(F.col("component")).isin(*p["score"]["review"]), w["custom_code_penalty"], "custom code review")],
+        [(agreement == "matched", w["matched_source_bonus"], "native/ocr agreement"), (agreement == "ocr-only", w["ocr_only_penalty"], "ocr only"), (agreement == "conflict", w["source_conflict_penalty"], "source conflict")],
     ]
-    total = F.coalesce(F.try_element_at(bases, "method"), F.lit(config.UNKNOWN_CONFIDENCE))
+    total = F.coalesce(F.try_element_at(bases, "method"), F.lit(w["unknown"]))
     notes = []
     for step in steps:
         value, note = F.lit(None).cast("double"), F.lit(None).cast("string")
@@ -214,11 +241,11 @@ def score_tags(tags: DataFrame, p: Profile = DEFAULT) -> DataFrame:
     return scored.withColumn("rating", N.rating(F.col("confidence"), p))
 
 
-def repetition_bump(tags: DataFrame, p: Profile = DEFAULT) -> DataFrame:
+def repetition_bump(tags: DataFrame, p: Rules = RULES) -> DataFrame:
     """Raise tags that occur more than once on a sheet."""
     n = F.count(F.lit(1)).over(Window.partitionBy("doc_id", "sheet_id", "full_tag"))
     counted = tags.withColumn("repeats", n)
-    more = F.least(F.lit(p.repeat_most), F.lit(p.repeat_each) * F.col("repeats"))
+    more = F.least(F.lit(p["score"]["repeat"][1]), F.lit(p["score"]["repeat"][0]) * F.col("repeats"))
     raised = F.when(F.col("repeats") > 1, F.least(F.lit(0.99), F.col("confidence") + more)).otherwise(F.col("confidence"))
     note = F.when(F.col("repeats") > 1, F.concat("evidence", F.lit("; repeated x"), "repeats")).otherwise(F.col("evidence"))
     counted = counted.withColumn("confidence", raised).withColumn("evidence", note)
@@ -237,7 +264,7 @@ def dedupe(tags: DataFrame, *, by_location: bool = False, seq: str = "seq") -> D
     return tags.withColumn("nth_", best).filter("nth_ = 1").drop("nth_")
 
 
-def fuse_sources(native: DataFrame, ocr: DataFrame, p: Profile = DEFAULT) -> DataFrame:
+def fuse_sources(native: DataFrame, ocr: DataFrame, p: Rules = RULES) -> DataFrame:
     """Native tags with OCR tags of the same key merged in, and the OCR tags that no native tag has.
 
     The last of several native tags with one key takes the match.
@@ -251,7 +278,7 @@ def fuse_sources(native: DataFrame, ocr: DataFrame, p: Profile = DEFAULT) -> Dat
     )
     joined = native.join(seen, key, "left")
     hit = F.col("last_") & F.col("hits_").isNotNull()
-    gain = F.aggregate(F.sequence(F.lit(1), F.coalesce("hits_", F.lit(1)).cast("int")), F.col("confidence"), lambda c, _: F.least(F.lit(0.99), c + p.weights["matched"]))
+    gain = F.aggregate(F.sequence(F.lit(1), F.coalesce("hits_", F.lit(1)).cast("int")), F.col("confidence"), lambda c, _: F.least(F.lit(0.99), c + p["score"]["weights"]["matched_source_bonus"]))
     text = F.aggregate(
         F.coalesce("texts_", F.array().cast("array<string>")),
         F.col("source_text"),
@@ -271,7 +298,7 @@ def fuse_sources(native: DataFrame, ocr: DataFrame, p: Profile = DEFAULT) -> Dat
     return merged.unionByName(ocr.join(native.select(*key).distinct(), key, "left_anti"), allowMissingColumns=True)
 
 
-def sheet_map(spans: DataFrame, pages: DataFrame, page_text: DataFrame, p: Profile = DEFAULT) -> DataFrame:
+def sheet_map(spans: DataFrame, pages: DataFrame, page_text: DataFrame, p: Rules = RULES) -> DataFrame:
     """(doc_id, page_num, sheet_id): file names count 100, labels 60, title-block tokens 50 and their place,
     else a single preferred token 30 or a single token 25; the first of equals."""
     files = page_text.select(*PAGE, F.posexplode(F.regexp_extract_all("text", F.lit(config.DWG_FILE), F.lit(1))).alias("i", "sheet"))
@@ -279,11 +306,11 @@ def sheet_map(spans: DataFrame, pages: DataFrame, page_text: DataFrame, p: Profi
     label = F.regexp_extract("text", config.SHEET_LABEL, 1)
     labels = page_text.filter(label != "").select(*PAGE, F.upper(label).alias("sheet_id"), F.lit(60.0).alias("score"), F.struct(F.lit(1).alias("k"), F.lit(0).cast("long").alias("i")).alias("seq"))
     tokens = with_norm(spans).filter(F.col("norm").rlike(config.SHEET_ID)).join(pages, PAGE)
-    titled = (F.col("x0") > F.col("width") * p.sheet_right) | (F.col("y0") > F.col("height") * p.sheet_bottom)
+    titled = (F.col("x0") > F.col("width") * p["sheet"]["corner"]["x"]) | (F.col("y0") > F.col("height") * p["sheet"]["corner"]["y"])
     place = (F.col("x0") + F.col("x1")) / 2 / F.greatest("width", F.lit(1.0)) + (F.col("y0") + F.col("y1")) / 2 / F.greatest("height", F.lit(1.0))
     by_place = tokens.filter(titled).select(*PAGE, F.col("norm").alias("sheet_id"), (50 + place).alias("score"), F.struct(F.lit(2).alias("k"), F.col("span_id").cast("long").alias("i")).alias("seq"))
     strong = files.unionByName(labels).unionByName(by_place)
-    preferred = reduce(lambda a, b: a | b, [F.col("norm").startswith(x) for x in p.sheet_prefixes], F.lit(False))
+    preferred = reduce(lambda a, b: a | b, [F.col("norm").startswith(x) for x in p["sheet"]["prefixes"]], F.lit(False))
     only = tokens.groupBy(*PAGE).agg(
         F.collect_set(F.when(preferred, F.col("norm"))).alias("good"), F.collect_set("norm").alias("every")
     )
@@ -298,16 +325,16 @@ def sheet_map(spans: DataFrame, pages: DataFrame, page_text: DataFrame, p: Profi
     return every.withColumn("n", F.row_number().over(best)).filter("n = 1").select(*PAGE, "sheet_id")
 
 
-def scan(spans: DataFrame, pages: DataFrame, sheets: DataFrame, *, mode: str = "instrument", p: Profile = DEFAULT) -> DataFrame:
-    """Scored, mode-filtered tags with repetition counted, one row each, with a stable ``seq``."""
+def scan(spans: DataFrame, pages: DataFrame, sheets: DataFrame, *, mode: str = "instrument", p: Rules = RULES) -> DataFrame:
+    """Scored, mode-filtered tags with repetition counted, one row each; ``seq`` is the reading order of a page's tags."""
     tags = extract_tags(spans, p).join(pages.select(*PAGE, "width", "height"), PAGE)
     tags = tags.join(page_roles(with_norm(spans), p), PAGE).join(sheets, PAGE, "left")
     tags = tags.withColumn("sheet_id", F.coalesce("sheet_id", F.concat(F.lit("PAGE_"), F.col("page_num").cast("string"))))
     scored = score_tags(tags, p)
     if mode != "all":
         scored = scored.filter(F.col("tag_class") == mode)
-    seq = F.xxhash64("full_tag", "method", "x0", "y0", F.col("source_spans").cast("string"))
-    return repetition_bump(scored.withColumn("seq", seq), p)
+    reading = Window.partitionBy(*PAGE).orderBy("y0", "x0", "full_tag", "method", "source_spans")
+    return repetition_bump(scored.withColumn("seq", F.row_number().over(reading).cast("long")), p)
 
 
 #: Why a page goes to OCR or not.
@@ -414,7 +441,7 @@ def grouped_spans(spans: DataFrame) -> DataFrame:
             return shared >= 0.45 or abs((a[lo] + a[hi]) / 2 - (b[lo] + b[hi]) / 2) <= max(la, lb)
 
         lines: list[list[dict]] = []
-        for s in sorted(items, key=lambda s: (s["y0"], s["x0"]) if wide(s) else (s["x0"], s["y0"])):
+        for s in sorted(items, key=lambda s: (*((s["y0"], s["x0"]) if wide(s) else (s["x0"], s["y0"])), s["span_id"])):
             home = next((line for line in lines if same_line(line[-1], s)), None)
             if home is None:
                 lines.append([s])
@@ -422,7 +449,7 @@ def grouped_spans(spans: DataFrame) -> DataFrame:
                 home.append(s)
         out = []
         for line in lines:
-            line.sort(key=lambda s: (s["x0"], s["y0"]) if wide(s) else (s["y0"], s["x0"]))
+            line.sort(key=lambda s: (*((s["x0"], s["y0"]) if wide(s) else (s["y0"], s["x0"])), s["span_id"]))
             gaps = [b["x0"] - a["x1"] if wide(a) else b["y0"] - a["y1"] for a, b in zip(line, line[1:], strict=False)]
             sizes = [max(tall(a), tall(b), 1.0) for a, b in zip(line, line[1:], strict=False)]
             joined = [-0.5 * h <= g <= max(22.0, 3.0 * h) for g, h in zip(gaps, sizes, strict=True)]

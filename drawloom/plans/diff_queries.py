@@ -10,6 +10,7 @@ from drawloom.functions import text as T
 from drawloom.functions.similarity import sequence_ratio as ratio
 from drawloom.operators import assign, diff, layout, pairing
 from drawloom.plans import inputs as I
+from drawloom.plans import ordered_sql as O
 from drawloom.plans.inputs import derived_sql
 from drawloom.plans.registry import Registry
 
@@ -211,7 +212,7 @@ def mixed_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairing.pair_mixed(both).select("status", "confidence", "pairing_method", "before_path", "after_path")
 
 
-@QUERIES()
+@QUERIES(O.GREEDY_SQL)
 def greedy_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Greedy one-to-one assignment of suppliers and parts of line items by price."""
     best = I.table(spark, sf_dir, "lineitem").groupBy("l_suppkey", "l_partkey").agg(F.max("l_extendedprice").alias("score"))
@@ -275,27 +276,27 @@ def region_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
     return diff.match_regions(_regions(spark, sf_dir, "before"), _regions(spark, sf_dir, "after"))
 
 
-@QUERIES()
+@QUERIES(O.WORD_ROWS_SQL)
 def word_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = I.spans(spark, sf_dir).selectExpr("doc_id", "page_num", "span_id as seq", "x0", "y0 + span_id % 3 as y0", "x1", "y1 + span_id % 3 as y1", "text as word")
     return layout.words_to_rows(words)
 
 
-@QUERIES()
+@QUERIES(O.MERGED_ROWS_SQL)
 def merged_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words to rows, cells, structured rows and merged continuation rows."""
     rows = layout.structured_rows(layout.row_cells(word_rows(spark, sf_dir)))
     return layout.merge_continuations(rows)
 
 
-@QUERIES()
+@QUERIES(O.MERGED_REGIONS_SQL)
 def merged_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans = I.spans(spark, sf_dir)
     regions = spans.select("doc_id", "page_num", F.col("span_id").alias("region_id"), F.lit("general").alias("kind"), "x0", "y0", "x1", "y1", "text")
     return layout.top_regions(layout.merge_close_regions(regions))
 
 
-@QUERIES()
+@QUERIES(O.MASK_SQL)
 def mask_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Changed pixels of 256x256 rasters to boxes."""
     part = I.table(spark, sf_dir, "part")

@@ -27,10 +27,10 @@ _TEXT = f"""(case {K} % 8
  when 5 then 'RL7-PMP' || {S(f"100 + {K} % 300")}
  when 6 then {_pick(K + " % 5", ["HV", "PI", "XV", "TR", "BV"])}
  else 'RM' || {S(f"{K} % 5")} || '-' || {S(f"1000 + {K} % 40")} || '-CHR' || lpad({S(f"{K} % 99")}, 3, '0') end)"""
-#: Positioned text on 15 pages of 5 documents.
+#: Positioned text on pages of 5 documents, 133 spans each at most.
 SPANS = {
     "doc_id": f"{K} % 5",
-    "page_num": f"cast({K} % 15 + 1 as int)",
+    "page_num": f"cast({K} % 15 + 1 + ({K} - {K} % 2000) / 2000 * 15 as int)",
     "span_id": K,
     "text": _TEXT,
     "x0": f"cast({K} % 2 * 100 + {K} % 15 * 60 as double)",

@@ -11,6 +11,7 @@ from drawloom.functions import tags as N
 from drawloom.functions import text as T
 from drawloom.operators import layout, match, scan
 from drawloom.plans import inputs as I
+from drawloom.plans import ordered_sql as O
 from drawloom.plans.inputs import SPANS_SQL, listed, norm_sql
 from drawloom.plans.registry import Registry
 
@@ -282,7 +283,12 @@ def tag_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tags.select("doc_id", "page_num", "sheet_id", "full_tag", "tag_class", "method", "zone", "confidence", "rating", "evidence")
 
 
-@QUERIES()
+_LOOKS = f"""looks as (select *, case when {sql_root("norm")} then {sql_canonical("replace(norm, ' ', '-')")} end as root, {sql_isa("norm")} as isa_child,
+  {sql_isa("norm")} or {sql_equipment("norm")} as child_, {sql_child("norm")} as compact from (select *, {norm_sql("text")} as norm from {SPANS_SQL}) where trim(text) <> ''),"""
+_STACKED = _LOOKS + O.stacked("(select * from looks where root is not null)", "(select * from looks where child_)")
+
+
+@QUERIES(f"with recursive {_STACKED} select * from pairs")
 def stacked_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan.stacked_pairs(scan.with_norm(I.spans(spark, sf_dir)))
 
@@ -314,7 +320,7 @@ select doc_id, case when {" + ".join(f"cast(contains(t, '{w}') as int)" for w in
 from (select doc_id, replace(lower(text), chr(10), ' ') as t from documents)""")
 def page_role(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = lines(spark, sf_dir).select("doc_id", F.lit(1).alias("page_num"), F.col("line_no").alias("span_id"), F.col("line").alias("text"))
-    return scan.page_roles(rows, config.DEFAULT.with_updates(legend_markers=_ROLE_WORDS)).select("doc_id", "page_role")
+    return scan.page_roles(rows, config.rules(page={"legend": _ROLE_WORDS})).select("doc_id", "page_role")
 
 
 _PAGES = {
@@ -346,7 +352,7 @@ def profile_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan.summarize_profiles(p.withColumn("ocr_warning", F.when(F.col("span_count") == 0, "no text")))
 
 
-@QUERIES()
+@QUERIES(O.grouped(norm_sql("text"), config.TAG_LIKE))
 def grouped_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan.grouped_spans(I.spans(spark, sf_dir))
 
@@ -492,7 +498,7 @@ def header_discovery(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("ws_name", "header_row", F.col("tag_col").cast("int").alias("tag_col"), F.coalesce("sheet_col", F.lit(0)).cast("int").alias("sheet_col"))
 
 
-@QUERIES()
+@QUERIES(f"""with recursive {O.kept_boxes(f"(select doc_id, page_num, span_id as seq, span_id % 7 as priority, x0, y0, x1, y1 from {SPANS_SQL})", "doc_id, page_num", "priority desc, seq", 0.2)} select * from kept""")
 def nms_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     boxes = I.spans(spark, sf_dir).select("doc_id", "page_num", F.col("span_id").alias("seq"), (F.col("span_id") % 7).alias("priority"), *G.SIDES)
     return match.suppress_overlaps(boxes)

@@ -298,4 +298,6 @@ def test_reports(spark, tmp_path):
 
 def test_fixed_values_are_whole():
     assert len(config.ISA_CODES) == len(set(config.ISA_CODES)) and len(config.EQUIPMENT_PREFIXES) == len(set(config.EQUIPMENT_PREFIXES))
-    assert config.DEFAULT.with_updates(high=0.5).high == 0.5 and config.DEFAULT.high == 0.9
+    assert config.rules(bare={"reach": 9.0})["bare"] == {"codes": config.BARE_CODES, "reach": 9.0} and config.RULES["bare"]["reach"] == 420.0
+    with pytest.raises(KeyError, match="bare.other"):
+        config.rules(bare={"other": 1})
