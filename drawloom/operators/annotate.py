@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from drawloom.functions import geometry as G
 from drawloom.functions import text as T
+from drawloom.operators.placement import running_index
 from drawloom.operators.scope import IGNORED_KINDS
 
 RATING_ORDER = ("Low", "Medium", "High")
@@ -77,5 +78,6 @@ def review_order(documents: DataFrame) -> DataFrame:
     """(position, sheet_id, title, status) of a review package: changed documents by sheet, then the others."""
     changed = F.col("status") == "changed"
     shown = documents.filter(changed | F.col("status").isin("added", "removed", "review_needed"))
-    order = Window.orderBy(~changed, F.coalesce("sheet_id", F.lit("")), F.coalesce("title", F.lit("")), "status")  # one row a document of the package
-    return shown.select(F.row_number().over(order).alias("position"), "sheet_id", "title", "status")
+    keys = {"k1_": ~changed, "k2_": F.coalesce("sheet_id", F.lit("")), "k3_": F.coalesce("title", F.lit("")), "k4_": F.col("status")}
+    placed = running_index(shown.withColumns(keys), list(keys))
+    return placed.select((F.col("index") + 1).alias("position"), "sheet_id", "title", "status")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from drawloom.functions import geometry as G
 from drawloom.operators import annotate
 from drawloom.plans import inputs as I
+from drawloom.plans import ordered_sql as O
 from drawloom.plans.registry import Registry
 
 QUERIES = Registry()
@@ -27,7 +28,15 @@ def annotation_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@QUERIES()
+_MARKS = f"""(select doc_id, page_num, span_id as seq, kind, change, span_id % 5 = 0 as has_rows, x0, y0, x1, y1,
+  case when share > 0.45 then 'corners' when span_id % 5 = 0 then 'row' when share >= 0.12 or kind = 'title-block-like' then 'corners' else 'outline' end as style,
+  case when change = 'added' then [0, 188, 212, 255] else [34, 160, 90, 255] end as outline
+  from (select *, case when span_id % 3 = 0 then 'title-block-like' else 'general' end as kind, case when span_id % 2 = 0 then 'added' else 'removed' end as change,
+    (x1 - x0) * (y1 - y0) / 800000.0::double as share from {I.SPANS_SQL}))"""
+
+
+@QUERIES(f"""with recursive {O.kept_boxes(_MARKS, "doc_id, page_num, outline", "seq", 0.92)}
+select * exclude (r) from (select *, row_number() over (partition by doc_id, page_num order by seq) as r from kept) where r <= 120""")
 def page_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans = I.spans(spark, sf_dir).selectExpr(
         "doc_id", "page_num", "span_id as seq", "case when span_id % 3 = 0 then 'title-block-like' else 'general' end as kind",
@@ -55,5 +64,4 @@ _DOCS = {"sheet_id": "'DT' || lpad(cast(s_suppkey as string), 4, '0')", "title":
 @QUERIES(f"""
 select row_number() over (order by status <> 'changed', sheet_id, title, status) as position, sheet_id, title, status from {I.derived_sql("supplier", _DOCS)} where status <> 'unchanged'""")
 def review_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = annotate.review_order(I.derived(I.table(spark, sf_dir, "supplier"), _DOCS))
-    return found.withColumn("position", F.col("position").cast("long"))
+    return annotate.review_order(I.derived(I.table(spark, sf_dir, "supplier"), _DOCS))

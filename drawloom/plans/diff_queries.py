@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from drawloom.functions import tags as N
 from drawloom.functions import text as T
 from drawloom.functions.similarity import sequence_ratio as ratio
-from drawloom.operators import assign, diff, layout, pairing
+from drawloom.operators import assign, diff, layout, pairing, placement
 from drawloom.plans import inputs as I
 from drawloom.plans import ordered_sql as O
 from drawloom.plans.inputs import derived_sql
@@ -199,16 +199,53 @@ def _records(spark: SparkSession, sf_dir: str, side: str) -> DataFrame:
     )
 
 
-@QUERIES()
+def _files_sql(side: str, mark: str, kept: str) -> str:
+    path = f"'{side}/' || s_name || ' rev {mark} area ' || s_nationkey || '.pdf'"
+    return f"""(select row_number() over (order by path) as seq, path, stem, substr(md5(stem), 1, 16) as hash, row_number() over (order by path) % 3 + 1 as pages,
+  list_filter(regexp_extract_all(lower(stem), '[a-z0-9]+'), lambda t: t not in {I.listed(tuple(T.NOISE_TOKENS))}) as title_tokens, list_append(list_filter(regexp_extract_all(lower(stem), '[a-z0-9]+'), lambda t: t not in {I.listed(tuple(T.NOISE_TOKENS))}), '{mark.lower()}') as tokens
+  from (select {path} as path, s_name || ' area ' || s_nationkey as stem from supplier where {kept}))"""
+
+
+_JACCARD = "len(list_intersect(b.{0}, a.{0})) / greatest(len(list_distinct(list_concat(b.{0}, a.{0}))), 1)::double".format
+_HALF = "bit_count(xor(('0x' || substr(b.hash, {0}, 8))::bigint, ('0x' || substr(a.hash, {0}, 8))::bigint))".format
+
+
+def _scored_sql(ties: str) -> str:
+    """CTEs of the scored candidates ``c``, the ``taken`` ones and their decision ``d``; ``ties`` orders equal scores."""
+    return f"""
+with recursive b as {_files_sql("before", "A", "s_acctbal > 0")}, a as {_files_sql("after", "B", "s_acctbal < 9000")},
+p as (select b.stem as x, a.stem as y from b, a union select lower(b.stem), lower(a.stem) from b, a),{O.ratios("p")},
+f as (select b.seq as b_seq, a.seq as a_seq, b.path as before_path, a.path as after_path, r.ratio as stem, t.ratio as title, b.pages = a.pages as paged, abs(b.pages - a.pages) as apart,
+  greatest({_JACCARD("tokens")}, {_JACCARD("title_tokens")}) as tokens, {_JACCARD("tokens")} as names, 1 - ({_HALF(1)} + {_HALF(9)}) / 64::double as hashes
+  from b join ratios r on r.x = b.stem join a on r.y = a.stem join ratios t on t.x = lower(b.stem) and t.y = lower(a.stem)),
+c as (select *, case when stem > 0.98 then 0.40::double else stem * 0.25::double end + tokens * 0.20::double + title * 0.10::double + case when paged then 0.10::double else greatest(0.0::double, 0.1::double - apart * 0.03::double) end
+  + 1.0::double * 0.05::double + hashes * 0.10::double + title * 0.05::double + 0.05::double as score from f where names > 0 or stem > 0.45 or hashes > 0.60),{O.greedy("c", "b_seq", "a_seq", "score desc, " + ties)},
+nb as (select b_seq, list(score order by score desc)[2] as next_b from c group by b_seq), na as (select a_seq, list(score order by score desc)[2] as next_a from c group by a_seq),
+d as (select *, greatest(0.0::double, least(score, 1.0::double)) as confidence, score < 0.56 as low, greatest(coalesce(next_b, 0.0), coalesce(next_a, 0.0)) as second
+  from taken join nb using (b_seq) join na using (a_seq)),
+e as (select *, second > 0 and score - second < 0.08 as close from d)"""
+
+
+_DECIDED = "case when low or close then 'review_needed' else 'matched' end as status, confidence, case when low then 'low-confidence' when close then 'ambiguous-match' else '{0}' end as pairing_method, before_path, after_path".format
+
+
+@QUERIES(f"""{_scored_sql("b_seq, a_seq")}
+select {_DECIDED("scored-match")}, list_filter([case when stem > 0.98 then 'normalized stem exact/near-exact' end, case when tokens > 0.5 then 'filename/title token overlap' end, case when paged then 'page count match' end,
+  'page size match', case when hashes > 0.75 then 'first-page fingerprint similarity' end, 'revision clues present',
+  case when low then 'confidence below auto-pair threshold' when close then 'competing candidate too close' end], lambda x: x is not null) as reasons from e
+union all select 'removed', 1.0, 'unmatched-before', path, null, ['file only found in the before folder'] from b where seq not in (select b_seq from e)
+union all select 'added', 1.0, 'unmatched-after', null, path, ['file only found in the after folder'] from a where seq not in (select a_seq from e)""")
 def scored_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pairing.pair_scored(_records(spark, sf_dir, "before"), _records(spark, sf_dir, "after"))
     return found.select("status", "confidence", "pairing_method", "before_path", "after_path", "reasons")
 
 
-@QUERIES()
+@QUERIES(f"""{_scored_sql("a_seq, b_seq")}
+select {_DECIDED("mixed-revision-order")} from e union all select 'review_needed', 0.0, 'mixed-unpaired', path, null from b where seq not in (select b_seq from e)
+union all select 'review_needed', 0.0, 'mixed-unpaired', path, null from a where seq not in (select a_seq from e)""")
 def mixed_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = _records(spark, sf_dir, "before").unionByName(_records(spark, sf_dir, "after"))
-    both = both.withColumn("seq", F.row_number().over(Window.orderBy("path")))
+    both = placement.running_index(both.drop("seq"), ["path"]).withColumnRenamed("index", "seq")
     return pairing.pair_mixed(both).select("status", "confidence", "pairing_method", "before_path", "after_path")
 
 
@@ -220,7 +257,7 @@ def greedy_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign.greedy_pairs(best, ["l_suppkey"], ["l_partkey"], order)
 
 
-@QUERIES()
+@QUERIES(f"with recursive p as (select p_partkey, p_name as x, p_type as y from part),{O.ratios('p')} select p_partkey, ratio from p join ratios using (x, y)")
 def sequence_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = I.table(spark, sf_dir, "part")
     return part.select("p_partkey", ratio(part["p_name"], part["p_type"]).alias("ratio"))
@@ -255,7 +292,33 @@ def _diff_rows(spark: SparkSession, sf_dir: str, side: str) -> DataFrame:
     )
 
 
-@QUERIES()
+def _rows_sql(side: str) -> str:
+    value = "value" if side == "before" else "case when event_id % 13 = 0 then value + 1 else value end"
+    keep, order = ("< 55", "event_id") if side == "before" else (">= 5", "event_id % 50, event_id")
+    return f"""(select pair_id, i, text, lower(text) as plain, substr(sha1(lower(cell || '|' || event_type || '|' || shown)), 1, 12) as key, {_CELL("cell")} as id,
+  [{_CELL("cell")}] || case when regexp_matches({_CELL("shown")}, '^[0-9]{{3,}}$') then [{_CELL("shown")}] else [] end as anchors,
+  list_filter([{_CELL("cell")}, {_CELL("event_type")}, {_CELL("shown")}], lambda x: x <> '') as cells
+  from (select *, cell || ' ' || event_type || ' ' || shown as text from (select user_id as pair_id, 'EV-' || event_id as cell, event_type, cast(round({value}, 2) as varchar) as shown,
+    cast(row_number() over (partition by user_id order by {order}) - 1 as int) as i from events where second(ts) {keep})))"""
+
+
+_CELL = "regexp_replace(lower({0}), '[^a-z0-9]+', '', 'g')".format
+_ONCE = "select pair_id, anchor, max(i) as i from (select pair_id, i, unnest(anchors) as anchor from {0}) group by all having count(*) = 1".format
+
+
+@QUERIES(f"""
+with b as {_rows_sql("before")}, a as {_rows_sql("after")}, ub as ({_ONCE("b")}), ua as ({_ONCE("a")}), common as (select pair_id, anchor, ua.i as ai from ub join ua using (pair_id, anchor)),
+pairs as (select pair_id, bi, arg_min(ai, pos) as ai from (select pair_id, i as bi, unnest(anchors) as anchor, generate_subscripts(anchors, 1) as pos from b) join common using (pair_id, anchor) group by all),
+j as (select p.*, b.text as old, a.text as new, b.key || ':' || a.key as key, b.plain = a.plain or b.cells = a.cells as same, b.plain = a.plain as equal
+  from pairs p join b on b.pair_id = p.pair_id and b.i = p.bi join a on a.pair_id = p.pair_id and a.i = p.ai),
+lb as (select *, row_number() over (partition by pair_id, plain order by i) as nth from b where not exists (select 1 from pairs p where p.pair_id = b.pair_id and p.bi = b.i)),
+la as (select *, row_number() over (partition by pair_id, plain order by i) as nth from a where not exists (select 1 from pairs p where p.pair_id = a.pair_id and p.ai = a.i)),
+late as (select lb.pair_id, lb.i as bi, la.i as ai, lb.text as old, la.text as new, lb.key || ':' || la.key as key from lb join la using (pair_id, plain, nth))
+select pair_id, 'r1' as region_id, change_type, bi as before_index, ai as after_index, old as before_text, new as after_text, key as row_key, confidence from (
+select pair_id, case when same then 'moved' else 'modified' end as change_type, bi, ai, old, new, key, case when same then 0.90::double else 0.82::double end as confidence from j where (same and bi <> ai) or (not same and not equal)
+union all select pair_id, 'moved', bi, ai, old, new, key, 0.90 from late
+union all select pair_id, 'removed', i, null, text, '', key, 0.88 from lb where not exists (select 1 from late l where l.pair_id = lb.pair_id and l.bi = lb.i)
+union all select pair_id, 'added', null, i, '', text, key, 0.88 from la where not exists (select 1 from late l where l.pair_id = la.pair_id and l.ai = la.i))""")
 def row_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of two revisions matched by anchors: moved, modified, removed, added."""
     return diff.compare_rows(_diff_rows(spark, sf_dir, "before"), _diff_rows(spark, sf_dir, "after"))
@@ -271,7 +334,20 @@ def _regions(spark: SparkSession, sf_dir: str, side: str) -> DataFrame:
     )
 
 
-@QUERIES()
+def _regions_sql(side: str) -> str:
+    shift, gone = (0, "RM") if side == "before" else (7, "RL7")
+    return f"""(select doc_id || '-' || page_num as pair_id, span_id as id, (x0 + {shift}) / 1000.0::double as x0, y0 / 800.0::double as y0, (x1 + {shift}) / 1000.0::double as x1, y1 / 800.0::double as y1,
+  trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) as t from {I.SPANS_SQL} where not starts_with(text, '{gone}'))"""
+
+
+@QUERIES(f"""
+with recursive b as {_regions_sql("before")}, a as {_regions_sql("after")},
+n as (select b.pair_id, b.id as b_region_id, a.id as a_region_id, b.t as x, a.t as y, {O.shared_area("b.", "a.")} as shared from b join a on a.pair_id = b.pair_id and {O.shared_area("b.", "a.")} > 0.1),{O.ratios("n")},
+s as (select pair_id, b_region_id, a_region_id, shared * 0.45::double + ratio * 0.40::double + 0.0::double * 0.15::double as score, ratio from n join ratios using (x, y)),
+o as (select * from s where score >= 0.45),{O.greedy("o", "b_region_id", "a_region_id", "score desc, b_region_id, a_region_id")}
+select pair_id, 'general' as kind, b_region_id, a_region_id, score, case when ratio > 0.995 then 'unchanged' else 'modified' end as change from taken
+union all select pair_id, 'general', id, null, null, 'removed' from b where id not in (select b_region_id from taken)
+union all select pair_id, 'general', null, id, null, 'added' from a where id not in (select a_region_id from taken)""")
 def region_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
     return diff.match_regions(_regions(spark, sf_dir, "before"), _regions(spark, sf_dir, "after"))
 

