@@ -114,9 +114,7 @@ def parse_tag(cell: Column, p: Rules = RULES) -> Column:
 
 def full_hyphen_tag(token: Column, p: Rules = RULES) -> Column:
     """(full_tag, root, component, tag_class, method) of a pre-joined tag, or null."""
-    parts = F.split(token, "-")
-    one, two = F.element_at(parts, -1), F.array_join(F.slice(parts, F.greatest(F.size(parts) - 1, F.lit(1)), F.lit(2)), "-")
-    root_1, root_2 = canonical_root(_joined(parts, 1)), canonical_root(_joined(parts, 2))
+    none = F.lit(None).cast("struct<full_tag:string,root:string,component:string,tag_class:string,method:string>")
 
     def made(root: Column, comp: Column, kind: str, method: str) -> Column:
         return F.struct(
@@ -127,15 +125,24 @@ def full_hyphen_tag(token: Column, p: Rules = RULES) -> Column:
             F.lit(method).alias("method"),
         )
 
-    denied = (F.size(parts) < 3) | T.alpha_prefix(parts[0]).isin(*p["grammar"]["deny"])
-    none = F.lit(None).cast("struct<full_tag:string,root:string,component:string,tag_class:string,method:string>")
-    isa_2, isa_1 = looks_isa_child(two, p), looks_isa_child(one, p)
-    return (
-        F.when(denied, none)
-        .when(isa_2, F.when(looks_root(root_2, p), made(root_2, compact_child(two), "instrument", "fulltag:isa")))
-        .when(isa_1, F.when(looks_root(root_1, p), made(root_1, compact_child(one), "instrument", "fulltag:isa")))
-        .when(looks_equipment_child(one, p), made(root_1, one, "equipment", "fulltag:equip"))
-    )
+    def ended(parts: Column) -> Column:
+        """The last part and the last two, each with the root before it."""
+        two = F.array_join(F.slice(parts, F.greatest(F.size(parts) - 1, F.lit(1)), F.lit(2)), "-")
+        roots = [canonical_root(_joined(parts, n)).alias(f"root_{n}") for n in (1, 2)]
+        return F.struct(parts.alias("parts"), F.element_at(parts, -1).alias("one"), two.alias("two"), *roots)
+
+    def read(t: Column) -> Column:
+        denied = (F.size(t["parts"]) < 3) | T.alpha_prefix(t["parts"][0]).isin(*p["grammar"]["deny"])
+        two = F.when(looks_root(t["root_2"], p), made(t["root_2"], compact_child(t["two"]), "instrument", "fulltag:isa"))
+        one = F.when(looks_root(t["root_1"], p), made(t["root_1"], compact_child(t["one"]), "instrument", "fulltag:isa"))
+        return (
+            F.when(denied, none)
+            .when(looks_isa_child(t["two"], p), two)
+            .when(looks_isa_child(t["one"], p), one)
+            .when(looks_equipment_child(t["one"], p), made(t["root_1"], t["one"], "equipment", "fulltag:equip"))
+        )
+
+    return F.transform(F.transform(F.array(F.split(token, "-")), ended), read)[0]  # binds what is used several times
 
 
 def rating(confidence: Column, p: Rules = RULES) -> Column:

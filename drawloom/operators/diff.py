@@ -6,7 +6,7 @@ Rows are (pair_id, region_id, row_index, cells, text, normalized_text, key).
 from __future__ import annotations
 
 from difflib import SequenceMatcher
-from functools import reduce
+from functools import partial, reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from drawloom.functions import geometry as G
 from drawloom.functions import text as T
-from drawloom.functions.similarity import sequence_ratio
+from drawloom.functions.similarity import sequence_ratio, sequence_ratios
 from drawloom.operators.assign import cut, greedy_pairs
 
 #: Header words of columns that hold ids.
@@ -54,7 +54,7 @@ def align_pages(before: DataFrame, after: DataFrame) -> DataFrame:
     return taken.unionByName(left, allowMissingColumns=True).unionByName(right, allowMissingColumns=True)
 
 
-def region_scores(before: DataFrame, after: DataFrame) -> DataFrame:
+def region_scores(before: DataFrame, after: DataFrame, least: float = 0.0) -> DataFrame:
     """Scores of regions of one kind on one page pair (pair_id): (pair_id, kind, b_region_id, a_region_id, score, text_ratio).
 
     Regions are (pair_id, region_id, kind, x0..y1, width, height,
@@ -65,25 +65,32 @@ def region_scores(before: DataFrame, after: DataFrame) -> DataFrame:
     a = after.select(*keys, *[F.col(c).alias(f"a_{c}") for c in after.columns if c not in keys])
     both = b.join(a, keys)
     overlap = G.overlap_ratio(*[G.relative(G.box(f"{s}_"), F.col(f"{s}_width"), F.col(f"{s}_height")) for s in "ba"])
-    both = both.withColumn("text_ratio", sequence_ratio("b_normalized_text", "a_normalized_text"))
-    both = both.withColumn("header_", sequence_ratio("b_header", "a_header"))
     most = F.greatest("b_n_rows", "a_n_rows")
     rows = F.when(most > 0, 1 - F.abs(F.col("b_n_rows") - F.col("a_n_rows")) / F.greatest(most, F.lit(1))).otherwise(0.0)
     same = T.jaccard(F.col("b_anchors"), F.col("a_anchors"))
-    text, header = F.col("text_ratio"), F.col("header_")
-    score = (
-        F.when(F.col("kind") == "bom-like", same * 0.42 + header * 0.23 + overlap * 0.20 + text * 0.10 + rows * 0.05)
-        .when(F.col("kind") == "table-like", same * 0.24 + header * 0.18 + overlap * 0.33 + text * 0.18 + rows * 0.07)
-        .otherwise(overlap * 0.45 + text * 0.40 + rows * 0.15)
-    )
-    return both.withColumn("score", score).select(*keys, "b_region_id", "a_region_id", "score", "text_ratio")
+    both = both.withColumn("overlap_", overlap).withColumn("rows_", rows).withColumn("same_", same)
+    overlap, rows, same = F.col("overlap_"), F.col("rows_"), F.col("same_")
+
+    def weighed(text: Column, header: Column) -> Column:
+        return (
+            F.when(F.col("kind") == "bom-like", same * 0.42 + header * 0.23 + overlap * 0.20 + text * 0.10 + rows * 0.05)
+            .when(F.col("kind") == "table-like", same * 0.24 + header * 0.18 + overlap * 0.33 + text * 0.18 + rows * 0.07)
+            .otherwise(overlap * 0.45 + text * 0.40 + rows * 0.15)
+        )
+
+    # Only pairs that equal texts would lift to ``least`` are compared as texts.
+    hopeful = both.filter(weighed(F.lit(1.0), F.lit(1.0)) >= least - 1e-9)
+    texts = {"text": (F.col("b_normalized_text"), F.col("a_normalized_text")), "header": (F.col("b_header"), F.col("a_header"))}
+    both = hopeful.withColumn("ratios_", sequence_ratios(texts)).withColumn("text_ratio", F.col("ratios_.text"))
+    score = weighed(F.col("ratios_.text"), F.col("ratios_.header"))
+    return both.withColumn("score", score).filter(F.col("score") >= least).select(*keys, "b_region_id", "a_region_id", "score", "text_ratio")
 
 
 def match_regions(before: DataFrame, after: DataFrame) -> DataFrame:
     """(pair_id, kind, b_region_id, a_region_id, score, change): greedy from .45 on, the rest removed or added."""
-    scored = cut(region_scores(before, after))
+    scored = cut(region_scores(before, after, least=0.45))
     order = [F.desc("score"), F.col("b_region_id"), F.col("a_region_id")]
-    taken = greedy_pairs(scored.filter("score >= 0.45"), ["pair_id", "b_region_id"], ["pair_id", "a_region_id"], order)
+    taken = greedy_pairs(scored, ["pair_id", "b_region_id"], ["pair_id", "a_region_id"], order)
     change = F.when(F.col("text_ratio") > 0.995, "unchanged").otherwise("modified")
     out = taken.withColumn("change", change).drop("text_ratio")
     gone = before.select("pair_id", "kind", F.col("region_id").alias("b_region_id")).join(taken, ["pair_id", "b_region_id"], "left_anti")
@@ -130,6 +137,42 @@ def changed_cells(before: Column, after: Column) -> Column:
     return F.when(F.size(before) == F.size(after), both)
 
 
+BOX = "struct<x0:double,y0:double,x1:double,y1:double>"
+
+
+def _edited(before: pd.Series, after: pd.Series) -> pd.DataFrame:
+    """Places of the cells that differ when two rows are compared as sequences."""
+    out = []
+    for b, a in zip(before, after, strict=True):
+        codes = [c for c in SequenceMatcher(None, list(b), list(a)).get_opcodes() if c[0] != "equal"]
+        out.append(([i for _, i1, i2, _, _ in codes for i in range(i1, i2)], [j for _, _, _, j1, j2 in codes for j in range(j1, j2)]))
+    return pd.DataFrame(out, columns=["before", "after"])
+
+
+def changed_boxes(rows: DataFrame) -> DataFrame:
+    """Add before_boxes and after_boxes to row pairs: the boxes of the cells that changed.
+
+    Rows have b_ and a_ cells, cell_boxes, box and normalized_text.  Rows with
+    equally many cells are compared cell by cell, others as sequences; where
+    the texts differ but no cell box is known the row's box stands in.
+    """
+    cells = {s: F.transform(F.col(f"{s}_cells"), T.normalized_cell) for s in "ba"}
+    same = F.size("b_cells") == F.size("a_cells")
+    places = F.transform(F.filter(F.transform(F.arrays_zip(cells["b"].alias("b"), cells["a"].alias("a")), lambda x, i: F.struct(i.alias("i"), (x["b"] != x["a"]).alias("d"))), lambda x: x["d"]), lambda x: x["i"])
+    none = F.array().cast("array<int>")
+    blank = F.array().cast("array<string>")
+    edited = F.pandas_udf(_edited, "before array<int>, after array<int>")(F.when(same, blank).otherwise(cells["b"]), F.when(same, blank).otherwise(cells["a"]))
+    differs = F.col("b_normalized_text") != F.col("a_normalized_text")
+    empty = (F.size("b_cells") == 0) & (F.size("a_cells") == 0)
+    out = rows.withColumn("places_", F.when(same, F.struct(places.alias("before"), places.alias("after"))).otherwise(edited))
+    for s, name in (("b", "before"), ("a", "after")):
+        boxes = F.col(f"{s}_cell_boxes")
+        found = F.array_compact(F.transform(F.coalesce(F.col(f"places_.{name}"), none), partial(F.get, boxes)))
+        whole = empty | ((F.size(found) == 0) & differs)
+        out = out.withColumn(f"{name}_boxes", F.when(whole, F.array(f"{s}_box")).otherwise(found))
+    return out.drop("places_")
+
+
 DIFF = "{keys}, change_type string, before_index int, after_index int, before_text string, after_text string, row_key string, confidence double"
 
 
@@ -140,7 +183,7 @@ def compare_rows(before: DataFrame, after: DataFrame) -> DataFrame:
     too few anchors (under two, unless it has at most three rows) its rows are
     compared as a sequence of texts, in a function per region.
     """
-    b, a = _anchored(before, "b"), _anchored(after, "a")
+    b, a = cut(_anchored(before, "b")), cut(_anchored(after, "a"))  # read by many branches
     unique = lambda df, s: df.groupBy(*REGION, "anchor").agg(F.count(F.lit(1)).alias("n_"), F.max(f"{s}_row_index").alias(f"{s}_row_index"))
     ub, ua = unique(_exploded(b, "b"), "b"), unique(_exploded(a, "a"), "a")
     common = ub.filter("n_ = 1").drop("n_").join(ua.filter("n_ = 1").drop("n_"), [*REGION, "anchor"])

@@ -19,6 +19,8 @@ from drawloom.operators.assign import cut
 from drawloom.operators.scan import tag_order
 
 ROW = ["ws_name", "row_num"]
+#: Most keys that are tried on every block, and the characters by which more of them are looked up.
+FEW_KEYS, ANCHOR = 2000, 8
 
 
 def header_column(cells: Column, keywords: tuple[str, ...]) -> Column:
@@ -116,15 +118,14 @@ def block_fallback(parsed: DataFrame, blocks: DataFrame, p: Rules = RULES) -> Da
 
     The keys of a row must be contained in a block; failing that a root block
     and a component block within 400 units on the first page that has both.
-    Containment has no equality key, so distinct keys meet blocks once, with
-    the tag list as the side that is built.
+    Distinct keys meet blocks once, see ``_blocks_with``.
     """
     keys = parsed.select(
         *ROW, "allowed_pages", "tag_class",
         *[T.compact(F.col(c)).alias(k) for c, k in (("full_tag", "full_key"), ("root", "root_key"), ("component", "comp_key"))],
     )
     texts = keys.select(F.explode(F.array_distinct(F.array("full_key", "root_key", "comp_key"))).alias("key")).distinct()
-    held = blocks.join(texts.filter("key <> ''"), F.contains("compact", "key")).select("page_num", "block_idx", "key")
+    held = _blocks_with(blocks, cut(texts.filter("key <> ''")))
 
     def blocks_with(key: str) -> DataFrame:
         return keys.filter(F.col(key) != "").join(held, F.col(key) == held["key"]).filter(_page_allowed()).select(*ROW, "page_num", "block_idx")
@@ -153,6 +154,27 @@ def block_fallback(parsed: DataFrame, blocks: DataFrame, p: Rules = RULES) -> Da
     return every.withColumn("n_hits", n).withColumn("confidence", value).withColumn("rating", N.rating(value, p))
 
 
+def _blocks_with(blocks: DataFrame, keys: DataFrame) -> DataFrame:
+    """(page_num, block_idx, key) of the distinct ``keys`` that blocks contain.
+
+    A few keys are tried on every block.  More of them meet the blocks by
+    equality of their first ANCHOR characters with a part of the block, and
+    are then verified.
+    """
+    if keys.count() <= FEW_KEYS:
+        return blocks.join(F.broadcast(keys), F.contains("compact", "key")).select("page_num", "block_idx", "key")
+    led = keys.withColumn("anchor", F.substring("key", 1, ANCHOR))
+    sizes = [r[0] for r in led.select(F.length("anchor")).distinct().collect()]  # ANCHOR of them at most
+
+    def parts_of(n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.length("compact") - n + 1, F.lit(1)))
+        return F.transform(starts, lambda i: F.substring("compact", i, F.lit(n)))
+
+    parts = [parts_of(n) for n in sizes]
+    dealt = blocks.select("page_num", "block_idx", "compact", F.explode(F.array_distinct(F.concat(*parts))).alias("anchor"))
+    return dealt.join(led, "anchor").filter(F.contains("compact", "key")).select("page_num", "block_idx", "key")
+
+
 def match_confidence(confidence: Column, allowed: Column, n_matches: Column) -> Column:
     """Sheet agreement adds .05; each further match costs .04, at most .15."""
     agreed = F.when(F.size(allowed) > 0, F.least(F.lit(0.99), confidence + 0.05)).otherwise(confidence)
@@ -202,6 +224,84 @@ def reconcile(tag_list: DataFrame, tags: DataFrame, sheets: DataFrame, blocks: D
     return out.withColumn("status", status).withColumn("rating", F.when(F.col("tier").isNotNull(), N.rating(F.col("confidence"), p)))
 
 
+#: Columns of a detected tag that an annotated list shows; those that the tags lack are blank.
+SHOWN = ("evidence", "text_source", "source_agreement", "ocr_confidence", "source_node_ids", "source_node_count")
+
+
+def status_columns(results: DataFrame, *, mode: str = "instrument") -> DataFrame:
+    """The 17 columns that an annotated tag list gets, in their order, beside the list's own (ws_name, row_num, raw_tag, raw_sheet, full_tag).
+
+    Misses have the rating Low and no occurrences; several matches, tier 3 and
+    block matches say so in the status, sheet agreement and ambiguity in the evidence.
+    """
+    c, many = F.col, F.col("n_matches") > 1
+    status = (
+        F.when(c("status") == "Unrecognized tag", "Skipped - unrecognized tag")
+        .when(c("status") == "Outside mode", f"Skipped - outside {mode} mode")
+        .when(c("status") == "No mapped sheet", "No mapped PDF sheet")
+        .when(c("status") == "Not found", "Not found in PDF")
+        .when(c("tier") == 4, F.when(many, "Matched - block fallback multiple").otherwise("Matched - block fallback"))
+        .when(c("tier") == 3, "Matched - same-page inference")
+        .otherwise(F.when(many, "Matched - multiple PDF occurrences").otherwise("Matched"))
+    )
+    matched = c("tier").isNotNull()
+    have = {n: (c(n) if n in results.columns else F.lit(None)).cast("string") for n in SHOWN}
+    agreed = F.when(F.size("allowed_pages") > 0, F.lit("excel sheet match"))
+    crowded = F.when(many, F.concat(F.lit("ambiguous x"), c("n_matches").cast("string")))
+    evidence = F.concat_ws("; ", F.nullif(have["evidence"], F.lit("")), agreed, crowded)
+    every = c("allowed_pages").isNull()
+    pages = F.when(every, "all pages").otherwise(F.array_join("allowed_pages", ", "))
+    reason = (
+        F.when(c("status") == "Unrecognized tag", "unrecognized tag")
+        .when(c("status") == "Outside mode", status)
+        .when(every, "no sheet column/value supplied")
+        .when(F.size("allowed_pages") == 0, "sheet value not mapped to PDF")
+        .when(F.size("allowed_pages") > 1, "duplicate sheet id")
+        .otherwise("mapped sheet id")
+    )
+    value = lambda x: F.when(matched, x)
+    return results.select(
+        *ROW, "raw_tag", "raw_sheet", "full_tag", status.alias("comparison_status"), value(c("confidence")).alias("best_confidence"),
+        F.when(matched, c("rating")).otherwise("Low").alias("rating"), F.coalesce("n_matches", F.lit(0)).cast("long").alias("pdf_occurrences"),
+        value(c("best_sheet")).alias("best_sheet"), value(c("best_page")).alias("best_page"), value(c("best_zone")).alias("best_zone"),
+        value(c("best_method")).alias("best_method"), value(evidence).alias("best_evidence"), value(have["text_source"]).alias("best_text_source"),
+        value(have["source_agreement"]).alias("best_agreement"), value(have["ocr_confidence"]).alias("best_ocr_confidence"), pages.alias("allowed"),
+        F.when(every, "No").otherwise("Yes").alias("sheet_filter_used"), reason.alias("filter_reason"), value(have["source_node_ids"]).alias("source_node_ids"), value(have["source_node_count"]).alias("source_node_count"),
+    )
+
+
+def comparison_summary(results: DataFrame, tags: DataFrame) -> DataFrame:
+    """(position, metric, value): the 17 counters of a comparison, in the order of its summary."""
+    matched, s = F.col("tier").isNotNull(), F.col("status")
+    rated = lambda r: matched & (F.col("rating") == r)
+    skipped = s.isin("Unrecognized tag", "Outside mode")
+    searched = ~skipped & (s != "No mapped sheet") & F.col("allowed_pages").isNull()
+    n = {
+        "Rows reviewed": F.lit(True), "Matched rows": matched, "High confidence matches": rated("High"), "Medium confidence matches": rated("Medium"),
+        "Low confidence matches": rated("Low"), "Ambiguous matches": matched & (F.col("n_matches") > 1), "Rows without mapped page": s == "No mapped sheet",
+        "Rows not found": s == "Not found", "Rows skipped": skipped, "Rows matched by block": F.col("tier") == 4, "Rows matched on one page": F.col("tier") == 3,
+        "Rows searched across all pages": searched,
+    }
+    own = results.agg(*[F.count_if(t).cast("double").alias(m) for m, t in n.items()])
+    seen = {"Candidates total": F.lit(True)} | {f"{r} confidence candidates": F.col("rating") == r for r in ("High", "Medium", "Low")}
+    both = own.crossJoin(F.broadcast(tags.agg(*[F.count_if(t).cast("double").alias(m) for m, t in seen.items()])))  # one row each
+    rate = F.when(F.col("Rows reviewed") > 0, F.col("Matched rows") / F.col("Rows reviewed")).otherwise(0.0)
+    order = [*list(n)[:2], "Match rate", *list(n)[2:], *seen]
+    listed = F.array(*[F.struct(F.lit(i).alias("position"), F.lit(m).alias("metric"), F.col(m).alias("value")) for i, m in enumerate(order)])
+    return both.withColumn("Match rate", rate).select(F.explode(listed).alias("x")).select("x.*")
+
+
+def unmatched_order() -> list[Column]:
+    """By page, sheet, zone, class, confidence and tag."""
+    return [F.col("page_num"), F.col("sheet_id"), F.col("zone"), F.col("tag_class"), F.desc("confidence"), F.col("full_tag")]
+
+
+def unmatched_report(tags: DataFrame, matched: DataFrame) -> DataFrame:
+    """Tags that the list lacks, in the order of the report, with confidence to three digits."""
+    rest = unmatched_tags(tags, matched).orderBy(*unmatched_order())
+    return rest.withColumn("comparison_status", F.lit("Missing in Excel")).withColumn("confidence", F.bround("confidence", 3))
+
+
 def unmatched_tags(tags: DataFrame, matched: DataFrame) -> DataFrame:
     """Tags of which no matched tag has the page, the text and the rounded place."""
     key = lambda df: df.withColumn("rx", F.bround("x0")).withColumn("ry", F.bround("y0"))
@@ -221,25 +321,24 @@ def match_statistics(results: DataFrame) -> DataFrame:
 
 def suppress_overlaps(boxes: DataFrame, *, most: float = 0.20, keys: list[str] | None = None) -> DataFrame:
     """Boxes in order of priority that share at most ``most`` of the smaller area with a box kept before, by page."""
+    import numpy as np
     import pandas as pd
 
     by = keys or ["doc_id", "page_num"]
 
     def page(rows: pd.DataFrame) -> pd.DataFrame:
-        kept: list[tuple] = []
-        marks = []
         rows = rows.sort_values(["priority", "seq"], ascending=[False, True], kind="stable")
-        for b in rows[["x0", "y0", "x1", "y1"]].itertuples(index=False):
-            clash = False
-            for k in kept:
-                w, h = min(b[2], k[2]) - max(b[0], k[0]), min(b[3], k[3]) - max(b[1], k[1])
-                if w > 0 and h > 0:
-                    least = min((b[2] - b[0]) * (b[3] - b[1]), (k[2] - k[0]) * (k[3] - k[1]))
-                    clash |= w * h / max(least, 1e-9) > most
-            marks.append(not clash)
-            if not clash:
-                kept.append(b)
-        return rows[marks]
+        box = rows[["x0", "y0", "x1", "y1"]].to_numpy(float)
+        area = (box[:, 2] - box[:, 0]) * (box[:, 3] - box[:, 1])
+        free = np.ones(len(box), dtype=bool)
+        for i in range(len(box)):  # a box that stays rules out those after it
+            if free[i]:
+                rest = slice(i + 1, None)
+                w = np.minimum(box[rest, 2], box[i, 2]) - np.maximum(box[rest, 0], box[i, 0])
+                h = np.minimum(box[rest, 3], box[i, 3]) - np.maximum(box[rest, 1], box[i, 1])
+                shared = np.where((w > 0) & (h > 0), w * h / np.maximum(np.minimum(area[rest], area[i]), 1e-9), 0)
+                free[rest] &= shared <= most
+        return rows[free]
 
     return boxes.groupBy(*by).applyInPandas(page, boxes.schema)
 

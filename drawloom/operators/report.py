@@ -71,3 +71,44 @@ def safe_path(root: str, name: str) -> Path:
     if base != at and base not in at.parents:
         raise ValueError("the path leads out of its folder")
     return at
+
+
+def first_section(parts: dict[str, DataFrame], aliases: tuple[str, ...]) -> DataFrame | None:
+    """The first section that goes by one of its names."""
+    return next((parts[a] for a in aliases if a in parts), None)
+
+
+def report_sheets(parts: dict[str, DataFrame], aliases: dict[str, tuple[str, ...]], columns: dict[str, list[str]]) -> dict[str, DataFrame]:
+    """The sheets of a report in the order of ``aliases``: known columns first where they are named, missing ones null, else all."""
+    out = {}
+    for name, names in aliases.items():
+        found = first_section(parts, names)
+        wanted = columns.get(name, [])
+        if found is not None and wanted:
+            found = found.select(*[F.col(c) if c in found.columns else F.lit(None).cast("string").alias(c) for c in wanted])
+        if found is not None:
+            out[name] = found
+    return out
+
+
+def add_feedback(entries: DataFrame, folder: str) -> None:
+    """Append entries to a feedback table."""
+    latest_feedback(entries).write.mode("append").parquet(folder)
+
+
+def rewrite_feedback(entries: DataFrame, folder: str) -> None:
+    """Replace a feedback table; ``entries`` must not read it."""
+    latest_feedback(entries).write.mode("overwrite").parquet(folder)
+
+
+def listing_counts(files: DataFrame) -> DataFrame:
+    """(folder, files, pdfs, bytes) of a listing (path, length)."""
+    folder = F.regexp_replace("path", r"[/\\][^/\\]*$", "")
+    pdf = F.lower("path").endswith(".pdf")
+    return files.groupBy(folder.alias("folder")).agg(F.count(F.lit(1)).alias("files"), F.count_if(pdf).alias("pdfs"), F.sum("length").alias("bytes"))
+
+
+def run_states(events: DataFrame) -> DataFrame:
+    """(run_id, state, message, events) of run logs (run_id, at, seq, state, message): the last entry says where a run stands."""
+    last = F.max_by(F.struct("state", "message"), F.struct("at", "seq"))
+    return events.groupBy("run_id").agg(last.alias("l_"), F.count(F.lit(1)).alias("events")).select("run_id", "l_.*", "events")

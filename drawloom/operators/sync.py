@@ -20,6 +20,8 @@ FAMILIES = {
 SHEET_BLANKS = ("-", "None", "", "null")
 MODEL_BLANKS = ("-", "NONE", "", "NULL")
 MOVE_TOLERANCE = 0.0026
+#: Most columns of a mapping sheet that are broadcast.
+FEW_COLUMNS = 100_000
 
 
 def keep_mapped_rows(rows: DataFrame, mapped: list[str]) -> DataFrame:
@@ -154,7 +156,8 @@ def parameter_changes(matrix: DataFrame, key: str, elements: DataFrame, mapping:
     model = elements.withColumn("n_", F.row_number().over(last)).filter("n_ = 1").drop("n_").withColumn("key_", clean(F.col("equipment_id")))
     cells = matrix.select(F.col(key).alias("row_key"), *[F.col(c).cast("string").alias(c) for c in columns]).unpivot(["row_key"], columns, "column", "after")
     cells = cells.filter(~F.coalesce(F.trim("after"), F.lit("")).isin(*SHEET_BLANKS)).withColumn("key_", clean(F.col("row_key")))
-    wanted = cells.join(F.broadcast(mapping), "column").join(model.select("key_", "element_id", "family", F.col("params").alias("have")), "key_", "left")
+    plan = F.broadcast(mapping) if mapping.count() <= FEW_COLUMNS else mapping
+    wanted = cells.join(plan, "column").join(model.select("key_", "element_id", "family", F.col("params").alias("have")), "key_", "left")
     wanted = wanted.filter(F.col("element_id").isNull() | family_applies(F.col("family"), F.col("families")))
     each = wanted.withColumn("param", F.explode("params")).withColumn("before", F.try_element_at("have", "param"))
     changed = each.filter(F.col("element_id").isNull() | (~same_value(F.lit("string"), F.col("before"), F.col("before"), F.col("after"))))

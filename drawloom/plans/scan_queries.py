@@ -557,10 +557,10 @@ ranked as (select *, count(*) over (partition by row_num) as n, row_number() ove
 best as (select *, case when len(allowed) > 0 then least(0.99::double, confidence + 0.05::double) else confidence end as agreed from ranked where rn = 1),
 priced as (select *, case when n > 1 then greatest(0.05::double, agreed - least(0.15::double, 0.04::double * (n - 1))) else agreed end as conf from best)
 select a.row_num, a.raw as raw_tag, a.raw_sheet, a.full_tag, case when a.full_tag is null then 'Unrecognized tag' when len(a.allowed) = 0 then 'No mapped sheet' when tier is not null then 'Matched' else 'Not found' end as status,
-  n as n_matches, page_num as best_page, conf as confidence, case when tier is not null then {_RATE.format("conf")} end as rating from a left join priced p on a.row_num = p.row_num)"""
+  n as n_matches, page_num as best_page, conf as confidence, case when tier is not null then {_RATE.format("conf")} end as rating, tier, list_sort(a.allowed) as allowed from a left join priced p on a.row_num = p.row_num)"""
 
 
-@QUERIES(f"select * from {_RECONCILED}")
+@QUERIES(f"select * exclude (tier, allowed) from {_RECONCILED}")
 def reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A tag list against detected tags, one row a list row."""
     rows, sheets = _tag_list(spark, sf_dir)
@@ -580,6 +580,57 @@ def match_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return match.match_statistics(match.reconcile(rows, _tag_table(spark, sf_dir), sheets, mode="all"))
 
 
+@QUERIES(f"""
+select row_num, raw_tag, case status when 'Unrecognized tag' then 'Skipped - unrecognized tag' when 'No mapped sheet' then 'No mapped PDF sheet' when 'Not found' then 'Not found in PDF'
+  else case when tier = 3 then 'Matched - same-page inference' when n_matches > 1 then 'Matched - multiple PDF occurrences' else 'Matched' end end as comparison_status,
+  confidence as best_confidence, coalesce(rating, 'Low') as rating, coalesce(n_matches, 0) as pdf_occurrences, best_page,
+  case when tier is not null then array_to_string(list_filter([case when len(allowed) > 0 then 'excel sheet match' end, case when n_matches > 1 then 'ambiguous x' || n_matches end], lambda x: x is not null), '; ') end as added_evidence,
+  case when allowed is null then 'all pages' else array_to_string(allowed, ', ') end as allowed, case when allowed is null then 'No' else 'Yes' end as sheet_filter_used,
+  case when full_tag is null then 'unrecognized tag' when allowed is null then 'no sheet column/value supplied' when len(allowed) = 0 then 'sheet value not mapped to PDF' when len(allowed) > 1 then 'duplicate sheet id' else 'mapped sheet id' end as filter_reason
+from {_RECONCILED}""")
+def annotated_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns that an annotated tag list gets; of the evidence what the match adds."""
+    rows, sheets = _tag_list(spark, sf_dir)
+    found = match.reconcile(rows, _tag_table(spark, sf_dir).drop("evidence"), sheets, mode="all")
+    shown = match.status_columns(found, mode="all")
+    return shown.select(
+        "row_num", "raw_tag", "comparison_status", "best_confidence", "rating", "pdf_occurrences", "best_page", F.col("best_evidence").alias("added_evidence"),
+        "allowed", "sheet_filter_used", "filter_reason",
+    )
+
+
+@QUERIES(f"""
+with r as (select * from {_RECONCILED}), t as (select *, {_RATE.format("confidence")} as rating from {_SCORED}),
+c as (select count(*) as reviewed, count(tier) as matched, count(*) filter (tier is not null and rating = 'High') as h, count(*) filter (tier is not null and rating = 'Medium') as m,
+  count(*) filter (tier is not null and rating = 'Low') as l, count(*) filter (n_matches > 1) as amb, count(*) filter (status = 'No mapped sheet') as no_page, count(*) filter (status = 'Not found') as nf,
+  count(*) filter (full_tag is null) as skipped, count(*) filter (tier = 3) as same, count(*) filter (full_tag is not null and allowed is null) as every from r)
+select i as position, metric, cast(value as double) as value from (select generate_subscripts(names, 1) - 1 as i, unnest(names) as metric, unnest(counts) as value from (select
+  ['Rows reviewed', 'Matched rows', 'Match rate', 'High confidence matches', 'Medium confidence matches', 'Low confidence matches', 'Ambiguous matches', 'Rows without mapped page', 'Rows not found', 'Rows skipped',
+   'Rows matched by block', 'Rows matched on one page', 'Rows searched across all pages', 'Candidates total', 'High confidence candidates', 'Medium confidence candidates', 'Low confidence candidates'] as names,
+  [reviewed, matched, matched / reviewed::double, h, m, l, amb, no_page, nf, skipped, 0, same, every, (select count(*) from t), (select count(*) from t where rating = 'High'),
+   (select count(*) from t where rating = 'Medium'), (select count(*) from t where rating = 'Low')]::double[] as counts from c))""")
+def comparison_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, sheets = _tag_list(spark, sf_dir)
+    tags = _tag_table(spark, sf_dir)
+    found = match.comparison_summary(match.reconcile(rows, tags, sheets, mode="all"), tags)
+    return found.withColumn("position", F.col("position").cast("long"))
+
+
+@QUERIES(f"""
+with t as (select * from {_SCORED}), u as (select * from t where not exists (select 1 from t m where m.confidence >= 0.9 and m.page_num = t.page_num and m.full_tag = t.full_tag
+  and round_even(m.x0, 0) = round_even(t.x0, 0) and round_even(m.y0, 0) = round_even(t.y0, 0)))
+select row_number() over (order by page_num, sheet_id, zone, tag_class, confidence desc, full_tag, span_id) as position, 'Missing in Excel' as comparison_status, sheet_id, page_num, full_tag, round_even(confidence, 3) as confidence from u""")
+def missing_in_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Detected tags that the list lacks, with their place in the report."""
+    from drawloom.operators.placement import running_index
+
+    tags = _tag_table(spark, sf_dir)
+    rest = match.unmatched_tags(tags, tags.filter("confidence >= 0.9")).withColumn("down_", -F.col("confidence"))
+    placed = running_index(rest, ["page_num", "sheet_id", "zone", "tag_class", "down_", "full_tag", "seq"])
+    shown = placed.select((F.col("index") + 1).alias("position"), F.lit("Missing in Excel").alias("comparison_status"), "sheet_id", "page_num", "full_tag", F.bround("confidence", 3).alias("confidence"))
+    return shown
+
+
 _HEADER_ROWS = {
     "ws_name": "'w' || cast(s_suppkey % 10 as string)",
     "row_num": "cast((s_suppkey - s_suppkey % 10) / 10 as int)",

@@ -4,10 +4,13 @@ import random
 from difflib import SequenceMatcher
 
 import pytest
+from hypothesis import given
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from drawloom import config
-from drawloom.operators import assign, diff, layout, match, pairing, placement, report, scan, sync
+from drawloom.functions import similarity
+from drawloom.operators import analyze, assign, diff, layout, match, pairing, placement, report, scan, sync
 
 SPANS = "doc_id int, page_num int, span_id long, text string, x0 double, y0 double, x1 double, y1 double, size double"
 
@@ -301,3 +304,59 @@ def test_fixed_values_are_whole():
     assert config.rules(bare={"reach": 9.0})["bare"] == {"codes": config.BARE_CODES, "reach": 9.0} and config.RULES["bare"]["reach"] == 420.0
     with pytest.raises(KeyError, match="bare.other"):
         config.rules(bare={"other": 1})
+
+
+def test_blocks_by_anchors_equal_blocks_by_trial(spark, monkeypatch):
+    blocks = spark.createDataFrame([(1, i, f"XX{i:05d}TNK20{i}PUMP{i % 7}") for i in range(60)] + [(1, 99, "AB"), (1, 98, "")], "page_num int, block_idx int, compact string")
+    keys = spark.createDataFrame([(k,) for k in ("TNK20", "TNK2011PUMP4", "AB", "0001", "PUMP3", "XX00001TNK201PUMP1", "NOWHERE", "NOWHERETOBEFOUND")], "key string")
+    want = {tuple(r) for r in match._blocks_with(blocks, keys).collect()}
+    monkeypatch.setattr(match, "FEW_KEYS", 0)
+    got = match._blocks_with(blocks, keys)
+    assert "NestedLoop" not in got._jdf.queryExecution().toString()
+    assert {tuple(r) for r in got.collect()} == want and len(want) > 60
+
+
+def test_sections_go_by_several_names(spark):
+    docs = spark.createDataFrame([("p1", "changed")], "pair_id string, status string")
+    sheets = report.report_sheets({"rows": docs}, {"Sheet Map": ("documents", "rows"), "Nothing": ("none",)}, {"Sheet Map": ["status", "title"]})
+    assert list(sheets) == ["Sheet Map"] and [tuple(r) for r in sheets["Sheet Map"].collect()] == [("changed", None)]
+
+
+def test_feedback_is_appended_and_rewritten(spark, tmp_path):
+    entry = lambda i: spark.createDataFrame([(i, "scan", "error", f"t{i}")], "id long, source string, category string, timestamp string")
+    at = str(tmp_path / "feedback")
+    report.add_feedback(entry(1), at)
+    report.add_feedback(entry(2), at)
+    assert {(r.id, r.source, r.category) for r in spark.read.parquet(at).collect()} == {(1, "scanner", "bug"), (2, "scanner", "bug")}
+    report.rewrite_feedback(entry(3), at)
+    assert [r.id for r in spark.read.parquet(at).collect()] == [3]
+
+
+def test_one_or_two_folders_are_paired(spark):
+    with pytest.raises(ValueError, match="one mixed folder or two"):
+        pairing.scan_and_pair([])
+
+
+def test_changed_boxes_of_rows_of_unequal_length(spark):
+    box = lambda x: (float(x), 0.0, x + 1.0, 1.0)
+    kind = "struct<x0:double,y0:double,x1:double,y1:double>"
+    rows = [(["a", "b", "c"], ["a", "x", "b", "c"], "a b c", "a x b c"), (["a", "b"], ["a", "B "], "a b", "a b"), ([], [], "", ""), (["p", "q"], ["r"], "p q", "r")]
+    data = [(i, b, a, [box(j) for j in range(len(b))], [box(j) for j in range(len(a))], box(-1), box(-2), tb, ta) for i, (b, a, tb, ta) in enumerate(rows)]
+    df = spark.createDataFrame(
+        data, f"id int, b_cells array<string>, a_cells array<string>, b_cell_boxes array<{kind}>, a_cell_boxes array<{kind}>, b_box {kind}, a_box {kind}, b_normalized_text string, a_normalized_text string"
+    )
+    got = {r.id: ([x.x0 for x in r.before_boxes], [x.x0 for x in r.after_boxes]) for r in diff.changed_boxes(df).collect()}
+    assert got == {0: ([-1.0], [1.0]), 1: ([], []), 2: ([-1.0], [-2.0]), 3: ([0.0, 1.0], [0.0])}
+
+
+@given(st.text("abc d", max_size=30), st.text("abc d", max_size=30))
+def test_ratio_is_that_of_the_standard_matcher(a, b):
+    assert similarity.ratio(a, b) == SequenceMatcher(None, a, b).ratio()
+
+
+def test_tables_below_a_header_start_where_no_other_table_is(spark):
+    lines = ["item qty model", "dev-1 2 ab12x", "item qty model type", "dev-2 3 cd34y", "far away text"]
+    words = [(0, 1, 10 * i + j, 10.0 + 60 * j, 100.0 + 14 * i if i < 4 else 400.0, 50.0 + 60 * j, 110.0 + 14 * i if i < 4 else 410.0, w) for i, t in enumerate(lines) for j, w in enumerate(t.split())]
+    df = spark.createDataFrame(words, "doc_id int, page_num int, seq int, x0 double, y0 double, x1 double, y1 double, word string")
+    got = analyze.header_tables(layout.row_cells(layout.words_to_rows(df))).collect()
+    assert [(r.table_index, r.header_row, r.row_indexes) for r in got] == [(0, 0, [0, 1, 2, 3])]
