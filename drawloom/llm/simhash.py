@@ -7,7 +7,7 @@ so every choice of that many blocks is a join key and close pairs meet under
 some key.  Each key's members arrive sorted, are verified by Hamming distance in
 vectorised blocks, and leave as the edges of a spanning forest: a group of k
 close fingerprints yields k - 1 links, never all its pairs, with the same
-components.  A key with very many members is divided again by blocks of its
+components.  A key with very many members is dealt out again by blocks of its
 remaining bits, which is exact by the same argument.
 
 Components are found over the links by alternating large-star and small-star
@@ -16,7 +16,10 @@ documents, hot fingerprints through a small broadcast.
 
 Nulls: a null text is empty; texts without words have fingerprint zero and
 link like others; a null doc_id gets a row but is never a component's id unless
-all of the component are null.  Repeated rows each get a row.
+all of the component are null.  Repeated rows each get a row.  Ties do not
+arise: ids are minima, and equal fingerprints are one.  Texts of any length are
+read whole, their shingles in slices.  An empty table gives no rows; columns
+other than doc_id and text are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -37,6 +40,8 @@ DISTANCE = 4
 SEED = 42
 #: Members of a key up to which all of them are compared in blocks.
 LEAF = 2048
+#: Members of a key from which it is dealt out again.
+OPEN = 1 << 16
 #: Least edges of a node that are joined by broadcast of the node.
 HEAVY = 4096
 #: Expected members of a key; more blocks are used when there would be more.
@@ -140,67 +145,107 @@ def close_sets(prints: np.ndarray, distance: int = DISTANCE, free: int = (1 << 6
     return parent
 
 
-def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Forest edges (a > b) inside each (choice, key) of sorted input."""
-    held: list[tuple[np.ndarray, ...]] = []
-
-    def solved(which: np.ndarray, key: np.ndarray, fp: np.ndarray, masks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        edge = np.flatnonzero((np.diff(which) != 0) | (np.diff(key) != 0)) + 1
-        starts = np.concatenate([[0], edge])
-        sizes = np.diff(np.concatenate([starts, [len(fp)]]))
-        a, b = [], []
-        prints = fp.view(np.uint64)
-        for size in np.unique(sizes[(sizes > 1) & (sizes <= 16)]):  # many small keys at once
-            rows = starts[sizes == size][:, None] + np.arange(size)
-            group = prints[rows]
-            i, j = np.triu_indices(size, 1)
-            near = np.bitwise_count(group[:, i] ^ group[:, j]) <= DISTANCE
-            at, pair = np.nonzero(near)
-            a.append(group[at, i[pair]])
-            b.append(group[at, j[pair]])
-        for start, size in zip(starts[sizes > 16], sizes[sizes > 16], strict=True):
-            group = prints[start : start + size]
-            low = close_sets(group, DISTANCE, ~int(masks[which[start]]) & (1 << 64) - 1)
-            up = low != np.arange(size)
-            a.append(group[up])
-            b.append(group[low[up]])
-        if not a:
-            return np.empty(0, np.int64), np.empty(0, np.int64)
-        return np.concatenate(a).view(np.int64), np.concatenate(b).view(np.int64)
-
-    def out(columns: tuple[np.ndarray, ...], masks: np.ndarray) -> pa.RecordBatch:
-        a, b = solved(*columns, masks)
-        return pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], ["a", "b"])
-
-    masks = np.zeros(0, np.uint64)
-    for batch in batches:
-        which, key, fp = (batch.column(i).to_numpy() for i in range(3))
-        if not len(masks):
-            masks = np.array(batch.column(3)[0].as_py(), dtype=np.int64).view(np.uint64)
-        last = np.flatnonzero((np.diff(which) != 0) | (np.diff(key) != 0))
-        if not len(last):
-            if held and (held[-1][0][-1], held[-1][1][-1]) != (which[0], key[0]):
-                yield out(tuple(np.concatenate(c) for c in zip(*held, strict=True)), masks)
-                held = []
-            held.append((which, key, fp))
-            continue
-        stop = last[-1] + 1
-        held.append((which[:stop], key[:stop], fp[:stop]))
-        yield out(tuple(np.concatenate(c) for c in zip(*held, strict=True)), masks)
-        held = [(which[stop:], key[stop:], fp[stop:])]
-    if held:
-        yield out(tuple(np.concatenate(c) for c in zip(*held, strict=True)), masks)
-
-
-def links(prints: DataFrame, n: int) -> DataFrame:
-    """(a, b), b lower: links with the components of all pairs of close fingerprints of (fp)."""
+def free_bits(mask: int) -> int:
+    return ~mask & (1 << 64) - 1
+
+
+def finer_masks(mask: int, distance: int = DISTANCE) -> list[int]:
+    """The masks that divide the prints that agree on ``mask``: by choices of blocks of the other bits."""
+    places = [p for p in range(64) if free_bits(mask) >> p & 1]
+    m = distance + 2
+    parts = [sum(1 << p for p in places[k * len(places) // m : (k + 1) * len(places) // m]) for k in range(m)]
+    return [mask | sum(chosen) for chosen in combinations(parts, m - distance)]
+
+
+def _solved(which: np.ndarray, key: np.ndarray, fp: np.ndarray, masks: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Forest edges inside each (choice, key) of sorted rows."""
+    edge = np.flatnonzero((np.diff(which) != 0) | (np.diff(key) != 0)) + 1
+    starts = np.concatenate([[0], edge])
+    sizes = np.diff(np.concatenate([starts, [len(fp)]]))
+    a, b = [], []
+    prints = fp.view(np.uint64)
+    for size in np.unique(sizes[(sizes > 1) & (sizes <= 16)]):  # many small keys at once
+        rows = starts[sizes == size][:, None] + np.arange(size)
+        group = prints[rows]
+        i, j = np.triu_indices(size, 1)
+        near = np.bitwise_count(group[:, i] ^ group[:, j]) <= DISTANCE
+        at, pair = np.nonzero(near)
+        a.append(group[at, i[pair]])
+        b.append(group[at, j[pair]])
+    for start, size in zip(starts[sizes > 16], sizes[sizes > 16], strict=True):
+        group = prints[start : start + size]
+        low = close_sets(group, DISTANCE, free_bits(masks[which[start]]))
+        up = low != np.arange(size)
+        a.append(group[up])
+        b.append(group[low[up]])
+    if not a:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    return np.concatenate(a).view(np.int64), np.concatenate(b).view(np.int64)
+
+
+def _linker(masks: list[int], most: int):
+    """Rows (a, b, which) of sorted (which, key, fp): links (a > b, which -1), or, of keys with over ``most`` members, their
+    prints (a) and choice, which are to be divided again.  At most ``most`` members and a batch are held."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(a: np.ndarray, b: np.ndarray, which: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(which.astype(np.int32))], ["a", "b", "which"])
+
+        def linked(rows: list[np.ndarray]) -> pa.RecordBatch:
+            a, b = _solved(*rows, masks)
+            return out(np.maximum(a, b), np.minimum(a, b), np.full(len(a), -1))
+
+        held: list[np.ndarray] = [np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64)]
+        opened: tuple[int, int] | None = None
+        for batch in batches:
+            rows = [batch.column(i).to_numpy() for i in range(3)]
+            if opened is not None:
+                other = np.flatnonzero((rows[0] != opened[0]) | (rows[1] != opened[1]))
+                stop = other[0] if len(other) else len(rows[0])
+                yield out(rows[2][:stop], rows[1][:stop], rows[0][:stop])
+                rows = [c[stop:] for c in rows]
+                if not len(rows[0]):
+                    continue
+                opened = None
+            held = [np.concatenate(c) for c in zip(held, rows, strict=True)]
+            last = np.flatnonzero((np.diff(held[0]) != 0) | (np.diff(held[1]) != 0))
+            if len(last):
+                stop = last[-1] + 1
+                yield linked([c[:stop] for c in held])
+                held = [c[stop:] for c in held]
+            if len(held[0]) > most and free_bits(masks[held[0][0]]).bit_count() > 2 * DISTANCE + 2:
+                yield out(held[2], held[1], held[0])
+                opened = (held[0][0], held[1][0])
+                held = [c[:0] for c in held]
+        if len(held[0]):
+            yield linked(held)
+
+    return run
+
+
+def links(prints: DataFrame, n: int, most: int = OPEN) -> DataFrame:
+    """(a, b), b lower: links with the components of all pairs of close fingerprints of (fp).
+
+    Keys with over ``most`` members are dealt out again by blocks of their
+    remaining bits, so no task holds or solves a larger group.
+    """
     masks = masks_for(blocks_for(n))
-    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
-    keys = F.array(*[F.struct(F.lit(i).alias("which"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(signed)])
-    rows = prints.select(F.explode(keys).alias("k"), "fp").select("k.which", "k.key", "fp")
-    dealt = rows.repartition("which", "key").sortWithinPartitions("which", "key", "fp")
-    dealt = dealt.withColumn("masks", F.array(*[F.lit(m) for m in signed]))
-    return dealt.mapInArrow(_links, "a long, b long").distinct()
+    rows = prints.select(F.explode(F.sequence(F.lit(0), F.lit(len(masks) - 1))).alias("which"), "fp")
+    found = None
+    while True:
+        signed = F.array(*[F.lit(m - (1 << 64) if m >> 63 else m) for m in masks])
+        keyed = rows.select("which", F.col("fp").bitwiseAND(F.get(signed, F.col("which"))).alias("key"), "fp")
+        dealt = keyed.repartition("which", "key").sortWithinPartitions("which", "key", "fp")
+        out = cut(dealt.mapInArrow(_linker(masks, most), "a long, b long, which int"))
+        edges = out.filter("which < 0").select("a", "b")
+        found = edges if found is None else found.unionByName(edges)
+        left = out.filter("which >= 0")
+        if left.isEmpty():
+            return found.distinct()
+        finer = [finer_masks(m) for m in masks]
+        steps = F.explode(F.sequence(F.lit(0), F.lit(len(finer[0]) - 1))).alias("step")
+        rows = left.select("which", F.col("a").alias("fp"), steps).select((F.col("which") * len(finer[0]) + F.col("step")).alias("which"), "fp")
+        masks = [m for own in finer for m in own]
 
 
 def components(edges: DataFrame) -> DataFrame:
