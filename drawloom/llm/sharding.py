@@ -8,12 +8,15 @@ the rows in the order of the index are cut into runs of equal row counts (law
 min/max statistics of its files prune by.
 
 No task sorts more than one small group: cells of the curve (at most 2 ** (3 *
-bits)) are counted, cells are divided by a hash into 256 parts, running sums
+bits)) are counted, cells are divided by a hash into 256 parts or more, running sums
 give each part its first rank, and rows are numbered inside their part.
 
 Nulls: a null text has size 1 (no bytes plus one) and checksum 0; null source
 or language get the lowest code; a null doc_id is allowed.  Repeated rows get
-slots of their own.  With fewer rows than shards some shards stay empty.
+slots of their own.  With fewer rows than shards some shards stay empty, and
+an empty table gives no rows.  Rows of one cell tie and are numbered by a hash,
+equal hashes by their reading order.  Sizes are those of whole texts.  Columns
+other than doc_id, text, source and lang are not read.
 """
 
 from __future__ import annotations
@@ -24,6 +27,8 @@ from pyspark.sql import functions as F
 from drawloom.llm.common import cut, let, text_of
 
 PARTS = 256
+#: Rows of a part where a cell holds all of them; larger tables get more parts.
+PART_ROWS = 1 << 18
 
 
 def hilbert_index(codes: Column, dims: int, bits: int) -> Column:
@@ -132,7 +137,7 @@ def assign_shards(docs: DataFrame, *, shards: int = 8, bits: int = 5, dims: tupl
         low, high = (_prefix_number(F.lit(edge[f"{k}_{n}"]).cast("string"), skip) for k in ("low", "high"))
         codes.append(code(_prefix_number(F.col(n), skip), low, high))
     codes.append(code(F.ln("size"), F.lit(edge["low_s"]), F.lit(edge["high_s"])))
-    part = F.pmod(F.xxhash64("doc_id", "text_crc32", "size"), F.lit(PARTS)).cast("int")
+    part = F.pmod(F.xxhash64("doc_id", "text_crc32", "size"), F.lit(max(PARTS, edge["rows"] // PART_ROWS))).cast("int")
     curved = rows.withColumn("curve", hilbert_index(F.array(*codes), len(codes), bits)).withColumn("part", part)
     parts = cut(curved.groupBy("curve", "part").agg(F.count(F.lit(1)).alias("n")))
     earlier = Window.partitionBy("curve").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
