@@ -15,7 +15,10 @@ entries.  Texts in Latin-1 are split by one pattern, others by the library's own
 normaliser and splitter.
 
 Nulls: a null text is empty and has no tokens; repeated rows are rows of their
-own; special tokens inside a text are ids, as in the tokenizers library.
+own; a null doc_id is allowed and an empty table gives no rows.  Special tokens
+inside a text are ids, as in the tokenizers library.  Texts of any length are
+encoded whole, word by word; of overlapping matches the longest wins, so nothing
+ties.  Columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations

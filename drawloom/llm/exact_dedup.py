@@ -14,6 +14,9 @@ looked up through a broadcast that has under 1000 rows by construction.
 Nulls: a null text is empty; a null doc_id is never the smallest unless all of
 the group are null.  Rows repeated with one doc_id and one text: one of them is
 kept.  Texts of white space only equal one space, an empty text only itself.
+Of rows that tie in doc_id and text any one is kept, as they are equal in both.
+Texts of any length are compared whole; an empty table gives no rows, and the
+columns of a table keep their names, whatever they are.
 """
 
 from __future__ import annotations

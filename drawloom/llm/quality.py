@@ -13,7 +13,10 @@ constant array.  Nothing else is gathered.
 
 Nulls: a null text has no words and fails the base rules; a null label is not
 trusted.  Without trusted texts all scores are 0 and only the base rules judge.
-Repeated rows are judged each; empty tables give empty results.
+Repeated rows are judged each; empty tables give empty results.  Texts of any
+length are read whole.  A score that ties with the threshold is kept; trusted
+documents that tie in their hash are picked by doc_id.  Columns of the input keep
+their names, whatever they are.
 """
 
 from __future__ import annotations

@@ -57,6 +57,14 @@ def test_bpe_ids_and_their_decoding(spark):
         assert list(r.ids) == want and back[r.doc_id] == library.decode(want, skip_special_tokens=False)
 
 
+def test_bpe_with_null_and_repeated_rows_and_none(spark):
+    df = spark.createDataFrame([(None, "one two"), (1, "one two"), (1, "one two"), (2, None)], "doc_id long, text string").withColumn("ids_sha256", F.lit("clash"))
+    got = Counter((r.doc_id, r.n_tokens) for r in bpe.encode_digests(df, WORD_BPE).collect())
+    n = len(tokenizers.Tokenizer.from_file(WORD_BPE).encode("one two", add_special_tokens=False).ids)
+    assert got == Counter({(None, n): 1, (1, n): 2, (2, 0): 1})
+    assert bpe.encode_digests(df.limit(0), WORD_BPE).count() == 0
+
+
 def test_bpe_memory_stays_bounded():
     memory = bpe._Memory(bpe.encoder(WORD_BPE))
     for i in range(300):
@@ -123,6 +131,21 @@ def test_close_sets_of_large_groups_are_exact(monkeypatch):
     assert len(np.unique(whole)) == len(set(brute_components(ints, list(range(len(ints))))))
 
 
+@pytest.mark.parametrize("most", [4, 40, 1 << 16])
+def test_links_of_keys_that_are_dealt_again(spark, most):
+    rnd = random.Random(8)
+    centres = [rnd.getrandbits(64) for _ in range(30)]
+    prints = {c ^ sum(1 << b for b in rnd.sample(range(64), rnd.randint(0, 6))) for c in centres for _ in range(25)}
+    prints |= {centres[0] ^ (1 << a) ^ (1 << b) for a in range(24) for b in range(24)}
+    ints = sorted(prints)
+    df = spark.createDataFrame([(p - (1 << 64) if p >> 63 else p,) for p in ints], "fp long").repartition(3)
+    edges = simhash.links(df, len(ints), most)
+    root = {r.node % (1 << 64): r.root for r in simhash.components(edges).collect()}
+    want = dict(zip(ints, brute_components(ints, list(range(len(ints)))), strict=True))
+    groups = lambda of: sorted(sorted(g) for g in ([p for p in ints if of(p) == k] for k in {of(p) for p in ints}))
+    assert groups(lambda p: root.get(p, ("alone", p))) == groups(want.get)
+
+
 @pytest.mark.parametrize("n", [10, 10**8, 10**11])
 def test_every_close_pair_shares_a_key(n):
     masks = simhash.masks_for(simhash.blocks_for(n))

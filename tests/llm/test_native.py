@@ -175,6 +175,10 @@ def test_columns_with_clashing_names_stay(spark):
     rows = [(1, text, "en", "s", 1, *CLASHING), (2, text, "en", "s", 1, *CLASHING), (None, None, None, None, None, *CLASHING)]
     df = spark.createDataFrame(rows, f"{DOCS}, " + ", ".join(f"`{c}` string" for c in CLASHING))
     labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
+    plain = df.select("doc_id", "text", "lang", "source", "n_chars")
+    for run in (pii.find_personal_data, sharding.assign_shards, mixing.mix, exact_dedup.exact_dedup):
+        clash = plain.select("*", *[F.lit("x").alias(c) for c in run(plain).columns if c not in plain.columns])
+        assert sorted(map(str, run(clash).collect())) == sorted(map(str, run(plain).collect()))
     for made in (mixing.mixed_documents(df), exact_dedup.keep_first(df), quality.keep_good(df, labels)):
         got = made.collect()
         assert made.columns == df.columns and got
