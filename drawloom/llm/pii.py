@@ -35,7 +35,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from drawloom.llm.common import cut, let, lookup, running_ends, sized_broadcast, text_of
+from drawloom.llm.common import BROADCAST_ROWS, cut, let, lookup, running_ends, sized_broadcast, text_of
 
 KINDS = ("email", "ip", "card", "phone")
 #: Each starts only where a maximal run starts or the match before ended, so long runs cost linear time.
@@ -44,12 +44,12 @@ PATTERNS = {
     "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "secret": r"(?<![A-Za-z0-9])[A-Za-z0-9]{20,}+",
+    "secret": r"(?<![A-Za-z0-9])[A-Za-z0-9]{16,}+",
 }
 #: What a text must hold for the pattern to be tried.
-HINTS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": "[0-9]", "phone": r"\+[0-9]", "secret": r"[A-Za-z0-9]{20}"}
+HINTS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": "[0-9]", "phone": r"\+[0-9]", "secret": r"[A-Za-z0-9]{16}"}
 FOUND = (*KINDS, "secret")
-#: Least different characters of a secret; in sixteen a random string of twenty hexadecimal digits has some eleven.
+#: Least different characters of a secret; a random string of sixteen hexadecimal digits has ten in the mean.
 VARIETY = 8
 TERM = r"[\p{L}\p{N}]"
 SPAN = "array<struct<kind:string,start:bigint,end:bigint,value:string,left:string,right:string>>"
@@ -141,7 +141,7 @@ def base_spans(text: Column, kind: str, reach: int = 0) -> Column:
 
 def _terms(text: Column) -> Column:
     parts = F.split(F.lower(text), "[^\\p{L}\\p{N}]+")
-    return F.filter(parts, lambda t: t != "")
+    return F.filter(parts, lambda t: t.rlike(r"\p{L}"))  # numbers are values, or parts of them
 
 
 def disclosing_terms(
@@ -171,26 +171,58 @@ def disclosing_terms(
 
     # Texts with entity and term are at most those with the entity, and texts that hold a term near any value
     # are at most those that hold it at all, so a pair whose share stays under the threshold with these
-    # bounds stays under it with the counts: only others are counted.
+    # bounds stays under it with the counts: only others are counted.  Kinds are held by too many texts for that.
     nearby = near.select("h", F.explode(F.array_distinct(_terms(F.col("around")))).alias("term")).distinct()
     nearby = cut(nearby.groupBy("term").agg(F.count(F.lit(1)).alias("docs_near")).filter(F.col("docs_near") >= support))
-    pairs = lookup(pairs, held, "entity", None, held.count())
-    pairs = lookup(cut(pairs), nearby, "term", None, nearby.count()).filter(share("docs_c", "docs_near") >= generalise)
+    pairs = cut(lookup(pairs, held, "entity", None, held.count()))
+    kinds = pairs.filter(F.col("entity").isin(*FOUND)).select("entity", "term", "docs_c")
+    pairs = pairs.filter(~F.col("entity").isin(*FOUND))
+    pairs = lookup(pairs, nearby, "term", None, nearby.count()).filter(share("docs_c", "docs_near") >= generalise)
     pairs = cut(pairs.select("entity", "term", "docs_c"))
     n_pairs = pairs.count()
-    wanted = pairs.select("term").distinct()
-    if not n_pairs:
-        return wanted.select("term", F.lit("").alias("action"), F.lit(0.0).alias("disclosure"))
-    seen = keyed.select("h", F.explode(F.array_distinct(_terms(F.col("text")))).alias("term"))
-    seen = cut(seen.join(sized_broadcast(wanted, n_pairs), "term", "left_semi").distinct())
-    counts = seen.groupBy("term").agg(F.count(F.lit(1)).alias("docs_t"))
-    both = seen.join(holders, "h").groupBy("entity", "term").agg(F.count(F.lit(1)).alias("joint"))
-    joint = both.join(sized_broadcast(pairs, n_pairs), ["entity", "term"])
-    scored = joint.join(counts, "term").groupBy("term").agg(F.max(share("joint", "docs_t")).alias("disclosure"))
+    counted = _with_counts(keyed, kinds)
+    if n_pairs:
+        seen = keyed.select("h", F.explode(F.array_distinct(_terms(F.col("text")))).alias("term"))
+        seen = cut(seen.join(sized_broadcast(pairs.select("term").distinct(), n_pairs), "term", "left_semi").distinct())
+        counts = seen.groupBy("term").agg(F.count(F.lit(1)).alias("docs_t"))
+        both = seen.join(holders, "h").groupBy("entity", "term").agg(F.count(F.lit(1)).alias("joint"))
+        own = both.join(sized_broadcast(pairs, n_pairs), ["entity", "term"]).join(counts, "term")
+        counted = counted.unionByName(own.select("term", "docs_c", "joint", "docs_t"))
+    scored = counted.filter("joint > 0").groupBy("term").agg(F.max(share("joint", "docs_t")).alias("disclosure"))
     action = F.when(F.col("disclosure") >= remove, "remove").otherwise("generalise")
     return cut(scored.filter(F.col("disclosure") >= generalise).select("term", action.alias("action"), "disclosure"))
 
 
+def _with_counts(keyed: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(term, docs_c, joint, docs_t) of pairs of a kind and a term: distinct texts with both and with the term.
+
+    A kind stands in very many texts, so nothing is dealt out by text: every
+    copy of a text counts for its share, and sums leave each task by term.
+    """
+    copied = keyed.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    copied = cut(copied.withColumn("part", 1.0 / F.col("n")))
+    n_copied, n_rows = copied.agg(F.count(F.lit(1)), F.sum("n")).first()
+    wanted = cut(pairs.select("term").distinct())
+    n_wanted = wanted.count()
+    rows = keyed.select("h", F.array_distinct(_terms(F.col("text"))).alias("terms"), *[_has(F.col("text"), k).alias(f"has_{k}") for k in FOUND])
+    rows = lookup(rows, copied, "h", "n", n_copied, n_rows or 0)
+    terms = rows.select(F.explode("terms").alias("term"), F.coalesce("part", F.lit(1.0)).alias("part"), *[f"has_{k}" for k in FOUND])
+    if n_wanted <= BROADCAST_ROWS:
+        terms = terms.join(F.broadcast(wanted), "term", "left_semi")
+    whole = lambda c: F.round(F.sum(c)).cast("long")
+    counts = terms.groupBy("term").agg(
+        whole("part").alias("docs_t"), *[whole(F.when(F.col(f"has_{k}"), F.col("part")).otherwise(0.0)).alias(k) for k in FOUND]
+    )
+    joined = counts.unpivot(["term", "docs_t"], list(FOUND), "entity", "joint").join(pairs, ["entity", "term"])
+    return joined.select("term", "docs_c", "joint", "docs_t")
+
+
+def _has(text: Column, kind: str) -> Column:
+    """Whether a text holds a valid value of a kind."""
+    hinted = text.contains("@") if kind == "email" else text.rlike(HINTS[kind])
+    return hinted & F.exists(F.regexp_extract_all(text, F.lit(PATTERNS[kind]), F.lit(0)), lambda v: _valid(kind, v))
+
+
 def find_personal_data(docs: DataFrame, **options: float) -> DataFrame:
     """One row per input row: doc_id, n_email, n_ip, n_card, n_phone, n_secret, n_term, n_spans, base_sha256, spans, clean_text.
 

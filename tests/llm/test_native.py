@@ -348,13 +348,13 @@ def test_pii_terms_that_give_a_value_away(spark):
     assert got[3].n_email == 1 and got[3].n_term == 1
 
 
-SECRET = re.compile(r"(?<![A-Za-z0-9])[A-Za-z0-9]{20,}")
+SECRET = re.compile(r"(?<![A-Za-z0-9])[A-Za-z0-9]{16,}")
 
 
 def brute_terms(texts, reach=64, support=3, generalise=0.9, remove=0.97):
     """Disclosing terms by plain loops over distinct texts."""
     texts = sorted(set(texts))
-    term_of = lambda t: {w for w in re.split(r"[\W_]+", t.lower()) if w}
+    term_of = lambda t: {w for w in re.split(r"[\W_]+", t.lower()) if re.search(r"[^\W\d_]", w)}
     contexts, holders = {}, {}
     for n, t in enumerate(texts):
         found = {k: [tuple(map(int, s.split(":")[1:])) for s in v] for k, v in brute_spans(t).items()}
