@@ -37,6 +37,7 @@ BUCKET_BITS = 12
 #: Weights of the sources in code point order, repeated.
 WEIGHTS = (1, 2, 3)
 MOST_PASSES = 3
+SHARDS = 16
 #: Tries of a draw; fewer than one in 10 ** 60 draws needs more.
 TRIES = 128
 #: Rounds of the permutation, and steps by which a number that falls outside walks back.
@@ -104,7 +105,8 @@ def hypergeometric(population: Column, marked: Column, drawn: Column, uniform: C
 
     def log_ways(p: Column, x: Column) -> Column:
         rest = p["n"] - p["few"] - p["take"] + x
-        return -(log_factorial(x) + log_factorial(p["few"] - x) + log_factorial(p["take"] - x) + log_factorial(rest))
+        parts = F.array(x, p["few"] - x, p["take"] - x, rest)
+        return -F.aggregate(parts, F.lit(0.0), lambda total, part: total + log_factorial(part))
 
     def walked(p: Column, top: Column) -> Column:
         def judged(i: Column) -> Column:
@@ -166,12 +168,12 @@ def split_quotas(quotas: DataFrame, shards: int, seed: int) -> DataFrame:
             F.struct((F.col("node") * 2).alias("node"), F.col("left").alias("counts")),
             F.struct((F.col("node") * 2 + 1).alias("node"), right.alias("counts")),
         )
-        nodes = halves.select(F.explode(both).alias("n")).select("n.node", "n.counts")
+        nodes = cut(halves.select(F.explode(both).alias("n")).select("n.node", "n.counts"))  # one level's plan at a time
     return nodes.select((F.col("node") - shards).alias("shard"), F.posexplode("counts").alias("at", "quota"))
 
 
 def mix(
-    docs: DataFrame, *, block_words: int = 4096, shards: int = 16, seed: int = 42, source_col: str = "source"
+    docs: DataFrame, *, block_words: int = 4096, shards: int = SHARDS, seed: int = 42, source_col: str = "source"
 ) -> DataFrame:
     """One row per input row: doc_id, source, size, source_size, target, taken, copies.
 
@@ -308,16 +310,17 @@ def mixed_documents(docs: DataFrame, *, shard_columns: bool = False, **options:
 
     Pieces of one pass of a document make up its text, or its beginning where
     it is taken in part (one document a source).  ``shard_columns`` adds shard
-    and place.  Ranges of (shard, place) are dealt out, so there may be more
-    tasks than shards and the rows of a shard follow each other.
+    and place.  A shard goes to as many tasks as give the session's number of
+    shuffle partitions, by its places, which are uniform hashes: the rows of a
+    shard follow each other, and nothing is sampled to find ranges.
     """
-    seed = options.get("seed", 42)
-    marked, same, copies, piece, hashed, shard, place, begin = fresh(
-        docs, "id", "same", "copies", "piece", "hash", "shard", "place", "from"
+    seed, shards = options.get("seed", 42), options.get("shards", SHARDS)
+    marked, same, copies, piece, hashed, shard, place, begin, size, task = fresh(
+        docs, "id", "same", "copies", "piece", "hash", "shard", "place", "from", "size", "task"
     )
     plan = mix(docs, **options).filter(F.size("copies") > 0)
     plan = plan.groupBy(F.col("doc_id").alias(marked), F.col("hash").alias("mix_key")).agg(
-        F.flatten(F.collect_list("copies")).alias(copies), F.count(F.lit(1)).alias(same)
+        F.flatten(F.collect_list("copies")).alias(copies), F.count(F.lit(1)).alias(same), F.max("size").alias(size)
     )
     plan = cut(plan)
     text = text_of(docs)
@@ -326,10 +329,13 @@ def mixed_documents(docs: DataFrame, *, shard_columns: bool = False, **options:
     repeated = joined.filter(f"{same} > 1").dropDuplicates(["doc_id", hashed])
     entered = joined.filter(f"{same} = 1").unionByName(repeated).withColumn(piece, F.explode(copies))
     p = F.col(piece)
-    whole = p["words"] == n_words(text_of(entered))
+    whole = p["words"] == F.col(size)
     cut_text = F.when(whole | F.col("text").isNull(), F.col("text")).otherwise(some_words(F.col("text"), p["from"], p["words"]))
     order = (p["shard"].alias(shard), p["place"].alias(place), p["from"].alias(begin))
     rows = entered.withColumn("text", cut_text).select(*docs.columns, *order)
-    dealt = rows.repartitionByRange(shard, place).sortWithinPartitions(shard, place, "doc_id", begin)
+    tasks = -(-int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) // shards)
+    high = F.shiftright(F.col(place), 32) + F.lit(1 << 31)  # the upper half of the place, from 0 on
+    dealt = rows.withColumn(task, (F.col(shard) * tasks + F.shiftright(high * tasks, 32)).cast("int"))
+    dealt = dealt.repartitionById(shards * tasks, task).sortWithinPartitions(shard, place, "doc_id", begin)
     named = [F.col(shard).alias("shard"), F.col(place).alias("place")] if shard_columns else []
     return dealt.select(*docs.columns, *named)
