@@ -186,6 +186,7 @@ select conv_id, count(*) as n_turns,
        cast(coalesce(sum(length(text)) filter (role = 'assistant'), 0) as bigint) as loss_chars,
        sha256(coalesce(string_agg(text, '' order by turn) filter (role = 'assistant'), '')) as loss_sha256,
        cast(sum(length(role) + length(text) + 16
-         + length(regexp_replace(role || text, '[^\\<]', '', 'g'))) as bigint) as formatted_chars
+         + length(regexp_replace(role || text, '[^\\<]', '', 'g'))) as bigint) as formatted_chars,
+       cast(0 as bigint) as n_problems
 from t group by conv_id
 """
