@@ -226,7 +226,7 @@ def _by_key(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
     """The columns of sorted rows (key, ...), cut where a key ends."""
     held: list[np.ndarray] = []
     for batch in batches:
-        rows = [c.to_numpy() for c in batch.columns]
+        rows = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
         held = [np.concatenate(c) for c in zip(held, rows, strict=True)] if held else rows
         last = np.flatnonzero(np.diff(held[0]))
         if len(last):
@@ -302,19 +302,45 @@ def _linker(most: int):
     return run
 
 
-def _crosser(most: int):
-    """Pairs (a, b), a > b, of sorted (key, node, root, marks): all within ``most`` bits whose roots differ."""
+def _common(held: list[np.ndarray], rows: np.ndarray) -> np.ndarray:
+    """How many shingles each of ``rows`` has in common with each member."""
+    found, place, n = np.unique(np.concatenate(held), return_inverse=True, return_counts=True)
+    member = np.repeat(np.arange(len(held)), [len(h) for h in held])
+    shared = n > 1
+    column = (np.cumsum(shared) - 1)[place][shared[place]]
+    member, total = member[shared[place]], np.zeros((len(rows), len(held)), np.float32)
+    order = np.argsort(column, kind="stable")
+    column, member = column[order], member[order]
+    step = max(64, 4_000_000 // len(held))
+    for at in range(0, int(shared.sum()), step):
+        lo, hi = np.searchsorted(column, (at, at + step))
+        has = np.zeros((len(held), step), np.float32)
+        has[member[lo:hi], column[lo:hi] - at] = 1
+        total += has[rows] @ has.T
+    return total
+
+
+def _crosser(most: int, similarity: float):
+    """Verified links (a, b), a > b, of sorted (key, node, root, held, marks) between members whose roots differ."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, node, root, *columns in _by_key(batches):
+        for key, node, root, held, *columns in _by_key(batches):
             marks = np.stack(columns, axis=1).view(np.uint64)
             for start, size in zip(*_key_sizes(key), strict=True):
-                own, under = node[start : start + size], root[start : start + size]
+                part = slice(start, start + size)
+                own, under, sets = node[part], root[part], list(held[part])
                 if (under == under[0]).all():
                     continue
-                for i, j in _within(marks[start : start + size], most):
+                lengths = np.array([len(h) for h in sets])
+                for i, j in _within(marks[part], most):
                     cross = under[i] != under[j]
-                    x, y = own[i[cross]], own[j[cross]]
+                    i, j = i[cross], j[cross]
+                    if not len(i):
+                        continue
+                    rows, at = np.unique(i, return_inverse=True)
+                    common = _common(sets, rows)[at, j]
+                    alike = common >= (similarity - 1e-12) * (lengths[i] + lengths[j] - common)
+                    x, y = own[i[alike]], own[j[alike]]
                     yield pa.RecordBatch.from_arrays([pa.array(np.maximum(x, y)), pa.array(np.minimum(x, y))], ["a", "b"])
 
     return run
@@ -369,10 +395,10 @@ def copies(docs: DataFrame, *, shingle: int = SHINGLE, similarity: float = SIMIL
     if not left.isEmpty():
         left = left.select("key", F.explode(F.array("a", "b")).alias("node")).distinct()
         left = left.join(roots, "node", "left").join(distinct.select("node", *marks), "node")
-        left = left.select("key", "node", F.coalesce("root", "node").alias("root"), *[f"print_{i}" for i in range(CHECKED)])
+        left = left.join(sets, "node")
+        left = left.select("key", "node", F.coalesce("root", "node").alias("root"), "held", *[f"print_{i}" for i in range(CHECKED)])
         left = left.repartition("key").sortWithinPartitions("key")
-        more = cut(left.mapInArrow(_crosser(most), "a long, b long").distinct().join(pairs, ["a", "b"], "left_anti"))
-        edges = _verified(more, sets, _ends(more), similarity)
+        edges = cut(left.mapInArrow(_crosser(most, similarity), "a long, b long").distinct())
         if not edges.isEmpty():
             roots = cut(components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(edges)))
     several = component_ids(distinct.select("node", "first", "n"), "node", roots)
