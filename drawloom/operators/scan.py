@@ -31,6 +31,11 @@ TAG_COLUMNS = [
 CELL = 64.0
 
 
+def dealt(spans: DataFrame) -> DataFrame:
+    """Spans by pages over many tasks: a file of them is few bytes but much work."""
+    return spans.repartition(*PAGE)
+
+
 def with_norm(spans: DataFrame) -> DataFrame:
     return spans.withColumn("norm", T.normalize_token(F.col("text"))).filter(F.trim("text") != "")
 
@@ -40,7 +45,7 @@ def classified(spans: DataFrame, p: Rules = RULES) -> DataFrame:
     if "compact" in spans.columns:
         return spans
     norm = F.col("norm")
-    return (spans if "norm" in spans.columns else with_norm(spans)).select(
+    return dealt(spans if "norm" in spans.columns else with_norm(spans)).select(
         "*", F.when(N.looks_root(norm, p), N.canonical_root(norm)).alias("root"), N.looks_child(norm, p).alias("child"),
         N.looks_isa_child(norm, p).alias("isa_child"), N.compact_child(norm).alias("compact"),
     )

@@ -216,7 +216,7 @@ def zone_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tags = scan.hyphen_tags(scan.with_norm(I.spans(spark, sf_dir)))
+    tags = scan.hyphen_tags(scan.with_norm(scan.dealt(I.spans(spark, sf_dir))))
     legend = F.when(F.col("page_num") % 7 == 0, "legend/reference").otherwise("process/drawing")
     sheet = F.when(F.col("page_num") % 3 == 0, F.concat(F.lit("PAGE_"), F.col("page_num").cast("string"))).otherwise(
         F.concat(F.lit("DG"), F.col("page_num").cast("string"))

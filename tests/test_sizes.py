@@ -3,9 +3,10 @@
 import random
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from drawloom.operators import pairing
+from drawloom.operators import match, pairing, scan
 
 
 def copies(spark, side, names, rnd):
@@ -81,3 +82,22 @@ def test_copies_in_one_folder_are_paired_as_by_rows(spark, monkeypatch, chunk):
         got = {r[f"{side}_seq"]: r[f"next_{side}"] for r in seen["tops"][side].collect()}
         want = {p[at]: (sorted((s for q, s in every.items() if q[at] == p[at]), reverse=True) + [None, None])[1] for p in taken}
         assert {k: v and round(v, 12) for k, v in got.items()} == {k: v and round(v, 12) for k, v in want.items()}
+
+
+def test_matches_are_counted_before_rows_meet_them(spark):
+    rnd = random.Random(5)
+    roots, parts = ["R1", "R2", "R3", ""], ["A1", "B2", ""]
+    full = lambda r, c: "-".join(x for x in (r, c) if x)
+    have = []
+    for i in range(60):
+        r, c = rnd.choice(roots), rnd.choice(parts)
+        have.append((i, full(r, c) if rnd.random() < 0.6 else f"other{i}", r, c, "instrument" if rnd.random() < 0.8 else "equipment", rnd.choice(["stacked:isa", "standalone:isa", "fulltag:isa"]), rnd.randrange(6), f"S{rnd.randrange(3)}", "drawing", rnd.choice([0.5, 0.7, 0.9]), f"text {i}"))
+    tags = spark.createDataFrame(have, "seq int, full_tag string, root string, component string, tag_class string, method string, page_num int, sheet_id string, zone string, confidence double, source_text string").withColumn("rating", F.lit("Low"))
+    rows = [("w", i, full(r, c), r, c, None if rnd.random() < 0.4 else rnd.choices(range(6), k=rnd.randrange(4))) for i, (r, c) in enumerate((rnd.choice(roots + ["R9"]), rnd.choice(parts)) for _ in range(80))]
+    parsed = spark.createDataFrame(rows, "ws_name string, row_num int, full_tag string, root string, component string, allowed_pages array<int>")
+    own = Window.partitionBy("row_num")
+    every = match.tiered_matches(parsed, tags).withColumn("n_matches", F.count(F.lit(1)).over(own)).withColumn("nth", F.row_number().over(own.orderBy(*scan.tag_order())))
+    columns = ["row_num", "n_matches", "tier", "confidence", "method", "sheet_id", "page_num", "zone"]
+    want = {tuple(r) for r in every.filter("nth = 1").select(columns).collect()}
+    assert {tuple(r) for r in match.best_matches(parsed, tags).select(columns).collect()} == want
+    assert {r[2] for r in want} == {1, 2, 3}
