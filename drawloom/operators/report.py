@@ -5,9 +5,11 @@ from __future__ import annotations
 from functools import reduce
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from drawloom.operators.placement import running_index
+
 #: The sections of a revision report and the statuses they hold.
 SECTIONS = {
     "changed": ("changed",),
@@ -30,10 +32,10 @@ def sections(documents: DataFrame) -> dict[str, DataFrame]:
 
 
 def flatten_sections(parts: dict[str, DataFrame], order: list[str]) -> DataFrame:
-    """All sections by name with section and row_index, 0 on, in ``order``."""
+    """All sections by name with section and row_index, 0 on, in ``order``; a section is numbered in ranges, not in one task."""
     def one(name: str, df: DataFrame) -> DataFrame:
-        by = Window.partitionBy("section").orderBy(*[c for c in order if c in df.columns])
-        return df.withColumn("section", F.lit(name)).withColumn("row_index", F.row_number().over(by) - 1)
+        placed = running_index(df, [c for c in order if c in df.columns])
+        return placed.withColumn("section", F.lit(name)).withColumn("row_index", F.col("index").cast("int")).drop("index")
 
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [one(n, d) for n, d in parts.items()])
 
