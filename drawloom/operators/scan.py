@@ -151,7 +151,7 @@ def _paired(both: DataFrame, component: Column, kind: Column, method: Column) ->
 
 def inferred_tags(spans: DataFrame, p: Rules = RULES) -> DataFrame:
     """A bare code takes its nearest root on the page and a number in reading order for root and code."""
-    spans, reach = classified(spans, p), p["bare"]["reach"]
+    spans, reach = spans if "compact" in spans.columns else cut(classified(spans, p)), p["bare"]["reach"]  # else filters would go below the dealing
     a = spans.filter("root is not null").select(
         *PAGE, F.col("span_id").alias("parent"), *[F.col(c).alias(f"a_{c}") for c in ("text", "root", *G.SIDES)]
     )
@@ -172,6 +172,7 @@ def inferred_tags(spans: DataFrame, p: Rules = RULES) -> DataFrame:
         + F.when(G.width(pa) > 15 * F.greatest(G.width(ch), G.height(ch), F.lit(1.0)), 150).otherwise(0)
     )
     near = a.join(b, [*PAGE, "cell_0", "cell_1"]).filter((F.col("parent") != F.col("child")) & (dx <= reach) & (dy <= reach))
+    near = near.repartition(4 * near.sparkSession.sparkContext.defaultParallelism, *PAGE)  # both windows run in it
     own = Window.partitionBy(*PAGE, "child").orderBy("distance", "parent")
     best = near.withColumn("distance", distance).withColumn("n", F.row_number().over(own)).filter("n = 1")
     order = Window.partitionBy(*PAGE, "a_root", "b_norm").orderBy("b_y0", "b_x0", "child")

@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from drawloom.operators import match, pairing, scan
+from drawloom.functions import similarity
+from drawloom.operators import diff, layout, match, pairing, report, scan
 
 
 def copies(spark, side, names, rnd):
@@ -101,3 +102,61 @@ def test_matches_are_counted_before_rows_meet_them(spark):
     want = {tuple(r) for r in every.filter("nth = 1").select(columns).collect()}
     assert {tuple(r) for r in match.best_matches(parsed, tags).select(columns).collect()} == want
     assert {r[2] for r in want} == {1, 2, 3}
+
+
+def test_sheet_ids_that_recur_meet_each_other_where_asked(spark):
+    files = lambda side, names: spark.createDataFrame([(f"{side}/{n}.pdf", 0.0) for n in names], "path string, modified_at double")
+    b, a = (pairing.file_records(files(s, n)).withColumn("failed", F.lit(False)) for s, n in (("b", ["DT0001 rev A", "DT0001 x rev B", "DT0002"]), ("a", ["DT0001 rev B", "DT0001 x rev A", "DT0003"])))
+    _, found = pairing.scan_and_pair([b, a], conflicts="every")
+    got = sorted((r.before_path or "", r.after_path or "", r.status, r.revision_status) for r in found.collect())
+    assert got == [
+        ("", "a/DT0003.pdf", "added", "added"), ("b/DT0001 rev A.pdf", "a/DT0001 rev B.pdf", "matched", "revised"), ("b/DT0001 rev A.pdf", "a/DT0001 x rev A.pdf", "matched", "same_revision"),
+        ("b/DT0001 x rev B.pdf", "a/DT0001 rev B.pdf", "matched", "same_revision"), ("b/DT0001 x rev B.pdf", "a/DT0001 x rev A.pdf", "review_needed", "revision_regressed"), ("b/DT0002.pdf", "", "removed", "removed"),
+    ]
+    assert pairing.pair_by_sheet(b, a).filter("sheet_id = 'DT0001'").count() == 2
+    with pytest.raises(ValueError, match="zipped or every"):
+        pairing.pair_by_sheet(b, a, conflicts="some")
+
+
+def test_short_texts_are_compared_once_a_worker():
+    similarity._kept.cache_clear()
+    import pandas as pd
+
+    for _ in range(3):  # batches
+        similarity._ratios(pd.Series(["pump plan"] * 5), pd.Series(["pump plant"] * 5), {})
+    assert similarity._kept.cache_info().misses == 1
+
+
+def test_pages_are_compared_while_their_bound_leads(monkeypatch):
+    import pandas as pd
+
+    calls = []
+    monkeypatch.setattr(diff, "ratio", lambda a, b: calls.append(1) or similarity.ratio(a, b))
+    columns = ["page_index", "fingerprint", "preview", "width", "height"]
+    rows = [(i, f"{i:x}" * 16, f"text of page {i} " * 9, 8.0, 6.0) for i in range(8)]
+    got = diff._aligned((1,), pd.DataFrame(rows, columns=columns), pd.DataFrame(rows[:7] + [(7, "7" * 16, "quite another page", 8.0, 6.0)], columns=columns))
+    assert sorted((r.before_index, r.after_index) for r in got.head(7).itertuples()) == [(i, i) for i in range(7)]
+    assert len(calls) <= 1  # of 64 pairs
+
+
+def test_words_are_walked_without_a_group_a_page(spark):
+    words = spark.createDataFrame([(d, 1, i, float(i), 10.0 * (i // 3), 1.0 + i, 10.0 * (i // 3) + 8, "w") for d in range(40) for i in range(9)], "doc_id int, page_num int, seq int, x0 double, y0 double, x1 double, y1 double, word string")
+    rows = layout.words_to_rows(words)
+    assert "InPandas" not in rows._jdf.queryExecution().toString()
+    assert {(r.doc_id, r.seq, r.row_index) for r in rows.collect()} == {(d, i, i // 3) for d in range(40) for i in range(9)}
+
+
+def test_sections_are_numbered_in_ranges(spark):
+    docs = spark.range(2000).selectExpr("id", "id % 2 = 0 as even").repartition(8)
+    flat = report.flatten_sections({"all": docs, "even": docs.filter("even")}, ["id"])
+    assert "windowspecdefinition(section" not in flat._jdf.queryExecution().toString()
+    got = {(r.section, r.id, r.row_index) for r in flat.collect()}
+    assert got == {("all", i, i) for i in range(2000)} | {("even", i, i // 2) for i in range(0, 2000, 2)}
+
+
+def test_spans_are_dealt_before_they_are_classified(spark):
+    rows = [(i % 3, 1, i, ["TNK20001", "XV"][i % 2], 100.0 + i, 100.0, 140.0 + i, 110.0, 10.0) for i in range(12)]
+    spans = spark.createDataFrame(rows, "doc_id int, page_num int, span_id long, text string, x0 double, y0 double, x1 double, y1 double, size double").coalesce(1)
+    plan = scan.classified(spans)._jdf.queryExecution().toString()
+    assert "RepartitionByExpression [doc_id" in plan
+    assert scan.inferred_tags(scan.with_norm(spans)).count() == 6
