@@ -125,6 +125,7 @@ def stacked_pairs(spans: DataFrame, p: Rules = RULES) -> DataFrame:
 
     kinds = dict(spans.dtypes)
     schema = f"doc_id {kinds['doc_id']}, page_num {kinds['page_num']}, parent {kinds['span_id']}, child {kinds['span_id']}"
+    scored = scored.repartition(4 * scored.sparkSession.sparkContext.defaultParallelism, *PAGE)  # few bytes, much work
     return scored.groupBy(*PAGE).applyInPandas(choose, schema)
 
 
